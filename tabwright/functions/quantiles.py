@@ -1,9 +1,8 @@
-"""Exact quantiles (linear interpolation) without a sort and without gathering a column in one task.
+"""Exact quantiles (linear interpolation) without gathering a large column in one task.
 
-``percentile`` keeps every distinct value of a column in one aggregation buffer. It is used here only behind
-a check of the row count. Beyond that, a bounded-error sketch brackets each wanted rank, grid rounds narrow
-the brackets while they hold too many rows, and the few values left are counted exactly. Each round is one
-aggregation that returns a single row.
+Up to a checked number of rows, the distinct values of each column are counted and ordered per column. Beyond that, a
+bounded-error sketch brackets each wanted rank, grid rounds narrow the brackets while they hold too many rows, and only
+the few values left are counted exactly. Each round is one aggregation that returns a single row.
 """
 
 from __future__ import annotations
@@ -38,10 +37,6 @@ class _Bracket:
         return number(self.column).between(F.lit(self.low), F.lit(self.high))
 
 
-def percentile_expr(name: str, probs: Sequence[float]) -> Column:
-    return F.percentile(number(name), F.array(*[F.lit(float(p)) for p in probs]))
-
-
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -55,11 +50,34 @@ def exact_quantiles(
         return {}
     n_rows = df.count() if n_rows is None else n_rows
     if n_rows <= direct_rows:
-        row = df.agg(*[percentile_expr(c, probs).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-        return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(columns)}
+        return _by_value(df, list(columns), [float(p) for p in probs])
     return _bracketed(df, list(columns), [float(p) for p in probs], bracket_rows)
 
 
+def _by_value(df, columns, probs):
+    """At most ``direct_rows`` values per column are ordered, one column per task."""
+    cells = [F.struct(F.lit(i).alias("slot"), number(c).alias("v")) for i, c in enumerate(columns)]
+    tallied = df.select(F.inline(F.array(*cells))).filter("v IS NOT NULL").groupBy("slot", "v").agg(F.count("*").alias("n"))
+    ranked = tallied.select(
+        "slot",
+        "v",
+        F.sum("n").over(Window.partitionBy("slot").orderBy("v")).alias("upto"),
+        F.sum("n").over(Window.partitionBy("slot")).alias("total"),
+    )
+    picks = []
+    for j, p in enumerate(probs):
+        position = (F.col("total") - 1) * F.lit(p)
+        for end, rank in (("low", F.floor(position)), ("high", F.ceil(position))):
+            picks.append(F.min(F.when(F.col("upto") > rank, F.col("v"))).alias(f"{end}{j}"))
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    for row in ranked.groupBy("slot").agg(F.max("total").alias("total"), *picks).collect():
+        shares = [_ranks(row["total"], p)[2] for p in probs]
+        out[columns[row["slot"]]] = [
+            row[f"low{j}"] + (row[f"high{j}"] - row[f"low{j}"]) * share for j, share in enumerate(shares)
+        ]
+    return out
+
+
 def _bracketed(df, columns, probs, bracket_rows):
     slack = 2.0 / SKETCH_ACCURACY
     asked = [min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import kind_of, nan_to_null, quoted, text_columns
-from tabwright.operators.profile import column_moments, distinct_stats, missing_counts
+from tabwright.operators.profile import add_quartiles, distinct_stats, table_moments
 
 # The semantic types and the thresholds of the rules.
 CONTINUOUS = "continuous_numeric"
@@ -132,9 +132,8 @@ def infer_types(
     df = nan_to_null(df)
     columns = [c for c in df.columns if c != target]
     kind = {f.name: kind_of(f.dataType) for f in df.schema.fields}
-    n_rows, missing = missing_counts(df)
     numeric = [c for c in columns if kind[c] in ("int", "float")]
-    moments = column_moments(df, numeric, n_rows)
+    n_rows, missing, moments = table_moments(df, numeric)
     distinct = distinct_stats(df, columns)
     texts = [c for c in text_columns(df, exclude=[target])]
     shares = {}
@@ -151,6 +150,7 @@ def infer_types(
         out[c] = ColumnType(
             c, name, n_rows, n_unique, missing[c], top, stats if name in NUMERIC_TYPES else {}, samples.get(c, []), note
         )
+    add_quartiles(df, moments, of_type(out, *NUMERIC_TYPES), n_rows)
     return out
 
 

@@ -6,6 +6,7 @@ Wide statistics come from one aggregation over all columns; per-value statistics
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -24,7 +25,7 @@ from tabwright.functions.columns import (
     text_columns,
     typed_key,
 )
-from tabwright.functions.quantiles import DIRECT_ROWS, exact_quantiles, percentile_expr
+from tabwright.functions.quantiles import DIRECT_ROWS, exact_quantiles
 
 # Fixed values of the profile.
 HISTOGRAM_BINS = 30
@@ -33,7 +34,7 @@ FENCE = 1.5
 Z_LIMIT = 3.0
 QUARTILES = (0.25, 0.5, 0.75)
 
-PAIRS_PER_PASS = 1500
+PAIRS_PER_PASS = 300
 
 
 def long_rows(row_frame: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -144,39 +145,42 @@ def missing_by_column(df: DataFrame) -> DataFrame:
     return long_rows(wide, df.columns, ["missing", "percent"]).orderBy(F.desc("percent"), "column")
 
 
-def missing_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
-    """Row count and missing count per column, in one pass."""
+# ---- moments and quantiles -----------------------------------------------------------------------------------
+
+
+def table_moments(df: DataFrame, numeric: Sequence[str]) -> tuple[int, dict[str, int], dict[str, dict]]:
+    """Row count, missing count per column, and ``dict(count, mean, std, std_pop, min, max)`` per numeric column."""
     df = nan_to_null(df)
-    row = df.agg(F.count("*"), *[F.sum(quoted(c).isNull().cast("bigint")) for c in df.columns]).first()
-    return row[0], {c: row[i + 1] or 0 for i, c in enumerate(df.columns)}
+    exprs = [F.count("*"), *[F.count(quoted(c)) for c in df.columns]]
+    for c in numeric:
+        x = number(c)
+        exprs += [F.avg(x), F.stddev_samp(x), F.stddev_pop(x), F.min(x), F.max(x)]
+    row = df.agg(*[e.alias(str(k)) for k, e in enumerate(exprs)]).first()
+    present = {c: row[i + 1] for i, c in enumerate(df.columns)}
+    stats, at = {}, len(df.columns) + 1
+    for c in numeric:
+        mean, std, std_pop, low, high = row[at : at + 5]
+        stats[c] = dict(count=present[c], mean=mean, std=std, std_pop=std_pop, min=low, max=high)
+        at += 5
+    return row[0], {c: row[0] - n for c, n in present.items()}, stats
 
 
-# ---- moments and quantiles -----------------------------------------------------------------------------------
+def add_quartiles(df: DataFrame, stats: dict[str, dict], columns: Sequence[str], n_rows: int, direct_rows: int = DIRECT_ROWS):
+    """Put q1, median and q3 of the given columns into ``stats``."""
+    found = exact_quantiles(nan_to_null(df), list(columns), QUARTILES, n_rows, direct_rows)
+    for c, q in found.items():
+        stats[c].update(q1=q[0], median=q[1], q3=q[2])
 
 
-def column_moments(df: DataFrame, columns: Sequence[str], n_rows: int | None = None, direct_rows: int = DIRECT_ROWS):
+def column_moments(df: DataFrame, columns: Sequence[str], direct_rows: int = DIRECT_ROWS) -> dict[str, dict]:
     """``{column: dict(count, mean, std, std_pop, min, max, q1, median, q3)}`` for numeric columns."""
     columns = list(columns)
     if not columns:
         return {}
-    df = nan_to_null(df.select(*[quoted(c) for c in columns]))
-    n_rows = df.count() if n_rows is None else n_rows
-    direct = n_rows <= direct_rows
-    exprs = []
-    for i, c in enumerate(columns):
-        x = number(c)
-        exprs += [F.count(x), F.avg(x), F.stddev_samp(x), F.stddev_pop(x), F.min(x), F.max(x)]
-        exprs.append(percentile_expr(c, QUARTILES) if direct else F.lit(None))
-    row = df.agg(*[e.alias(str(k)) for k, e in enumerate(exprs)]).first()
-    quantiles = {} if direct else exact_quantiles(df, columns, QUARTILES, n_rows, direct_rows)
-    out = {}
-    for i, c in enumerate(columns):
-        count, mean, std, std_pop, low, high, direct_q = row[7 * i : 7 * i + 7]
-        q = (direct_q or [None] * 3) if direct else quantiles[c]
-        out[c] = dict(
-            count=count, mean=mean, std=std, std_pop=std_pop, min=low, max=high, q1=q[0], median=q[1], q3=q[2]
-        )
-    return out
+    narrow = df.select(*[quoted(c) for c in columns])
+    n_rows, _, stats = table_moments(narrow, columns)
+    add_quartiles(narrow, stats, columns, n_rows, direct_rows)
+    return stats
 
 
 SUMMARY_SCHEMA = (
@@ -262,28 +266,42 @@ def top_categories(df: DataFrame, columns: Sequence[str] | None = None, k: int =
 def correlation_matrix(df: DataFrame, digits: int = 4) -> DataFrame:
     """Pearson correlation of every pair of numeric columns over the rows where both are present.
 
-    Long form ``a, b, correlation`` with both orders and the diagonal; NULL where a column does not vary.
+    Long form ``a, b, correlation`` with both orders and the diagonal; NULL where a column does not vary. Values are
+    centred on their column means first, so that plain sums of products are accurate, and a pair without gaps needs
+    one sum only.
     """
     df = nan_to_null(df)
     columns = numeric_columns(df)
-    spark, schema = df.sparkSession, "a string, b string, correlation double"
+    schema = "a string, b string, correlation double"
     if len(columns) < 2:
-        return spark.createDataFrame([], schema)
+        return df.sparkSession.createDataFrame([], schema)
+    n_rows, missing, stats = table_moments(df.select(*[quoted(c) for c in columns]), columns)
+    columns = [c for c in columns if stats[c]["count"]]
+    centred = {c: number(c) - F.lit(stats[c]["mean"]) for c in columns}
     pairs = [(c, c) for c in columns] + list(combinations(columns, 2))
-    parts = []
+    spreads = {c: stats[c]["count"] * stats[c]["std_pop"] ** 2 for c in columns}
+    rows = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start : start + PAIRS_PER_PASS]
-        wide = df.agg(*[F.corr(number(a), number(b)).alias(f"r_{i}") for i, (a, b) in enumerate(chunk)])
-        cells = [
-            F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.round(F.nanvl(f"r_{i}", F.lit(None)), digits).alias("correlation"))
-            for i, (a, b) in enumerate(chunk)
-            for x, y in {(a, b), (b, a)}
-        ]
-        parts.append(wide.select(F.inline(F.array(*cells))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        exprs = []
+        for a, b in chunk:
+            x, y = centred[a], centred[b]
+            exprs.append(F.sum(x * y))
+            if missing[a] or missing[b]:
+                x, y = F.when(quoted(b).isNotNull(), x), F.when(quoted(a).isNotNull(), y)
+                exprs += [F.count(x + y), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y)]
+        row = list(df.agg(*[e.alias(str(i)) for i, e in enumerate(exprs)]).first())
+        for a, b in chunk:
+            xy, n, sx, sy, xx, yy = row.pop(0), n_rows, 0.0, 0.0, spreads[a], spreads[b]
+            if missing[a] or missing[b]:
+                n, sx, sy, xx, yy = [row.pop(0) for _ in range(5)]
+            value = None
+            if n:
+                vx, vy = xx - sx * sx / n, yy - sy * sy / n
+                if stats[a]["max"] > stats[a]["min"] and stats[b]["max"] > stats[b]["min"] and vx > 0 and vy > 0:
+                    value = (xy - sx * sy / n) / math.sqrt(vx * vy)
+            rows += [(x, y, value) for x, y in {(a, b), (b, a)}]
+    return df.sparkSession.createDataFrame(rows, schema).withColumn("correlation", F.round("correlation", digits))
 
 
 def _ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float, float, int]]:
