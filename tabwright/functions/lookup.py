@@ -19,6 +19,8 @@ def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     for name, dtype in table.dtypes:
         if dtype == "string":
             width = width + F.coalesce(F.octet_length(quoted(name)), F.lit(0))
+        elif dtype.startswith("array"):
+            width = width + F.coalesce(F.size(quoted(name)), F.lit(0)) * 16
     size = table.agg(F.sum(width.cast("bigint")).alias("bytes")).first()["bytes"]
     return (size or 0) <= limit
 
@@ -28,7 +30,7 @@ def lookup(
 ) -> DataFrame:
     """Left join of ``rows`` with a ``table`` unique in ``on``; ``count`` is the table's column of key counts.
 
-    A table of checked size is broadcast. Otherwise keys that hold more than ``HOT_SHARE`` of the counted rows,
+    ``table`` is read several times, so an expensive one should have been written out. A table of checked size is broadcast. Otherwise keys that hold more than ``HOT_SHARE`` of the counted rows,
     at most 1 / HOT_SHARE of them, are broadcast on their own, and only the rest is joined by a shuffle, where no
     key is hot any more.
     """

@@ -18,6 +18,7 @@ from tabwright.functions.ordering import replicate, running_sum, shuffle_key
 from tabwright.operators.profile import class_counts
 from tabwright.operators.repair import STAGE_IMBALANCE, log_entry
 from tabwright.operators.split import first_rows
+from tabwright.session import cut_lineage
 
 POSITIONS_PER_TASK = 1_000_000
 MOST_POSITION_BUCKETS = 100_000
@@ -108,7 +109,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def with_class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Rows with the weight of their class."""
-    table = class_weights(df, label).select(F.col("label").alias(label), F.col("weight").alias(name), F.col("n").alias("_n"))
+    table = cut_lineage(class_weights(df, label)).select(F.col("label").alias(label), F.col("weight").alias(name), F.col("n").alias("_n"))
     return lookup(df, table, [label], "_n")
 
 

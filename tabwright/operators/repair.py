@@ -28,6 +28,7 @@ from tabwright.operators.quality import (
     REMOVE,
     Issue,
 )
+from tabwright.session import cut_lineage
 
 # Names of the logged stages and the replacement for a text column without any value.
 STAGE_IMPUTE = "missing_value_imputation"
@@ -288,7 +289,7 @@ def group_rare(
         kept = counted.orderBy(F.desc("_n"), F.col(column)).limit(top)
     else:
         kept = counted.filter(F.col("_n") >= F.lit(df.filter(quoted(column).isNotNull()).count() * min_share))
-    marked = lookup(df, kept.withColumn("_kept", F.lit(True)), [column], "_n")
+    marked = lookup(df, cut_lineage(kept.withColumn("_kept", F.lit(True))), [column], "_n")
     value = F.when(quoted(column).isNull() | F.col("_kept"), quoted(column)).otherwise(F.lit(other))
     return marked.withColumn(column, value).select(*df.columns)
 
