@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +65,11 @@ def shuffle_key(seed: int, keys: Sequence[str] | None, df: DataFrame) -> Column:
     if keys:
         parts = [F.coalesce(quoted(k).cast("string"), F.lit("\\N")) for k in keys]
     else:
-        parts = [F.to_json(F.struct(*[quoted(c) for c in df.columns]), {"ignoreNullFields": "false"})]
+        plain = [
+            vector_to_array(quoted(f.name)).alias(f.name) if isinstance(f.dataType, VectorUDT) else quoted(f.name)
+            for f in df.schema.fields
+        ]
+        parts = [F.to_json(F.struct(*plain), {"ignoreNullFields": "false"})]
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import quoted
-from tabwright.functions.ordering import SINGLE_TASK_ROWS, running_sum
+from tabwright.functions.ordering import SINGLE_TASK_ROWS, number_rows, running_sum
+from tabwright.session import cut_lineage
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -109,3 +110,15 @@ def average_precision(df: DataFrame, label: str = "label", score: str = "score",
     running, positives, _ = score_totals(df, label, score, single_task_rows)
     gained = F.sum(F.col("pos") * F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")))
     return running.agg(_share(gained, positives).alias("average_precision"))
+
+
+def curve_area(curve: DataFrame, x: str = "fpr", y: str = "tpr", single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+    """``auc``: trapezoid area under the points of a rising curve, in order of x and then y.
+
+    Points are numbered and joined with the one before, so a long curve is not ordered in one task.
+    """
+    points = number_rows(curve.select(F.col(x).alias("x"), F.col(y).alias("y")), [F.col("x"), F.col("y")], "place", single_task_rows)
+    points = cut_lineage(points)
+    previous = points.select((F.col("place") + 1).alias("place"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+    step = (F.col("x") - F.col("x0")) * (F.col("y") + F.col("y0")) / 2
+    return points.join(previous, "place").agg(F.sum(step).alias("auc"))

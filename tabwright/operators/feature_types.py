@@ -161,11 +161,11 @@ def types_frame(spark: SparkSession, types: FeatureTypes) -> DataFrame:
         m = t.moments
         spread = m["max"] - m["min"] if m else None
         rows.append(
-            (t.column, t.type, t.n_rows, t.n_unique, t.n_missing, round(t.unique_ratio, 4))
+            (t.column, t.type, t.n_rows, t.n_unique, t.n_missing, t.unique_ratio)
             + tuple(m.get(k) if k != "range" else spread for k in ("min", "max", "range", "mean", "median", "std", "q1", "q3"))
             + (t.examples, t.note)
         )
-    return spark.createDataFrame(rows, TYPES_SCHEMA)
+    return spark.createDataFrame(rows, TYPES_SCHEMA).withColumn("unique_ratio", F.round("unique_ratio", 4))
 
 
 def feature_types(df: DataFrame, target: str | None = None, detect_datetime: bool = False) -> DataFrame:
