@@ -26,7 +26,11 @@ PREFIX_LENGTH = 4  # hex digits: 65,536 buckets per group
 def running_sum(
     df: DataFrame, order: Sequence[Column], sums: dict[str, Column], single_task_rows: int = SINGLE_TASK_ROWS
 ) -> DataFrame:
-    """Add one running total (current row included) per entry of ``sums``. ``order`` must be total."""
+    """Add one running total (current row included) per entry of ``sums``. ``order`` must be total.
+
+    ``df`` is usually a grouped table over a large scan: it is written once and counted from there.
+    """
+    df = cut_lineage(df)
     if at_most(df, single_task_rows):
         window = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({name: F.sum(value).over(window) for name, value in sums.items()})

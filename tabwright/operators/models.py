@@ -173,7 +173,7 @@ def search(
                 evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=k, foldCol="fold",
                 parallelism=parallelism, seed=SEED,
             )
-            scores.append(cv.fit(folds).avgMetrics[0])
+            scores.append(float(cv.fit(folds).avgMetrics[0]))
     finally:
         folds.unpersist()
     best = max(range(len(tried)), key=lambda i: scores[i])

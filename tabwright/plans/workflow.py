@@ -16,6 +16,7 @@ from tabwright.operators.feature_types import FeatureTypes, column_groups, drop_
 from tabwright.operators.quality import Issue, detect_all
 from tabwright.operators.repair import grouping_entries, imbalance_choice, log_entry, repair, resolve_decisions
 from tabwright.operators.split import TEST, TRAIN, random_split, stratified_split
+from tabwright.session import cut_lineage
 from tabwright.sources.tables import write_split
 
 STAGE_TARGET = "missing_target"
@@ -94,7 +95,7 @@ def transform(
     # Rows are told apart by the keys only while no copies were drawn and the key columns are still there.
     keys = list(config.keys) if config.keys and set(config.keys) <= set(usable.columns) else None
     if config.split_first:
-        parts = stratified_split(usable, target, config.test_size, config.seed, keys)
+        parts = cut_lineage(stratified_split(usable, target, config.test_size, config.seed, keys))
         train, test = (parts.filter(F.col("split") == s).drop("split") for s in (TRAIN, TEST))
         train, entries = repair(train, resolved, kept)
         log += entries
@@ -105,7 +106,8 @@ def transform(
         log += entries
         repaired, entries = balance(repaired, target, action, config.seed, keys)
         copies = action == "oversampling"
-        parts = stratified_split(repaired, target, config.test_size, config.seed, None if copies else keys)
+        # Written once: every fit below reads the split table instead of repairing and splitting again.
+        parts = cut_lineage(stratified_split(repaired, target, config.test_size, config.seed, None if copies else keys))
         train, test = (parts.filter(F.col("split") == s).drop("split") for s in (TRAIN, TEST))
     log += entries + grouping_entries(types)
     groups = column_groups(kept)
