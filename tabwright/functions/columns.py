@@ -78,19 +78,21 @@ def grouping_key(text: Column) -> Column:
     return F.when(F.length(text) <= PLAIN_KEY_LENGTH, text).otherwise(digest)
 
 
-def typed_key(name: str, data_type: T.DataType, digest: bool) -> tuple[Column, Column, Column]:
-    """A value as (long, double, text), one of them set, so that values of one column stay typed."""
-    value, kind = quoted(name), kind_of(data_type)
-    no_long, no_double = F.lit(None).cast("bigint"), F.lit(None).cast("double")
-    no_text = F.lit(None).cast("string")
-    if kind == "int":
-        return value.cast("bigint"), no_double, no_text
-    if kind == "float":
-        return no_long, value.cast("double"), no_text
-    if kind == "text":
-        value = value.cast("string")
-        return no_long, no_double, grouping_key(value) if digest else value
-    if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)):
-        value = F.hex(value) if isinstance(data_type, T.BinaryType) else F.to_json(F.struct(value))
+def slot_of(data_type: T.DataType) -> str:
+    """Where values of a type are kept when columns are stacked: ``as_long``, ``as_double`` or ``as_text``."""
+    return {"int": "as_long", "float": "as_double"}.get(kind_of(data_type), "as_text")
+
+
+def typed_key(name: str, data_type: T.DataType, digest: bool) -> Column:
+    """A value as a grouping key of its slot's type: whole number, number, or text."""
+    value, slot = quoted(name), slot_of(data_type)
+    if slot == "as_long":
+        return value.cast("bigint")
+    if slot == "as_double":
+        return value.cast("double")
+    if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        value = F.when(value.isNotNull(), F.to_json(F.struct(value)))
+    elif isinstance(data_type, T.BinaryType):
+        value = F.hex(value)
     value = value.cast("string")
-    return no_long, no_double, grouping_key(value) if digest else value
+    return grouping_key(value) if digest else value

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.columns import nan_to_null, quoted, typed_key
+from tabwright.functions.columns import nan_to_null, quoted, slot_of, typed_key
 from tabwright.functions.lookup import lookup
 from tabwright.session import cut_lineage
 
@@ -19,15 +19,20 @@ from tabwright.session import cut_lineage
 def feature_errors(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """``place, feature, errors``: training rows that the best rule on each feature gets wrong."""
     fields = {f.name: f.dataType for f in df.schema.fields}
-    cells = []
-    for i, c in enumerate(features):
-        as_long, as_double, as_text = typed_key(c, fields[c], digest=True)
-        cells.append(F.struct(F.lit(i).alias("place"), as_long.alias("l"), as_double.alias("d"), as_text.alias("t")))
-    long = nan_to_null(df).select(quoted(label).alias("_label"), F.inline(F.array(*cells)))
-    counted = long.groupBy("place", "l", "d", "t", "_label").agg(F.count("*").alias("n"))
-    per_value = counted.groupBy("place", "l", "d", "t").agg((F.sum("n") - F.max("n")).alias("errors"))
+    rows = nan_to_null(df.select(quoted(label).alias("_label"), *[quoted(c) for c in features]))
+    counted = None
+    for slot in ("as_long", "as_double", "as_text"):
+        own = {c: i for i, c in enumerate(features) if slot_of(fields[c]) == slot}
+        if not own:
+            continue
+        keys = [typed_key(c, fields[c], digest=True).alias(str(i)) for c, i in own.items()]
+        stacked = rows.select("_label", *keys).unpivot(["_label"], [str(i) for i in own.values()], "place", "value")
+        part = stacked.groupBy("place", "value", "_label").agg(F.count("*").alias("n"))
+        per_value = part.groupBy("place", "value").agg((F.sum("n") - F.max("n")).alias("errors"))
+        per_value = per_value.select(F.col("place").cast("int").alias("place"), "errors")
+        counted = per_value if counted is None else counted.unionByName(per_value)
     names = F.array(*[F.lit(c) for c in features])
-    return per_value.groupBy("place").agg(F.sum("errors").alias("errors")).select(
+    return counted.groupBy("place").agg(F.sum("errors").alias("errors")).select(
         "place", names[F.col("place")].alias("feature"), "errors"
     )
 

@@ -10,18 +10,18 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import (
     columns_of_kind,
-    kind_of,
     kinds,
     nan_to_null,
     number,
     numeric_columns,
     percent,
     quoted,
+    slot_of,
     text_columns,
     typed_key,
 )
@@ -34,7 +34,7 @@ FENCE = 1.5
 Z_LIMIT = 3.0
 QUARTILES = (0.25, 0.5, 0.75)
 
-PAIRS_PER_PASS = 300
+SUMS_PER_PASS = 64
 
 
 def long_rows(row_frame: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -46,22 +46,54 @@ def long_rows(row_frame: DataFrame, columns: Sequence[str], fields: Sequence[str
     return row_frame.select(F.inline(F.array(*structs)))
 
 
+def by_column(
+    df: DataFrame, columns: Sequence[str], aggregates: dict[str, Column], constants: dict[str, dict[str, float]] | None = None
+) -> list[Row]:
+    """Aggregates of each column: rows ``cid`` (position in ``columns``) and one field per aggregate.
+
+    Aggregates are written over ``x``, the column as a number (0 for a present value that is none), and over the named
+    ``constants`` of the column. The columns are stacked under each other in one scan. One aggregation with a set of
+    buffers per column would do the same, but its generated code grows with the table's width until it is no longer
+    compiled.
+    """
+    kind = kinds(df)
+    cells = []
+    for i, c in enumerate(columns):
+        x = number(c) if kind[c] in ("int", "float") else F.when(quoted(c).isNotNull(), F.lit(0.0))
+        own = [F.lit(v).cast("double").alias(n) for n, v in (constants or {}).get(c, {}).items()]
+        cells.append(F.struct(F.lit(i).alias("cid"), x.alias("x"), *own))
+    if not cells:
+        return []
+    long = nan_to_null(df.select(*[quoted(c) for c in columns])).select(F.inline(F.array(*cells)))
+    return long.groupBy("cid").agg(*[e.alias(n) for n, e in aggregates.items()]).orderBy("cid").collect()
+
+
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None, digest: bool = False) -> DataFrame:
     """``cid, as_long, as_double, as_text, n``: count per column (by position) and non-missing value.
 
-    ``digest`` replaces long text by a digest key; enough for counting, and far less to shuffle.
+    Columns of one kind are stacked and counted together, so keys are narrow and keep their type. ``digest`` replaces
+    long text by a digest key; enough for counting, and far less to shuffle.
     """
     columns = list(columns if columns is not None else df.columns)
     fields = {f.name: f.dataType for f in df.schema.fields}
-    entries = []
-    for i, c in enumerate(columns):
-        as_long, as_double, as_text = typed_key(c, fields[c], digest)
-        entries.append(
-            F.struct(F.lit(i).alias("cid"), as_long.alias("as_long"), as_double.alias("as_double"), as_text.alias("as_text"))
+    df = nan_to_null(df.select(*[quoted(c) for c in columns]))
+    slots = {"as_long": "bigint", "as_double": "double", "as_text": "string"}
+    out = None
+    for slot, dtype in slots.items():
+        own = {c: i for i, c in enumerate(columns) if slot_of(fields[c]) == slot}
+        if not own:
+            continue
+        stacked = df.select(*[typed_key(c, fields[c], digest).alias(str(i)) for c, i in own.items()]).unpivot(
+            [], [str(i) for i in own.values()], "cid", "value"
+        )
+        counted = stacked.filter("value IS NOT NULL").groupBy("cid", "value").agg(F.count("*").alias("n"))
+        part = counted.select(
+            F.col("cid").cast("int").alias("cid"),
+            *[(F.col("value") if s == slot else F.lit(None).cast(t)).alias(s) for s, t in slots.items()],
+            "n",
         )
-    values = nan_to_null(df.select(*[quoted(c) for c in columns])).select(F.inline(F.array(*entries)))
-    present = F.coalesce(F.col("as_long").isNotNull() | F.col("as_double").isNotNull() | F.col("as_text").isNotNull())
-    return values.filter(present).groupBy("cid", "as_long", "as_double", "as_text").agg(F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def distinct_stats(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, tuple[int, int]]:
@@ -150,19 +182,24 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 
 def table_moments(df: DataFrame, numeric: Sequence[str]) -> tuple[int, dict[str, int], dict[str, dict]]:
     """Row count, missing count per column, and ``dict(count, mean, std, std_pop, min, max)`` per numeric column."""
-    df = nan_to_null(df)
-    exprs = [F.count("*"), *[F.count(quoted(c)) for c in df.columns]]
-    for c in numeric:
-        x = number(c)
-        exprs += [F.avg(x), F.stddev_samp(x), F.stddev_pop(x), F.min(x), F.max(x)]
-    row = df.agg(*[e.alias(str(k)) for k, e in enumerate(exprs)]).first()
-    present = {c: row[i + 1] for i, c in enumerate(df.columns)}
-    stats, at = {}, len(df.columns) + 1
+    x = F.col("x")
+    rows = by_column(
+        df, df.columns,
+        {"n": F.count("*"), "present": F.count(x), "mean": F.avg(x), "std_pop": F.stddev_pop(x), "low": F.min(x), "high": F.max(x)},
+    )
+    n_rows, missing, stats = (rows[0]["n"] if rows else 0), dict.fromkeys(df.columns, 0), {}
+    for r in rows:
+        missing[df.columns[r["cid"]]] = r["n"] - r["present"]
+    seen = {df.columns[r["cid"]]: r for r in rows}
     for c in numeric:
-        mean, std, std_pop, low, high = row[at : at + 5]
-        stats[c] = dict(count=present[c], mean=mean, std=std, std_pop=std_pop, min=low, max=high)
-        at += 5
-    return row[0], {c: row[0] - n for c, n in present.items()}, stats
+        r = seen.get(c)
+        n = r["present"] if r else 0
+        std = r["std_pop"] * math.sqrt(n / (n - 1)) if n > 1 else None
+        stats[c] = dict(
+            count=n, mean=r["mean"] if r else None, std=std, std_pop=r["std_pop"] if r else None,
+            min=r["low"] if r else None, max=r["high"] if r else None,
+        )
+    return n_rows, missing, stats
 
 
 def add_quartiles(df: DataFrame, stats: dict[str, dict], columns: Sequence[str], n_rows: int, direct_rows: int = DIRECT_ROWS):
@@ -204,39 +241,37 @@ def fences(q1: float, q3: float) -> tuple[float, float]:
 
 def eda_outliers(df: DataFrame, target: str | None = None) -> DataFrame:
     """Per numeric column: values outside the quartile fences and values with |z| > 3 (population std)."""
-    df = nan_to_null(df)
     columns = numeric_columns(df, exclude=[target])
     stats = {c: s for c, s in column_moments(df, columns).items() if s["count"]}
-    wide = []
-    for i, (c, s) in enumerate(stats.items()):
-        low, high = fences(s["q1"], s["q3"])
-        x = number(c)
-        z = F.try_divide(F.abs(x - F.lit(s["mean"])), F.lit(s["std_pop"]))
-        wide += [
-            F.count_if((x < low) | (x > high)).alias(f"iqr_outliers_{i}"),
-            F.count_if(z > Z_LIMIT).alias(f"z_outliers_{i}"),
-            F.round(F.lit(low), 3).alias(f"lower_{i}"),
-            F.round(F.lit(high), 3).alias(f"upper_{i}"),
-        ]
-    fields = ["iqr_outliers", "z_outliers", "lower", "upper"]
-    if not wide:
-        return df.sparkSession.createDataFrame([], "column string, iqr_outliers bigint, z_outliers bigint, lower double, upper double")
-    return long_rows(df.agg(*wide), list(stats), fields)
+    limits = {c: fences(s["q1"], s["q3"]) for c, s in stats.items()}
+    constants = {c: dict(low=limits[c][0], high=limits[c][1], mean=s["mean"], std=s["std_pop"]) for c, s in stats.items()}
+    x, z = F.col("x"), F.try_divide(F.abs(F.col("x") - F.col("mean")), F.col("std"))
+    found = by_column(
+        df, list(stats),
+        {"iqr": F.count_if((x < F.col("low")) | (x > F.col("high"))), "z": F.count_if(z > Z_LIMIT)}, constants,
+    )
+    names = list(stats)
+    rows = [(names[r["cid"]], r["iqr"], r["z"], *limits[names[r["cid"]]]) for r in found]
+    table = df.sparkSession.createDataFrame(rows, "column string, iqr_outliers bigint, z_outliers bigint, lower double, upper double")
+    return table.withColumns({c: F.round(c, 3) for c in ("lower", "upper")})
 
 
 def box_summary(df: DataFrame, target: str | None = None) -> DataFrame:
     """Numbers behind a box plot: min, whiskers (extremes inside the fences), quartiles, max."""
-    df = nan_to_null(df)
     stats = {c: s for c, s in column_moments(df, numeric_columns(df, exclude=[target])).items() if s["count"]}
+    constants = {c: dict(zip(("low", "high"), fences(s["q1"], s["q3"]), strict=True)) for c, s in stats.items()}
+    x = F.col("x")
+    found = by_column(
+        df, list(stats),
+        {"whisker_low": F.min(F.when(x >= F.col("low"), x)), "whisker_high": F.max(F.when(x <= F.col("high"), x))}, constants,
+    )
     fields = ["min", "whisker_low", "q1", "median", "q3", "whisker_high", "max"]
-    wide = []
-    for i, (c, s) in enumerate(stats.items()):
-        low, high = fences(s["q1"], s["q3"])
-        x = number(c)
-        wide += [F.round(F.lit(s[n]), 4).alias(f"{n}_{i}") for n in ("min", "q1", "median", "q3", "max")]
-        wide.append(F.round(F.min(F.when(x >= low, x)), 4).alias(f"whisker_low_{i}"))
-        wide.append(F.round(F.max(F.when(x <= high, x)), 4).alias(f"whisker_high_{i}"))
-    return long_rows(df.agg(*wide), list(stats), fields)
+    names = list(stats)
+    rows = [
+        (names[r["cid"]], *[r[f] if f.startswith("whisker") else stats[names[r["cid"]]][f] for f in fields]) for r in found
+    ]
+    table = df.sparkSession.createDataFrame(rows, ", ".join(["column string", *[f"{f} double" for f in fields]]))
+    return table.withColumns({f: F.round(f, 4) for f in fields})
 
 
 # ---- classes and categories ----------------------------------------------------------------------------------
@@ -280,34 +315,34 @@ def correlation_matrix(df: DataFrame, digits: int = 4) -> DataFrame:
     centred = {c: number(c) - F.lit(stats[c]["mean"]) for c in columns}
     pairs = [(c, c) for c in columns] + list(combinations(columns, 2))
     spreads = {c: stats[c]["count"] * stats[c]["std_pop"] ** 2 for c in columns}
-    rows = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start : start + PAIRS_PER_PASS]
-        exprs = []
-        for a, b in chunk:
-            x, y = centred[a], centred[b]
-            exprs.append(F.sum(x * y))
-            if missing[a] or missing[b]:
-                x, y = F.when(quoted(b).isNotNull(), x), F.when(quoted(a).isNotNull(), y)
-                exprs += [F.count(x + y), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y)]
-        row = list(df.agg(*[e.alias(str(i)) for i, e in enumerate(exprs)]).first())
-        for a, b in chunk:
-            xy, n, sx, sy, xx, yy = row.pop(0), n_rows, 0.0, 0.0, spreads[a], spreads[b]
-            if missing[a] or missing[b]:
-                n, sx, sy, xx, yy = [row.pop(0) for _ in range(5)]
-            value = None
-            if n:
-                vx, vy = xx - sx * sx / n, yy - sy * sy / n
-                if stats[a]["max"] > stats[a]["min"] and stats[b]["max"] > stats[b]["min"] and vx > 0 and vy > 0:
-                    value = (xy - sx * sy / n) / math.sqrt(vx * vy)
-            rows += [(x, y, value) for x, y in {(a, b), (b, a)}]
+    sums: list[Column] = []
+    for a, b in pairs:
+        x, y = centred[a], centred[b]
+        sums.append(F.sum(x * y))
+        if missing[a] or missing[b]:
+            x, y = F.when(quoted(b).isNotNull(), x), F.when(quoted(a).isNotNull(), y)
+            sums += [F.count(x + y), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y)]
+    # Many sums in one aggregation would outgrow the compiler, so a wide table takes several column-pruned passes.
+    values: list[float | None] = []
+    for start in range(0, len(sums), SUMS_PER_PASS):
+        values += df.agg(*[e.alias(str(i)) for i, e in enumerate(sums[start : start + SUMS_PER_PASS])]).first()
+    at, rows = iter(values), []
+    for a, b in pairs:
+        xy, n, sx, sy, xx, yy = next(at), n_rows, 0.0, 0.0, spreads[a], spreads[b]
+        if missing[a] or missing[b]:
+            n, sx, sy, xx, yy = (next(at) for _ in range(5))
+        value = None
+        if n:
+            vx, vy = xx - sx * sx / n, yy - sy * sy / n
+            if stats[a]["max"] > stats[a]["min"] and stats[b]["max"] > stats[b]["min"] and vx > 0 and vy > 0:
+                value = (xy - sx * sy / n) / math.sqrt(vx * vy)
+        rows += [(x, y, value) for x, y in {(a, b), (b, a)}]
     return df.sparkSession.createDataFrame(rows, schema).withColumn("correlation", F.round("correlation", digits))
 
 
 def _ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float, float, int]]:
-    exprs = [e for c in columns for e in (F.min(number(c)), F.max(number(c)), F.avg(number(c)), F.stddev_samp(number(c)), F.count(number(c)))]
-    row = df.agg(*[e.alias(str(i)) for i, e in enumerate(exprs)]).first()
-    return {c: tuple(row[5 * i : 5 * i + 5]) for i, c in enumerate(columns) if row[5 * i] is not None}
+    stats = table_moments(df.select(*[quoted(c) for c in columns]), columns)[2]
+    return {c: (s["min"], s["max"], s["mean"], s["std"], s["count"]) for c, s in stats.items() if s["count"]}
 
 
 def histogram(df: DataFrame, target: str | None = None, bins: int = HISTOGRAM_BINS) -> DataFrame:
@@ -377,7 +412,7 @@ def split_summary(df: DataFrame, test_size: float) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row, as a count and percentage of all rows."""
     fields = {f.name: f.dataType for f in df.schema.fields}
-    keys = [F.coalesce(*typed_key(c, fields[c], digest=True)[2:], F.lit(None).cast("string")) if kind_of(fields[c]) in ("text", "other") else quoted(c) for c in df.columns]
+    keys = [typed_key(c, fields[c], digest=True) for c in df.columns]
     rows = df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
     grouped = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
     total = F.coalesce(F.sum("n"), F.lit(0).cast("bigint"))

@@ -18,7 +18,7 @@ from tabwright.operators.feature_types import (
     infer_types,
     of_type,
 )
-from tabwright.operators.profile import class_counts, column_moments, fences, modes
+from tabwright.operators.profile import by_column, class_counts, column_moments, fences, modes
 
 # Issue names, options and thresholds.
 MISSING = "Missing Values"
@@ -101,9 +101,10 @@ def outlier_stats(df: DataFrame, types: FeatureTypes, include_discrete: bool = F
     bounds = {c: fences(moments[c]["q1"], moments[c]["q3"]) for c in usable}
     if not usable:
         return []
-    row = df.agg(
-        *[F.count_if((number(c) < bounds[c][0]) | (number(c) > bounds[c][1])).alias(str(i)) for i, c in enumerate(usable)]
-    ).first()
+    x = F.col("x")
+    outside = {"n": F.count_if((x < F.col("low")) | (x > F.col("high")))}
+    limits = {c: dict(low=low, high=high) for c, (low, high) in bounds.items()}
+    row = [r["n"] for r in by_column(df, usable, outside, limits)]
     found = []
     for i, c in enumerate(usable):
         m, count = moments[c], row[i]
