@@ -92,7 +92,10 @@ def oner_predict(spark, folder):
 
 
 def search_lr(spark, folder):
-    _, table, _ = prepared(spark, folder)
+    """Cross-validated accuracy of two penalties on the labelled documents."""
+    docs = inputs.docs(spark, folder).filter("quality IS NOT NULL").drop("text", "toxic")
+    result = workflow.transform(docs, "quality")
+    table = models.training_table(result.prepared(result.train), result.plain_features)
     _, tried = models.search(models.LOGISTIC, table, {"C": [0.01, 1.0]}, parallelism=4)
     return spark.createDataFrame([(p["C"], round(v, 4)) for p, v in tried], "c double, accuracy double")
 

@@ -101,7 +101,7 @@ def typed_output_sql(source_name: str, source: str, kinds: dict[str, str]) -> st
     columns = ", ".join(f'{moment.format(x)} AS "{n}"' for n, x in names.items())
     return with_source(
         source_name, source,
-        f'SELECT col AS "column", type, n_rows, n_unique, n_missing, round(n_unique / n_rows::DOUBLE, 4) AS unique_ratio, '
+        f'SELECT col AS "column", type, n_rows, n_unique, n_missing, round((n_unique / n_rows::DOUBLE)::DECIMAL(28, 12), 4)::DOUBLE AS unique_ratio, '
         f"{columns}, examples FROM ({typed_sql(source_name, kinds, examples=True)})",
     )
 

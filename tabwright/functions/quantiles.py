@@ -8,13 +8,14 @@ the few values left are counted exactly. Each round is one aggregation that retu
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import number
+from tabwright.session import spread_small
 
 DIRECT_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -42,37 +43,43 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     n_rows: int | None = None,
+    counts: Mapping[str, int] | None = None,
     direct_rows: int = DIRECT_ROWS,
     bracket_rows: int = BRACKET_ROWS,
 ) -> dict[str, list[float | None]]:
-    """``{column: [quantile per prob]}``; NULLs are ignored, an all-NULL column gives None."""
+    """``{column: [quantile per prob]}``; NULLs are ignored, an all-NULL column gives None.
+
+    ``n_rows`` and the ``counts`` of present values are used if they are known already.
+    """
     if not columns:
         return {}
     n_rows = df.count() if n_rows is None else n_rows
     if n_rows <= direct_rows:
-        return _by_value(df, list(columns), [float(p) for p in probs])
+        if counts is None:
+            row = df.agg(*[F.count(number(c)).alias(str(i)) for i, c in enumerate(columns)]).first()
+            counts = {c: row[i] for i, c in enumerate(columns)}
+        return _by_value(df, list(columns), [float(p) for p in probs], counts)
     return _bracketed(df, list(columns), [float(p) for p in probs], bracket_rows)
 
 
-def _by_value(df, columns, probs):
+def _by_value(df, columns, probs, counts):
     """At most ``direct_rows`` values per column are ordered, one column per task."""
-    cells = [F.struct(F.lit(i).alias("slot"), number(c).alias("v")) for i, c in enumerate(columns)]
-    tallied = df.select(F.inline(F.array(*cells))).filter("v IS NOT NULL").groupBy("slot", "v").agg(F.count("*").alias("n"))
-    ranked = tallied.select(
-        "slot",
-        "v",
-        F.sum("n").over(Window.partitionBy("slot").orderBy("v")).alias("upto"),
-        F.sum("n").over(Window.partitionBy("slot")).alias("total"),
-    )
+    slots = [str(i) for i in range(len(columns))]
+    narrow = df.select(*[number(c).alias(s) for s, c in zip(slots, columns, strict=True)])
+    stacked = spread_small(narrow, max(counts.values())).unpivot([], slots, "slot", "v")
+    tallied = stacked.filter("v IS NOT NULL").groupBy(F.col("slot").cast("int").alias("slot"), "v").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("slot").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     picks = []
     for j, p in enumerate(probs):
-        position = (F.col("total") - 1) * F.lit(p)
-        for end, rank in (("low", F.floor(position)), ("high", F.ceil(position))):
+        ranks = [_ranks(max(counts[c], 1), p) for c in columns]
+        for side, end in enumerate(("low", "high")):
+            rank = F.array(*[F.lit(r[side]) for r in ranks])[F.col("slot")]
             picks.append(F.min(F.when(F.col("upto") > rank, F.col("v"))).alias(f"{end}{j}"))
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-    for row in ranked.groupBy("slot").agg(F.max("total").alias("total"), *picks).collect():
-        shares = [_ranks(row["total"], p)[2] for p in probs]
-        out[columns[row["slot"]]] = [
+    for row in tallied.select("slot", "v", F.sum("n").over(order).alias("upto")).groupBy("slot").agg(*picks).collect():
+        column = columns[row["slot"]]
+        shares = [_ranks(counts[column], p)[2] for p in probs]
+        out[column] = [
             row[f"low{j}"] + (row[f"high{j}"] - row[f"low{j}"]) * share for j, share in enumerate(shares)
         ]
     return out
@@ -146,7 +153,8 @@ def _count_inside(df, brackets, counts):
     # Rows below a bracket fall into one NULL entry per slot, so ranks stay absolute.
     entries = df.select(F.explode(F.array_compact(F.array(*slots))).alias("e")).select("e.slot", "e.v")
     tallied = entries.groupBy("slot", "v").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("slot").orderBy(F.col("v").asc_nulls_first()))
+    order = Window.partitionBy("slot").orderBy(F.col("v").asc_nulls_first())
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     first_rank = F.create_map(*[F.lit(x) for i, b in enumerate(brackets) for x in (i, _ranks(counts[b.column], b.prob)[0])])
     last_rank = F.create_map(*[F.lit(x) for i, b in enumerate(brackets) for x in (i, _ranks(counts[b.column], b.prob)[1])])
     picked = (

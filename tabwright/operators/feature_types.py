@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.columns import kind_of, nan_to_null, quoted, text_columns
 from tabwright.operators.profile import add_quartiles, distinct_stats, table_moments
+from tabwright.session import spread_small
 
 # The semantic types and the thresholds of the rules.
 CONTINUOUS = "continuous_numeric"
@@ -134,7 +135,7 @@ def infer_types(
     kind = {f.name: kind_of(f.dataType) for f in df.schema.fields}
     numeric = [c for c in columns if kind[c] in ("int", "float")]
     n_rows, missing, moments = table_moments(df, numeric)
-    distinct = distinct_stats(df, columns)
+    distinct = distinct_stats(spread_small(df.select(*[quoted(c) for c in columns]), n_rows), columns)
     texts = [c for c in text_columns(df, exclude=[target])]
     shares = {}
     if detect_datetime and texts:

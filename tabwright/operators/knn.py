@@ -27,23 +27,29 @@ def as_array(df: DataFrame, features: str) -> Column:
     return x.cast("array<double>") if isinstance(df.schema[features].dataType, T.ArrayType) else vector_to_array(x)
 
 
-def block_neighbours(queries: np.ndarray, points: np.ndarray, labels: np.ndarray, k: int):
-    """Indices ``(query, point, squared distance)`` of every point that can be among the k nearest of a query.
+def block_search(k: int, relative_slack: float = RELATIVE_SLACK):
+    """The per-block search: ``f(queries, points, labels)`` gives ``(query, point, squared distance)`` index arrays of
+    every point that can be among the k nearest of a query.
 
-    A matrix product ranks the points; those within rounding error of the k-th are measured again exactly.
+    A matrix product ranks the points; those within rounding error of the k-th are measured again exactly. The inner
+    function travels to the workers by value, so they need not have this package.
     """
-    norm_q, norm_p = (queries**2).sum(1), (points**2).sum(1)
-    rough = norm_q[:, None] + norm_p[None, :] - 2.0 * (queries @ points.T)
-    k = min(k, points.shape[0])
-    limit = np.partition(rough, k - 1, axis=1)[:, k - 1]
-    slack = RELATIVE_SLACK * (norm_q + norm_p.max() + 1.0)
-    q, p = np.nonzero(rough <= (limit + slack)[:, None])
-    exact = ((queries[q] - points[p]) ** 2).sum(1)
-    order = np.lexsort((p, labels[p], exact, q))
-    q, p, exact = q[order], p[order], exact[order]
-    first = np.searchsorted(q, q, side="left")
-    keep = np.arange(len(q)) - first < k
-    return q[keep], p[keep], exact[keep]
+
+    def neighbours(queries: np.ndarray, points: np.ndarray, labels: np.ndarray):
+        norm_q, norm_p = (queries**2).sum(1), (points**2).sum(1)
+        rough = norm_q[:, None] + norm_p[None, :] - 2.0 * (queries @ points.T)
+        wanted = min(k, points.shape[0])
+        limit = np.partition(rough, wanted - 1, axis=1)[:, wanted - 1]
+        slack = relative_slack * (norm_q + norm_p.max() + 1.0)
+        q, p = np.nonzero(rough <= (limit + slack)[:, None])
+        exact = ((queries[q] - points[p]) ** 2).sum(1)
+        order = np.lexsort((p, labels[p], exact, q))
+        q, p, exact = q[order], p[order], exact[order]
+        first = np.searchsorted(q, q, side="left")
+        keep = np.arange(len(q)) - first < wanted
+        return q[keep], p[keep], exact[keep]
+
+    return neighbours
 
 
 def predict_knn(
@@ -75,11 +81,13 @@ def predict_knn(
     points = points.withColumn("block", F.pmod(F.xxhash64("x", "label"), F.lit(n_blocks)).cast("int"))
     queries = queries.withColumn("chunk", F.pmod(F.xxhash64("x"), F.lit(n_chunks)).cast("int"))
 
+    neighbours = block_search(k)
+
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"x": [], "n": [], "label": [], "copies": [], "distance": []})
         labels, copies = right["label"].to_numpy(), right["copies"].to_numpy()
-        q, p, distance = block_neighbours(np.stack(left["x"]), np.stack(right["x"]), labels, k)
+        q, p, distance = neighbours(np.stack(left["x"]), np.stack(right["x"]), labels)
         return pd.DataFrame(
             {
                 "x": left["x"].to_numpy()[q], "n": left["n"].to_numpy()[q], "label": labels[p],

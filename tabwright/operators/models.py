@@ -29,6 +29,7 @@ from tabwright.operators.evaluate import confusion_matrix, metrics, roc_auc
 from tabwright.operators.knn import predict_knn
 from tabwright.operators.oner import OneRule, fit_one_rule
 from tabwright.operators.split import fold_count, stratified_folds
+from tabwright.session import gather_small
 
 # Model names in their fixed order, search settings, and the parameters used below and above the gate.
 FOREST = "Random Forest"
@@ -161,7 +162,8 @@ def search(
     if how == "random" and len(tried) > RANDOM_TRIES:
         tried = random.Random(SEED).sample(tried, RANDOM_TRIES)
     k = fold_count(table.smallest_class)
-    folds = stratified_folds(table.rows, "label", k, SEED, table.keys).withColumn("fold", F.col("fold").cast("int")).persist()
+    folds = stratified_folds(table.rows, "label", k, SEED, table.keys).withColumn("fold", F.col("fold").cast("int"))
+    folds = gather_small(folds, table.n_rows).persist()
     try:
         scores = []
         for params in tried:
@@ -197,7 +199,7 @@ def fit(name: str, table: TrainingTable, params: Mapping | None = None) -> Fitte
         if not table.rule_features:
             raise ValueError("one-rule needs the plain feature columns")
         return Fitted(name, params, fit_one_rule(table.rows, table.rule_features, "label"))
-    return Fitted(name, params, estimator(name, params, table).fit(table.rows))
+    return Fitted(name, params, estimator(name, params, table).fit(gather_small(table.rows, table.n_rows)))
 
 
 def train(
@@ -289,7 +291,7 @@ def train_all(
     tuning_rows: int = TUNING_ROWS,
 ) -> TrainingReport:
     """Fit and evaluate the models one after another on the same cached rows."""
-    rows, held = table.rows.persist(), test.persist()
+    rows, held = gather_small(table.rows, table.n_rows).persist(), gather_small(test, test.count()).persist()
     cached = TrainingTable(rows, table.n_rows, table.n_classes, table.smallest_class, table.rule_features, table.weighted, table.keys)
     report = TrainingReport({}, {}, {})
     try:

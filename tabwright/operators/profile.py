@@ -65,7 +65,8 @@ def by_column(
     if not cells:
         return []
     long = nan_to_null(df.select(*[quoted(c) for c in columns])).select(F.inline(F.array(*cells)))
-    return long.groupBy("cid").agg(*[e.alias(n) for n, e in aggregates.items()]).orderBy("cid").collect()
+    found = long.groupBy("cid").agg(*[e.alias(n) for n, e in aggregates.items()]).collect()  # one row per column
+    return sorted(found, key=lambda row: row["cid"])
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None, digest: bool = False) -> DataFrame:
@@ -204,7 +205,8 @@ def table_moments(df: DataFrame, numeric: Sequence[str]) -> tuple[int, dict[str,
 
 def add_quartiles(df: DataFrame, stats: dict[str, dict], columns: Sequence[str], n_rows: int, direct_rows: int = DIRECT_ROWS):
     """Put q1, median and q3 of the given columns into ``stats``."""
-    found = exact_quantiles(nan_to_null(df), list(columns), QUARTILES, n_rows, direct_rows)
+    counts = {c: stats[c]["count"] for c in columns}
+    found = exact_quantiles(nan_to_null(df), list(columns), QUARTILES, n_rows, counts, direct_rows)
     for c, q in found.items():
         stats[c].update(q1=q[0], median=q[1], q3=q[2])
 

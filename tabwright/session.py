@@ -42,3 +42,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="tabwright-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+SMALL_ROWS = 1_000_000
+ROWS_PER_TASK = 20_000
+
+
+def spread_small(df: DataFrame, n_rows: int) -> DataFrame:
+    """A small table over all cores: it may come as one split, and CPU-heavy counting would then use one core.
+
+    Tables above ``SMALL_ROWS`` are left alone; they have enough splits of their own and are not worth moving.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if ROWS_PER_TASK < n_rows <= SMALL_ROWS else df
+
+
+def gather_small(df: DataFrame, n_rows: int) -> DataFrame:
+    """A small table in few partitions, for fits that run a job per iteration; no effect on large tables."""
+    return df.coalesce(max(1, -(-n_rows // ROWS_PER_TASK))) if n_rows <= SMALL_ROWS else df
