@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import quoted
-from tabwright.functions.lookup import fits_broadcast
+from tabwright.functions.lookup import fits_broadcast, lookup
 from tabwright.functions.ordering import cut_keys, replicate, shuffle_key
 from tabwright.session import cut_lineage
 
@@ -47,8 +47,10 @@ def first_rows(
         F.array_sort(F.collect_list(F.struct("part", "cut", "taken", "copies"))).alias("_cuts")
     )
     if fits_broadcast(ordered.select("_group", F.size("_cuts"))):
-        ordered = F.broadcast(ordered)
-    joined = keyed.join(ordered, "_group", "left")
+        joined = keyed.join(F.broadcast(ordered), "_group", "left")
+    else:
+        sizes = keyed.groupBy("_group").agg(F.count("*").alias("_n"))
+        joined = lookup(keyed, cut_lineage(ordered.join(sizes, "_group")), ["_group"], "_n")
     # Groups without a cut-off get no part.
     passed = F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: F.col("_key") > c["cut"])))
     if not shared:

@@ -59,11 +59,12 @@ def test_replicate_in_chunks(spark, monkeypatch):
 
 @pytest.mark.parametrize("limit", [0, 10**9])
 def test_lookup_with_hot_keys(spark, limit):
-    rows = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    key = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 != 0, F.col("id") % 50)
+    rows = spark.range(2000).select(key.alias("k"), "id")
     table = rows.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 7").withColumn("v", F.col("k") * 10)
     out = lookup(rows, table, ["k"], "n", limit).collect()
     assert len(out) == 2000
-    assert all(r.v == (None if r.k == 7 else r.k * 10) for r in out)
+    assert all(r.v == (None if r.k is None or r.k == 7 else r.k * 10) for r in out)
 
 
 def test_split_with_copies_keeps_all_rows(spark):
@@ -74,6 +75,15 @@ def test_split_with_copies_keeps_all_rows(spark):
     assert tests == {"a": 30, "b": 2}
 
 
+def test_split_of_very_many_classes(spark, monkeypatch):
+    monkeypatch.setattr(split, "fits_broadcast", lambda table: False)
+    monkeypatch.setattr("tabwright.functions.ordering.fits_broadcast", lambda table: False)
+    rows = spark.range(1000).select((F.col("id") % 50).alias("t"), "id")
+    out = split.stratified_split(rows, "t", 0.25, keys=["id"])
+    assert {r["count"] for r in out.filter("split = 'test'").groupBy("t").count().collect()} == {5}
+    assert out.count() == 1000
+
+
 def test_split_refuses_keys_that_repeat(spark):
     rows = spark.createDataFrame([("a", 1)] * 10, "t string, k int")
     with pytest.raises(ValueError, match="do not tell all rows apart"):
