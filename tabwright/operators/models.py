@@ -29,7 +29,7 @@ from tabwright.operators.evaluate import confusion_matrix, metrics, roc_auc
 from tabwright.operators.knn import predict_knn
 from tabwright.operators.oner import OneRule, fit_one_rule
 from tabwright.operators.split import fold_count, stratified_folds
-from tabwright.session import gather_small
+from tabwright.session import cut_lineage, gather_small
 
 # Model names in their fixed order, search settings, and the parameters used below and above the gate.
 FOREST = "Random Forest"
@@ -116,7 +116,11 @@ class TrainingTable:
 def training_table(
     rows: DataFrame, rule_features: Sequence[str] = (), weighted: bool = False, keys: Sequence[str] | None = None
 ) -> TrainingTable:
-    """``weighted`` adds balanced class weights as the column ``weight``."""
+    """``weighted`` adds balanced class weights as the column ``weight``.
+
+    The assembled rows are written once; fits read them many times and would repeat lookups and encoding otherwise.
+    """
+    rows = cut_lineage(rows)
     row = rows.groupBy("label").agg(F.count("*").alias("n")).agg(F.sum("n"), F.count("*"), F.min("n")).first()
     if weighted:
         rows = with_class_weights(rows, "label")
