@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import mixing, packing, quality_rules, sharding
+from tabwright.llm import (
+    classifier, fingerprints, html_text, mixing, near_dup, packing, quality_rules, repeats, sharding, warc,
+)
 from tabwright.llm.common import table
 
 
@@ -15,10 +17,18 @@ def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op2_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, folder, "documents"))
+
+
 def op3_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(table(spark, folder, "documents"))
 
 
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extracted(table(spark, folder, "pages"))
+
+
 def op5_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.kd_shards(table(spark, folder, "documents"))
     return placed.select(
@@ -27,17 +37,98 @@ def op5_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_compression(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return classifier.scored(documents, classifier.fit(documents, table(spark, folder, "labels")))
+
+
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.read_archives(spark, warc.write_archives(table(spark, folder, "pages")))
+
+
+def op8_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.removed(table(spark, folder, "documents")).drop("starts")
+
+
+def op9_setsketch(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents"), size=4)
+
+
 def op10_entropy_mix(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents").select("doc_id", "text", "source")
-    mixed = mixing.entropy_balance(documents)
-    return mixed.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    mixed = mixing.entropy_balance(table(spark, folder, "documents"))
+    return mixed.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 QUERIES: dict[str, Callable] = {
     "op1_pack": op1_pack,
+    "op2_imatch": op2_imatch,
     "op3_host_rules": op3_host_rules,
+    "op4_html_text": op4_html_text,
     "op5_kd_shards": op5_kd_shards,
+    "op6_compression": op6_compression,
+    "op7_warc": op7_warc,
+    "op8_repeats": op8_repeats,
+    "op9_setsketch": op9_setsketch,
     "op10_entropy_mix": op10_entropy_mix,
 }
 
-ORACLES: dict[str, str] = {}
+WORDS = r"[^\x20\x09-\x0D]+"
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), l AS (
+  SELECT *, max(CASE WHEN payload_bytes >= 1000 THEN page_id END) OVER (PARTITION BY payload_digest) AS last FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN last IS NULL OR last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN last <> page_id THEN last END AS refers_to
+FROM l
+"""
+
+OP8_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
+), again AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM again
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept_text, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP9_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 3], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * common >= 80 * (p.n + q.n - common)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM d
+  UNION
+  SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), c AS (
+  SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM c LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op8_repeats": OP8_SQL, "op9_setsketch": OP9_SQL}
