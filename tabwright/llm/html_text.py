@@ -134,6 +134,8 @@ def main_text(html: str | None) -> str:
     parser = Lines()
     for at in range(0, len(html or ""), FEED_CHARS):
         parser.feed(html[at : at + FEED_CHARS])
+    if parser.rawdata.startswith("<!--"):  # a comment that is never closed
+        parser.rawdata = ""
     parser.close()
     parser.end_line()
     lines = parser.lines
