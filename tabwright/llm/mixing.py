@@ -98,34 +98,49 @@ def whole_copies(classes: DataFrame, most: int = MOST) -> DataFrame:
     return classes.drop("_error", "_room")
 
 
-def entropy_balance(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """Per row of ``docs`` (as struct ``_row``): ``doc_id, size, source_size, target, copies`` (0 to ``most``).
-
-    The null source is a source of its own, the last. Texts without a word (null, empty) have size 0 and one copy, as
-    they add nothing to a target. Repeated rows are separate documents. An empty table gives no rows. Reruns agree:
-    sums are exact and the order of the documents within a class is a hash of the row.
-    """
-    key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
-    sized = docs.select(
+def sized(docs: DataFrame) -> DataFrame:
+    """``_row`` (the row as it is), ``doc_id, _key, size`` and a hash of the text."""
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    key = F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source))
+    return docs.select(
         F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("_key"),
-        n_words(F.col("text").cast("string")).alias("size"),
+        n_words(text).alias("size"), F.xxhash64(text).alias("_tie"),
     )
-    sized = sized.withColumn("_tie", F.xxhash64(F.to_json("_row")))
-    classes = written(sized.groupBy("_key", "size").agg(F.count("*").alias("_n")))
+
+
+def class_copies(sizes: DataFrame, weights: tuple, share: float, most: int) -> DataFrame:
+    """``_key, size, _n, _copies, source_size, target``: a row per source and size, as a written table."""
+    classes = written(sizes.groupBy("_key", "size").agg(F.count("*").alias("_n")))
     sources = written(targets(classes, weights, share, most))
     filled = classes.filter("size > 0")
     duals = solved(filled, sources.filter("target > 0"), most).select("_key", "_dual", "_mean", "target")
     copies = whole_copies(filled.join(duals, "_key"), most).select("_key", "size", "_copies")
     counted = classes.join(copies, ["_key", "size"], "left").join(sources.drop("_mean"), "_key")
-    counted = written(counted.withColumn("_copies", F.when(F.col("size") == 0, F.col("_n")).otherwise(F.coalesce("_copies", F.lit(0)))))
+    empty = F.when(F.col("size") == 0, F.col("_n"))
+    return written(counted.withColumn("_copies", F.coalesce(empty, F.col("_copies"), F.lit(0))))
+
+
+def handed_out(sizes: DataFrame, counted: DataFrame) -> DataFrame:
+    """``sizes`` with ``source_size, target, copies``: the copies of a class go to its documents as evenly as can be."""
     rows = counted.agg(F.sum("_n")).first()[0] or 0
-    in_rank = ranked(sized, ["_key", "size"], ["doc_id", "_tie"], "_rank", rows).join(counted, ["_key", "size"])
-    share_of = F.floor(F.col("_copies") / F.col("_n")) + (F.col("_rank") < F.col("_copies") % F.col("_n")).cast("long")
-    return in_rank.select("_row", "doc_id", "size", "source_size", "target", share_of.cast("long").alias("copies"))
+    in_rank = ranked(sizes, ["_key", "size"], ["doc_id", "_tie"], "_rank", rows).join(counted, ["_key", "size"])
+    copies = F.floor(F.col("_copies") / F.col("_n")) + (F.col("_rank") < F.col("_copies") % F.col("_n")).cast("long")
+    return in_rank.withColumn("copies", copies.cast("long")).drop("_rank", "_n", "_copies", "_key", "_tie")
+
+
+def entropy_balance(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """``doc_id, size, source_size, target, copies`` (0 to ``most``) per row of ``docs``.
+
+    The null source is a source of its own, the last. Texts without a word (null, empty) have size 0 and one copy, as
+    they add nothing to a target. Repeated rows are separate documents. An empty table gives no rows. Reruns agree:
+    sums are exact and the order of the documents within a class is a hash of their ids.
+    """
+    sizes = written(sized(docs).drop("_row"))
+    return handed_out(sizes, class_copies(sizes, weights, share, most))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    balanced = entropy_balance(docs, weights, share, most)
-    repeated = balanced.filter("copies > 0").select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select("_row.*")
+    """The rows of ``docs``, each as often as the mix takes it; with the cases of `entropy_balance`."""
+    counted = class_copies(sized(docs).drop("_row"), weights, share, most)
+    taken = handed_out(sized(docs), counted).filter("copies > 0")
+    return taken.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
