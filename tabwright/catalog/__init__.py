@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-AREAS = ("profile", "quality", "repair", "prepare", "evaluate", "model", "report")
+AREAS = ("profile", "quality", "repair", "prepare", "evaluate", "model", "report", "identity")
 
 
 def _merge(attribute: str) -> dict:

@@ -37,7 +37,7 @@ def one_model(name):
 
     def query(spark, folder):
         _, table, test = prepared(spark, folder)
-        fitted = models.train(name, table, tuning_rows=10**12)
+        fitted = models.train(name, table)
         scored = fitted.predict(test)
         return scored.groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
@@ -124,7 +124,7 @@ def model_params(spark, folder):
 
 def feature_importance(spark, folder):
     prep, table, _ = prepared(spark, folder)
-    fitted = models.train(models.FOREST, table, tuning_rows=10**12)
+    fitted = models.train(models.FOREST, table)
     rows = models.feature_importance(fitted, prepare.feature_names(prep))
     return spark.createDataFrame(rows, "feature string, importance double")
 

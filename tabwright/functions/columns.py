@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,8 +80,41 @@ def grouping_key(text: Column) -> Column:
     return F.when(F.length(text) <= PLAIN_KEY_LENGTH, text).otherwise(digest)
 
 
+def exact_text(value: Column, data_type: T.DataType) -> Column:
+    """Text that is equal exactly when the values are: no rounding, no time zone, parts told apart by their lengths."""
+    if isinstance(data_type, T.TimestampType):
+        return F.unix_micros(value).cast("string")
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return (value + F.lit(0.0)).cast("string")  # one zero
+    if isinstance(data_type, T.BinaryType):
+        return F.hex(value)
+    if isinstance(data_type, VectorUDT):
+        return exact_text(vector_to_array(value), T.ArrayType(T.DoubleType()))
+    if isinstance(data_type, T.ArrayType):
+        return F.concat_ws("", F.transform(value, lambda x: measured_text(x, data_type.elementType)))
+    if isinstance(data_type, T.MapType):
+        entry = T.StructType([T.StructField("key", data_type.keyType), T.StructField("value", data_type.valueType)])
+        return F.concat_ws("", F.array_sort(F.transform(F.map_entries(value), lambda x: measured_text(x, entry))))
+    if isinstance(data_type, T.StructType):
+        return F.concat(*[measured_text(value.getField(f.name), f.dataType) for f in data_type.fields]) if data_type.fields else F.lit("")
+    if isinstance(data_type, T.VariantType):
+        return F.to_json(value)
+    return value.cast("string")
+
+
+def measured_text(value: Column, data_type: T.DataType) -> Column:
+    """``length:text``, and ``-`` for NULL, so that a row of them can be read in one way only."""
+    text = exact_text(value, data_type)
+    return F.when(value.isNull(), F.lit("-")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
+
+
 def slot_of(data_type: T.DataType) -> str:
-    """Where values of a type are kept when columns are stacked: ``as_long``, ``as_double`` or ``as_text``."""
+    """Where values of a type are kept when columns are stacked: ``as_long``, ``as_double`` or ``as_text``.
+
+    Decimals are text, as neither of the others holds all of them.
+    """
+    if isinstance(data_type, T.DecimalType):
+        return "as_text"
     return {"int": "as_long", "float": "as_double"}.get(kind_of(data_type), "as_text")
 
 
@@ -90,6 +125,8 @@ def typed_key(name: str, data_type: T.DataType, digest: bool) -> Column:
         return value.cast("bigint")
     if slot == "as_double":
         return value.cast("double")
+    if digest and not isinstance(data_type, T.StringType):
+        return grouping_key(F.when(value.isNotNull(), exact_text(value, data_type)))
     if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
         value = F.when(value.isNotNull(), F.to_json(F.struct(value)))
     elif isinstance(data_type, T.BinaryType):

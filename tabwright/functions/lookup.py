@@ -19,8 +19,8 @@ def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     for name, dtype in table.dtypes:
         if dtype == "string":
             width = width + F.coalesce(F.octet_length(quoted(name)), F.lit(0))
-        elif dtype.startswith("array"):
-            width = width + F.coalesce(F.size(quoted(name)), F.lit(0)) * 16
+        elif dtype.startswith(("array", "struct", "map")):
+            width = width + 2 * F.coalesce(F.octet_length(F.to_json(F.struct(quoted(name)))), F.lit(0))
     size = table.agg(F.sum(width.cast("bigint")).alias("bytes")).first()["bytes"]
     return (size or 0) <= limit
 

@@ -7,20 +7,20 @@ add per-partition offsets; or they find a cut-off key by counting prefixes, whic
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.functions.columns import quoted
+from tabwright.functions.columns import measured_text, quoted
 from tabwright.functions.lookup import fits_broadcast
 from tabwright.session import cut_lineage
 
 SINGLE_TASK_ROWS = 1_000_000
 COPIES_PER_TASK_ROW = 100_000
-PREFIX_LENGTH = 4  # hex digits: 65,536 buckets per group
+PREFIX_LENGTHS = (4, 10)  # hex digits, at least and at most
+PREFIX_ROWS = 10_000  # rows of one prefix, about
 
 
 def running_sum(
@@ -65,15 +65,15 @@ def number_rows(
 
 
 def shuffle_key(seed: int, keys: Sequence[str] | None, df: DataFrame) -> Column:
-    """A repeatable random order: md5 of seed and key columns, or of the whole row when no key is given."""
-    if keys:
-        parts = [F.coalesce(quoted(k).cast("string"), F.lit("\\N")) for k in keys]
+    """A repeatable random order: md5 of seed and key columns, or of the whole row when no key is given.
+
+    Rows have one key exactly when they are equal: values count in full, and several of them are told apart by length.
+    """
+    if keys and len(keys) == 1:
+        parts = [F.coalesce(quoted(keys[0]).cast("string"), F.lit("\\N"))]
     else:
-        plain = [
-            vector_to_array(quoted(f.name)).alias(f.name) if isinstance(f.dataType, VectorUDT) else quoted(f.name)
-            for f in df.schema.fields
-        ]
-        parts = [F.to_json(F.struct(*plain), {"ignoreNullFields": "false"})]
+        types = {f.name: f.dataType for f in df.schema.fields}
+        parts = [F.concat(*[measured_text(quoted(c), types[c]) for c in keys or df.columns])]
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 
@@ -84,7 +84,8 @@ def cut_keys(keyed: DataFrame, group: str, quotas: DataFrame) -> DataFrame:
     ``group, part, cut, taken, copies``: ``taken`` of the ``copies`` rows with that key are among the first.
     Two counting passes; the second looks only at one prefix bucket per (group, part).
     """
-    prefix = F.substring("_key", 1, PREFIX_LENGTH)
+    digits = math.ceil(math.log(max(1, keyed.count() / PREFIX_ROWS), 16))
+    prefix = F.substring("_key", 1, min(max(PREFIX_LENGTHS[0], digits), PREFIX_LENGTHS[1]))
     coarse = keyed.groupBy(group, prefix.alias("_prefix")).agg(F.count("*").alias("_n"))
     by_prefix = Window.partitionBy(group).orderBy("_prefix")
     coarse = coarse.withColumn("_upto", F.sum("_n").over(by_prefix))
@@ -118,7 +119,7 @@ def replicate(df: DataFrame, times: str) -> DataFrame:
     chunks = F.when(F.col(times) > 0, F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(times) - 1) / step)))
     chunked = df.withColumn("_chunk", F.explode(chunks))
     if df.filter(F.col(times) > step).limit(1).count():
-        chunked = chunked.repartition("_chunk")
+        chunked = chunked.withColumn("_row_key", shuffle_key(0, None, df)).repartition("_row_key", "_chunk").drop("_row_key")
     copies = F.least(step.cast("bigint"), F.col(times) - F.col("_chunk") * step)
     return chunked.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies))).drop(
         "_chunk", "_copy", times

@@ -15,9 +15,13 @@ from tabwright.session import cut_lineage
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """``actual, predicted, n`` for every pair of labels that occur, zeros included."""
+    """``actual, predicted, n`` for every pair of labels that occur, zeros included. A missing value is an error."""
+
+    def given(column: str) -> Column:
+        return F.coalesce(quoted(column).cast("double"), F.raise_error(F.lit(f"{column} is missing in a row to evaluate")))
+
     counted = (
-        df.select(quoted(label).cast("double").alias("actual"), quoted(prediction).cast("double").alias("predicted"))
+        df.select(given(label).alias("actual"), given(prediction).alias("predicted"))
         .groupBy("actual", "predicted")
         .agg(F.count("*").alias("n"))
     )

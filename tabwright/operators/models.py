@@ -5,16 +5,20 @@ from __future__ import annotations
 import itertools
 import random
 import time
+import warnings
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
+    LinearSVCModel,
     LogisticRegression,
+    LogisticRegressionModel,
     NaiveBayes,
     OneVsRest,
+    OneVsRestModel,
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
@@ -31,7 +35,7 @@ from tabwright.operators.oner import OneRule, fit_one_rule
 from tabwright.operators.split import fold_count, stratified_folds
 from tabwright.session import cut_lineage, gather_small
 
-# Model names in their fixed order, search settings, and the parameters used below and above the gate.
+# Model names in their fixed order, search settings and default parameters, the same for tables of any size.
 FOREST = "Random Forest"
 TREE = "Decision Tree"
 LOGISTIC = "Logistic Regression"
@@ -40,7 +44,6 @@ NEIGHBOURS = "K-Nearest Neighbors"
 BAYES = "Naive Bayes"
 ONE_RULE = "OneR Classifier"
 MODEL_ORDER = (FOREST, TREE, LOGISTIC, SVM, NEIGHBOURS, BAYES, ONE_RULE)
-TUNING_ROWS = 20_000
 RANDOM_TRIES = 20
 SEED = 42
 SEARCH_GRIDS = {
@@ -52,16 +55,6 @@ SEARCH_GRIDS = {
     BAYES: {},
     ONE_RULE: {},
 }
-# Library-default size above the gate; depth is the deepest that MLlib grows.
-UNTUNED = {
-    FOREST: {"numTrees": 100, "maxDepth": 30},
-    TREE: {"impurity": "gini", "maxDepth": 30},
-    LOGISTIC: {"C": 1.0},
-    SVM: {"C": 1.0},
-    NEIGHBOURS: {"k": 5},
-    BAYES: {},
-    ONE_RULE: {},
-}
 WEIGHTED = (FOREST, TREE, LOGISTIC, SVM)
 MOST_BINS = 256
 TREE_BATCH_MEMORY_MB = 1024
@@ -168,6 +161,7 @@ def search(
     k = fold_count(table.smallest_class)
     folds = stratified_folds(table.rows, "label", k, SEED, table.keys).withColumn("fold", F.col("fold").cast("int"))
     folds = gather_small(folds, table.n_rows).persist()
+    part = replace(table, n_rows=round(table.n_rows * (k - 1) / k))  # what a fold trains on; sets the penalty
     try:
         scores = []
         for params in tried:
@@ -175,7 +169,7 @@ def search(
                 scores.append(_cross_accuracy(name, params, folds, k, table))
                 continue
             cv = CrossValidator(
-                estimator=estimator(name, params, table), estimatorParamMaps=[{}],
+                estimator=estimator(name, params, part), estimatorParamMaps=[{}],
                 evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=k, foldCol="fold",
                 parallelism=parallelism, seed=SEED,
             )
@@ -203,18 +197,26 @@ def fit(name: str, table: TrainingTable, params: Mapping | None = None) -> Fitte
         if not table.rule_features:
             raise ValueError("one-rule needs the plain feature columns")
         return Fitted(name, params, fit_one_rule(table.rows, table.rule_features, "label"))
-    return Fitted(name, params, estimator(name, params, table).fit(gather_small(table.rows, table.n_rows)))
+    model = estimator(name, params, table).fit(gather_small(table.rows, table.n_rows))
+    check_converged(name, model)
+    return Fitted(name, params, model)
+
+
+def check_converged(name: str, model: object) -> None:
+    """Warn when a linear model stopped at its last allowed iteration."""
+    parts = model.models if isinstance(model, OneVsRestModel) else [model]
+    for part in parts:
+        if isinstance(part, (LinearSVCModel, LogisticRegressionModel)):
+            summary = part.summary() if callable(part.summary) else part.summary
+            if summary.totalIterations >= part.getMaxIter():
+                warnings.warn(f"{name} stopped after {part.getMaxIter()} iterations before it converged", stacklevel=3)
 
 
-def train(
-    name: str, table: TrainingTable, how: str = "grid", grids: Mapping | None = None, tuning_rows: int = TUNING_ROWS
-) -> Fitted:
-    """Search where the grid has a choice and the table is not too large, then fit on all training rows."""
+def train(name: str, table: TrainingTable, how: str = "grid", grids: Mapping | None = None) -> Fitted:
+    """Search where the grid has a choice, then fit on all training rows; ``how="none"`` takes the first setting."""
     started = time.monotonic()
     grid = (grids or SEARCH_GRIDS).get(name, {})
-    if table.n_rows > tuning_rows:
-        params = dict(UNTUNED[name])
-    elif len(combinations(grid)) > 1:
+    if how != "none" and len(combinations(grid)) > 1:
         params, _ = search(name, table, grid, how)
     else:
         params = combinations(grid)[0]
@@ -292,7 +294,6 @@ def train_all(
     how: str = "grid",
     names: Sequence[str] = MODEL_ORDER,
     grids: Mapping | None = None,
-    tuning_rows: int = TUNING_ROWS,
 ) -> TrainingReport:
     """Fit and evaluate the models one after another on the same cached rows."""
     rows, held = gather_small(table.rows, table.n_rows).persist(), gather_small(test, test.count()).persist()
@@ -300,7 +301,7 @@ def train_all(
     report = TrainingReport({}, {}, {})
     try:
         for name in names:
-            fitted = train(name, cached, how, grids, tuning_rows)
+            fitted = train(name, cached, how, grids)
             report.fitted[name] = fitted
             report.metrics[name], report.confusion[name] = evaluate(fitted, held)
     finally:

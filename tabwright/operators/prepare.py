@@ -14,8 +14,9 @@ from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, VectorAssemble
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabwright.functions.columns import kind_of, kinds, nan_to_null, number, quoted
+from tabwright.functions.columns import kind_of, kinds, nan_to_null, number, quoted, typed_key
 from tabwright.functions.lookup import lookup
 from tabwright.functions.ordering import number_rows
 from tabwright.functions.quantiles import exact_quantiles
@@ -128,7 +129,9 @@ def fill_category(column: str, value: object) -> Column:
 def category_table(filled: DataFrame, categorical: Sequence[str], n_rows: int) -> DataFrame:
     """``column, value, n, code, std``: categories in sorted order, numbers in number order; ``std`` of the indicator."""
     counted = value_counts(filled, categorical)
-    ordered = number_rows(counted, [F.col(c) for c in ("cid", "as_long", "as_double", "as_text")], "place")
+    exact = [i for i, c in enumerate(categorical) if isinstance(filled.schema[c].dataType, T.DecimalType)]
+    in_order = F.when(F.col("cid").isin(exact), F.col("as_text").cast("double"))
+    ordered = number_rows(counted, [F.col("cid"), F.col("as_long"), F.coalesce("as_double", in_order), F.col("as_text")], "place")
     starts = ordered.groupBy("cid").agg(F.min("place").alias("start"))  # one row per column
     names = F.array(*[F.lit(c) for c in categorical])
     share = F.col("n") / F.lit(float(n_rows))
@@ -234,7 +237,7 @@ def target_codes(train: DataFrame, target: str) -> DataFrame:
 
 def encode_target(df: DataFrame, target: str, codes: DataFrame, name: str = "label") -> DataFrame:
     table = codes.select(F.col("value").alias("_value"), F.col("code").cast("double").alias(name), "n")
-    text = quoted(target).cast("bigint" if kinds(df)[target] == "int" else df.schema[target].dataType).cast("string")
+    text = typed_key(target, df.schema[target].dataType, digest=False).cast("string")
     return lookup(df.withColumn("_value", text), table, ["_value"], "n").drop("_value")
 
 

@@ -12,6 +12,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.functions.columns import (
     columns_of_kind,
@@ -117,10 +118,12 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
         return {}
     counted = value_counts(df, columns)
     top = counted.groupBy("cid").agg(F.max("n").alias("n"))  # one row per column
+    exact = {i: df.schema[c].dataType for i, c in enumerate(columns) if isinstance(df.schema[c].dataType, T.DecimalType)}
+    decimals = [F.min(F.when(F.col("cid") == i, F.col("as_text")).cast(t)) for i, t in exact.items()]
     best = (
         counted.join(F.broadcast(top), ["cid", "n"])
         .groupBy("cid")
-        .agg(F.min("as_long"), F.min("as_double"), F.min("as_text"))
+        .agg(*decimals, F.min("as_long"), F.min("as_double"), F.min("as_text"))
         .collect()
     )
     found = {columns[r[0]]: next((v for v in r[1:] if v is not None), None) for r in best}

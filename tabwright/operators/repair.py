@@ -6,13 +6,14 @@ of a stage together, and the log of what was done is a small table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.functions.columns import kind_of, kinds, nan_to_null, number, quoted
+from tabwright.functions.columns import INTEGRAL, kind_of, kinds, nan_to_null, number, quoted
 from tabwright.functions.lookup import lookup
 from tabwright.functions.quantiles import exact_quantiles
 from tabwright.operators.feature_types import CONTINUOUS, NUMERIC_TYPES, FeatureTypes, column_groups
@@ -222,9 +223,13 @@ def outlier_bounds(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[flo
     return {c: fences(*q) for c, q in found.items() if q[0] is not None}
 
 
-def cap(column: str, low: float, high: float) -> Column:
-    x = quoted(column).cast("double")
-    return F.when(x < low, F.lit(low)).when(x > high, F.lit(high)).otherwise(x)
+def cap(column: str, low: float, high: float, data_type: T.DataType) -> Column:
+    """The column within its bounds and of its type; whole numbers take the nearest whole number inside."""
+    x = quoted(column)
+    if isinstance(data_type, INTEGRAL):
+        low, high = math.ceil(low), math.floor(high)
+    low, high = (F.lit(bound).cast(data_type) for bound in (low, high))
+    return F.when(number(column) < low, low).when(number(column) > high, high).otherwise(x)
 
 
 def handle_outliers(
@@ -258,7 +263,7 @@ def handle_outliers(
         below, above, outside = row[3 * i + 1 : 3 * i + 4]
         common = dict(feature_type=_type(types, c), detail_action=action, lower=low, upper=high)
         if action == CAP:
-            capped[c] = cap(c, low, high)
+            capped[c] = cap(c, low, high, df.schema[c].dataType)
             log.append(log_entry(STAGE_OUTLIERS, c, **common, capped_below=below, capped_above=above))
         else:
             left -= outside

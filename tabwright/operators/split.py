@@ -46,7 +46,7 @@ def first_rows(
     ordered = cuts.groupBy("_group").agg(
         F.array_sort(F.collect_list(F.struct("part", "cut", "taken", "copies"))).alias("_cuts")
     )
-    if fits_broadcast(ordered.select("_group", F.size("_cuts"))):
+    if fits_broadcast(ordered):
         joined = keyed.join(F.broadcast(ordered), "_group", "left")
     else:
         sizes = keyed.groupBy("_group").agg(F.count("*").alias("_n"))

@@ -122,26 +122,35 @@ def transform(
 
 
 def transform_presplit(train: DataFrame, test: DataFrame, target: str, config: Config | None = None) -> Transformed:
-    """Preparation for tables that come split: types from both together, fit on the training table, no repair."""
+    """Preparation for tables that come split: types from both together, fit on the training table, no repair.
+
+    Rows without a target are dropped from either table, with a log entry.
+    """
     config = config or Config()
     train, test = normalize_missing(nan_to_null(train)), normalize_missing(nan_to_null(test))
+    log: list[dict] = []
+    unlabelled = sum(t.filter(quoted(target).isNull()).count() for t in (train, test))
+    if unlabelled:
+        train, test = (t.filter(quoted(target).isNotNull()) for t in (train, test))
+        log.append(log_entry(STAGE_TARGET, target, detail_action="drop_rows", rows_removed=unlabelled))
     types = infer_types(train.unionByName(test), target)
     groups = column_groups(types)
     prep = prepare.fit(
         train, groups["numeric"], groups["categorical"], config.imputation, config.scaling, config.encoding
     )
-    return Transformed(train, test, target, prep, prepare.target_codes(train, target), types, [], None)
+    return Transformed(train, test, target, prep, prepare.target_codes(train, target), types, log, None)
 
 
-def train(
-    result: Transformed, how: str = "grid", names: Sequence[str] = models.MODEL_ORDER, tuning_rows: int = models.TUNING_ROWS
-) -> models.TrainingReport:
-    """Fit and compare the models on a transformed table."""
+def train(result: Transformed, how: str = "grid", names: Sequence[str] = models.MODEL_ORDER) -> models.TrainingReport:
+    """Fit and compare the models on a transformed table. A test row of a class that training lacks is an error."""
     table = models.training_table(
         result.prepared(result.train), result.plain_features, weighted=result.weights is not None
     )
-    held = result.prepared(result.test).filter("label IS NOT NULL")
-    return models.train_all(table, held, how, names, tuning_rows=tuning_rows)
+    held = result.prepared(result.test)
+    unseen = held.filter("label IS NULL").count()
+    if unseen:
+        raise ValueError(f"{unseen} test rows have a class that the training table lacks")
+    return models.train_all(table, held, how, names)
 
 
 def run(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,22 +28,25 @@ def local_session(cores: int | None = None, app: str = "tabwright") -> SparkSess
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return a frame that reads it back.
+    """Write ``df`` as Parquet to the shared folder and return a frame that reads it back.
 
-    Used where a later step must see the very same rows again (row numbers given by a sort) even if an
-    executor is lost. The folder is the session's ``spark.checkpoint.dir``; only a local session without
-    that setting gets a temporary one.
+    Used where a later step must see the very same rows again (row numbers given by a sort) even if an executor is
+    lost; a later step reads only the columns it needs. The folder is the session's ``spark.checkpoint.dir``; only a
+    session in one JVM without that setting gets a temporary one. The files go when the application ends.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tabwright-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tabwright-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 SMALL_ROWS = 1_000_000
@@ -58,5 +63,5 @@ def spread_small(df: DataFrame, n_rows: int) -> DataFrame:
 
 
 def gather_small(df: DataFrame, n_rows: int) -> DataFrame:
-    """A small table in few partitions, for fits that run a job per iteration; no effect on large tables."""
-    return df.coalesce(max(1, -(-n_rows // ROWS_PER_TASK))) if n_rows <= SMALL_ROWS else df
+    """At most one partition per ``ROWS_PER_TASK`` rows, for fits that run a job per iteration."""
+    return df.coalesce(max(1, -(-n_rows // ROWS_PER_TASK)))
