@@ -7,7 +7,9 @@ of candidates the registers that are larger, smaller and equal give the most lik
 threshold are settled on the full sets.
 
 Texts with equal sets are one class from the start, whatever their number. Within a bucket of a band, classes are first
-compared with one leader; only classes that are still in different components are compared with each other.
+compared with a leader; only classes that are still in different components are compared with each other. How many of
+its members a set has to itself bounds its similarity to any other, so that the many sets of a large group that are
+like none of the others are not compared with all of them.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import written
@@ -32,6 +34,7 @@ TOP = 65_535
 #: Pairs whose likelihood is greatest below this similarity are not compared in full: 5 standard errors from 0.8.
 LEAST_LIKELY = 0.6
 BROADCAST_IDS = 1_000_000
+BLOCK_BYTES = 1 << 24
 _RANDOM = np.random.default_rng(20_240_101)
 MULTIPLIERS = _RANDOM.integers(1, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 MASKS = _RANDOM.integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2)
@@ -131,8 +134,43 @@ def banded(classes: DataFrame) -> DataFrame:
     return classes.select("id", "sketch").mapInArrow(keys, "key long, id long")
 
 
+def possible(n_a: Column, shared_a: Column, n_b: Column, shared_b: Column, threshold: int) -> Column:
+    """Whether two sets may be alike, when at most ``shared`` of their members are in any other set."""
+    most = F.least(shared_a, shared_b)
+    return (most * (100 + threshold) >= (n_a + n_b) * threshold) & (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * threshold)
+
+
+def lone_members(sets: DataFrame) -> DataFrame:
+    """``id, lone``: how many members of a set are in no other set.
+
+    A task counts within its own sets first and sends a member that several of them have once, without an id.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(parts: list) -> pa.RecordBatch:
+            members = np.concatenate([np.frombuffer(m, np.uint64) for _, m in parts])
+            ids = np.repeat(np.array([i for i, _ in parts], np.int64), [len(m) // 8 for _, m in parts])
+            members, first, counts = np.unique(members, return_index=True, return_counts=True)
+            return pa.record_batch([pa.array(members.view(np.int64)), pa.array(ids[first], mask=counts > 1)], ["member", "id"])
+
+        parts, size = [], 0
+        for batch in batches:
+            for row in zip(batch.column("id").to_pylist(), batch.column("members").to_pylist(), strict=True):
+                parts.append(row)
+                size += len(row[1])
+                if size >= BLOCK_BYTES:
+                    yield told(parts)
+                    parts, size = [], 0
+        if parts:
+            yield told(parts)
+
+    sent = sets.select("id", "members").mapInArrow(send, "member long, id long")
+    alone = sent.groupBy("member").agg(F.count("*").alias("_n"), F.min("id").alias("id")).filter("_n = 1 AND id IS NOT NULL")
+    return alone.groupBy("id").agg(F.count("*").alias("lone"))
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Of ``a, b`` those with 100 * intersection >= threshold * union; first judged by sizes and sketches."""
+    """Of ``a, b`` those with 100 * intersection >= threshold * union; first judged by their sketches."""
 
     def likely(n_a: pd.Series, n_b: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
         if not len(a):
@@ -151,7 +189,6 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
     small = classes.select("id", "n", "sketch")
     named = pairs.join(small.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "a")
     named = named.join(small.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")), "b")
-    named = named.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold)
     named = named.filter(F.pandas_udf(likely, "boolean")("n_a", "n_b", "s_a", "s_b")).select("a", "b")
     full = named.join(sets.select(F.col("id").alias("a"), F.col("members").alias("m_a")), "a")
     full = full.join(sets.select(F.col("id").alias("b"), F.col("members").alias("m_b")), "b")
@@ -189,6 +226,32 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return written(joined.select("id", F.coalesce("to", "component").alias("component")))
 
 
+def with_leader(members: DataFrame, best: Column, threshold: int) -> DataFrame:
+    """``a, b``: each member of a bucket with its leader, the one with the smallest ``best``, if they may be alike."""
+    leader = F.min_by(F.struct("id", "component", "n", "shared"), F.struct(best, F.col("id")))
+    buckets = members.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), leader.alias("_leader"))
+    pairs = members.join(buckets.filter("_low <> _high").select("key", "_leader"), "key").filter("component <> _leader.component")
+    pairs = pairs.filter(possible(F.col("n"), F.col("shared"), F.col("_leader.n"), F.col("_leader.shared"), threshold))
+    return pairs.select(F.least("id", "_leader.id").alias("a"), F.greatest("id", "_leader.id").alias("b")).distinct()
+
+
+def still_apart(members: DataFrame, threshold: int) -> DataFrame:
+    """``a, b``: pairs of a bucket in different components that may be alike.
+
+    A member that shares too little even with the smallest set of its bucket goes first; so most buckets are of one
+    component then, and the others hold few members besides their main one.
+    """
+    mixed_up = [F.min("component").alias("_low"), F.max("component").alias("_high"), F.min("n").alias("_least")]
+    buckets = members.groupBy("key").agg(*mixed_up).filter("_low <> _high").select("key", "_least")
+    least = F.greatest("_least", F.ceil(F.col("n") * threshold / 100))
+    left = members.join(buckets, "key").filter(F.col("shared") * (100 + threshold) >= (F.col("n") + least) * threshold)
+    left = written(left.select("key", "id", "n", "shared", "component"))
+    left = written(left.join(left.groupBy("key").agg(*mixed_up).filter("_low <> _high").select("key"), "key", "left_semi"))
+    other = left.select("key", *[F.col(c).alias(f"_{c}") for c in ("id", "n", "shared", "component")])
+    alike = possible(F.col("n"), F.col("shared"), F.col("_n"), F.col("_shared"), threshold)
+    return left.join(other, "key").filter((F.col("component") < F.col("_component")) & alike).select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row of ``docs``.
 
@@ -201,32 +264,25 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes)
     keys = banded(classes)
-    buckets = keys.groupBy("key").agg(F.count("*").alias("_size"), F.min("id").alias("leader")).filter("_size > 1").select("key", "leader")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("_size")).filter("_size > 1").select("key")
     members = written(keys.join(buckets, "key"))
     ids = written(members.select("id").distinct())
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = written(shingled(docs.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), size))
-    sketches = classes.join(wanted, "id", "left_semi")
+    lone = lone_members(sets)
+    sketches = classes.join(wanted, "id", "left_semi").join(lone, "id", "left")
+    sketches = written(sketches.select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"), "sketch"))
+    # A set is like another only if enough of its members are in other sets at all.
+    members = members.join(sketches.select("id", "n", "shared").filter(F.col("shared") * 100 >= F.col("n") * threshold), "id")
+    members = written(members.select("key", "id", "n", "shared"))
 
     nodes = ids.select("id", F.col("id").alias("component"))
-    pairs = members.filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    nodes = components(nodes, confirmed(pairs, sketches, sets, threshold))
-    # A second leader, another one in each bucket, for classes that the first has not joined.
-    labelled = written(members.select("key", "id").join(nodes, "id"))
-    mixed_up = labelled.groupBy("key").agg(
-        F.min("component").alias("_low"), F.max("component").alias("_high"),
-        F.min_by(F.struct("id", "component"), F.xxhash64("key", "id")).alias("_leader"),
-    ).filter("_low <> _high")
-    pairs = labelled.join(mixed_up.select("key", "_leader"), "key").filter("component <> _leader.component")
-    pairs = pairs.select(F.least("id", "_leader.id").alias("a"), F.greatest("id", "_leader.id").alias("b")).distinct()
+    # Two leaders: the one with the largest share of members in other sets, then any other, for those not yet joined.
+    for best in (-F.col("shared") / F.col("n"), F.xxhash64("key", "id")):
+        pairs = with_leader(members.join(nodes, "id"), best, threshold)
+        nodes = components(nodes, confirmed(pairs, sketches, sets, threshold))
+    pairs = written(still_apart(members.join(nodes, "id"), threshold))
     nodes = components(nodes, confirmed(pairs, sketches, sets, threshold))
-    # What is left: classes of one bucket in different components.
-    labelled = written(members.select("key", "id").join(nodes, "id"))
-    mixed_up = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high")
-    apart = written(labelled.join(mixed_up.select("key"), "key", "left_semi"))
-    other = apart.select("key", F.col("id").alias("b"), F.col("component").alias("_other"))
-    pairs = apart.select("key", F.col("id").alias("a"), "component").join(other, "key").filter("component < _other").select("a", "b").distinct()
-    nodes = components(nodes, confirmed(written(pairs), sketches, sets, threshold))
 
     groups = classes.select("digest", "id").join(nodes, "id", "left").select("digest", F.coalesce("component", "id").alias("_component"))
     seek = F.coalesce("digest", F.encode(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8"))
