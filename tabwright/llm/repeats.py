@@ -90,31 +90,44 @@ class Block:
         self.size += len(position)
 
     def flush(self) -> pa.RecordBatch | None:
-        """Per hash the first occurrence, to be compared with other blocks; all others are known to repeat: no hash."""
+        """Per hash the first occurrence, to be compared with other blocks. All others are known to repeat: runs of them
+        go without a hash. Rows keep the order of the text, in which neighbours compress well."""
         if not self.size:
             self.parts, self.rows = [], []
             return None
         first, other, at, position = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        ids = np.array([r[0] for r in self.rows], np.int64)[at]
-        order = np.lexsort((position, ids, other, first)) if self.second else np.lexsort((position, ids, first))
+        ids, texts = (np.array([r[k] for r in self.rows], np.int64)[at] for k in (0, 1))
+        order = np.lexsort((position, ids, other, first) if self.second else (position, ids, first))
         f, o, d, p = first[order], other[order], ids[order], position[order]
         new = np.ones(len(f), bool)
         new[1:] = (f[1:] != f[:-1]) | (o[1:] != o[:-1])
         start = np.maximum.accumulate(np.where(new, np.arange(len(f)), 0))
-        again = (d != d[start]) | (p != p[start])
-        several = np.zeros(len(f), bool)
-        np.logical_or.at(several, start, again)
-        keep = again | new
-        keyed = pa.array(f[keep].view(np.int64), mask=again[keep])
-        keyed2 = pa.array((o[keep] >> U(32)).astype(np.uint32).view(np.int32), mask=again[keep])
-        text_ids = np.array([r[1] for r in self.rows], np.int64)[at][order]
-        local = pa.array((several[start] if not self.second else again)[keep])
-        found = [keyed, keyed2, pa.array(d[keep]), pa.array(text_ids[keep]), pa.array(p[keep].astype(np.int32)), local]
+        later = (d != d[start]) | (p != p[start])
+        repeated = np.zeros(len(f), bool)
+        repeated[start[later]] = True
+        sent, again, several = (np.empty(len(f), bool) for _ in range(3))
+        sent[order], again[order], several[order] = new, later, repeated
+        run = np.flatnonzero(again)
+        breaks = np.ones(len(run), bool)
+        breaks[1:] = (not self.second) | (np.diff(run) > 1) | (np.diff(at[run]) != 0) | (np.diff(position[run]) != 1)
+        begins = np.flatnonzero(breaks)
+        lengths = np.diff(np.append(begins, len(run)))
+        rows = np.concatenate([np.flatnonzero(sent), run[begins]])
+        without = np.arange(len(rows)) >= sent.sum()
+        seconds = (other[rows] >> U(32)).astype(np.uint32).view(np.int32)
+        found = [
+            pa.array(first[rows].view(np.int64), mask=without), pa.array(seconds, mask=without if self.second else np.ones(len(rows), bool)),
+            pa.array(ids[rows]), pa.array(texts[rows]), pa.array(position[rows].astype(np.int32)),
+            pa.array(np.where(without, np.append(np.ones(sent.sum(), np.int64), lengths), 1).astype(np.int32)),
+            pa.array(without | (several[rows] & (not self.second))),
+        ]
         self.parts, self.rows, self.size = [], [], 0
-        return pa.record_batch(found, ["hash", "hash2", "_id", "_text", "position", "known"])
+        return pa.record_batch(found, ["hash", "hash2", "_id", "_text", "position", "n", "known"])
 
 
-OCCURRENCE = "hash long, hash2 int, _id long, _text long, position int, known boolean"
+OCCURRENCE = "hash long, hash2 int, _id long, _text long, position int, n int, known boolean"
+#: A run of window starts as one number: the first in the high bits, how many in the low ones.
+RUN_BITS = 31
 
 
 def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +166,13 @@ def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def covered(n_words: int, starts: list[int] | None) -> np.ndarray:
-    """Which words lie in a window that starts at one of the places."""
-    marks = np.zeros(n_words + LEAST + 1, np.int64)
+    """Which words lie in a window that starts within one of the runs."""
+    marks = np.zeros(n_words + 1, np.int64)
     if starts:
-        at = np.asarray(starts, np.int64)
+        run = np.asarray(starts, np.int64)
+        at = run >> RUN_BITS
         np.add.at(marks, at, 1)
-        np.add.at(marks, at + LEAST, -1)
+        np.add.at(marks, at + (run & ((1 << RUN_BITS) - 1)) + LEAST - 1, -1)
     return np.cumsum(marks)[:n_words] > 0
 
 
@@ -184,22 +198,20 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def gathered(occurrences: DataFrame, name: str) -> DataFrame:
-    return occurrences.groupBy("_id", "_text").agg(F.collect_set("position").alias(name))
-
-
 def repeats(rows: DataFrame) -> DataFrame:
-    """``_id, _text, starts``: where the repeated windows of each document with any start."""
+    """``_id, _text, starts``: runs of places where repeated windows start, per document with any."""
     hashed = rows.select("_id", "_text", "text")
     found = hashed.mapInArrow(seeds, OCCURRENCE)
     several = F.count("*").over(Window.partitionBy(spread()))
     seeded = found.withColumn("_n", several).filter("known OR _n > 1 AND hash IS NOT NULL")
-    joined = hashed.join(gathered(seeded, "places"), ["_id", "_text"], "left")
+    places = seeded.groupBy("_id", "_text").agg(F.collect_set("position").alias("places"))
+    joined = hashed.join(places, ["_id", "_text"], "left")
     windows = joined.mapInArrow(extended, OCCURRENCE)
     place = F.struct("_id", "position")
     first = F.min(place).over(Window.partitionBy(spread(), "hash2"))
     repeated = windows.withColumn("_first", first).filter(F.col("known") | (F.col("hash").isNotNull() & (F.col("_first") < place)))
-    return gathered(repeated, "starts")
+    run = F.shiftleft(F.col("position").cast("long"), RUN_BITS).bitwiseOR(F.col("n").cast("long"))
+    return repeated.groupBy("_id", "_text").agg(F.collect_list(run).alias("starts"))
 
 
 def spread() -> Column:
@@ -231,11 +243,14 @@ def removed(docs: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame) -> DataFrame:
     """``doc_id, first_word, n_words``: the maximal repeats of each document."""
-    starts = removed(docs).filter("n_removed > 0").select("doc_id", F.explode("starts").alias("at"))
-    ordered = Window.partitionBy("doc_id").orderBy("at")
-    parts = starts.withColumn("_new", (F.col("at") > F.lag("at", 1, -LEAST - 1).over(ordered) + LEAST).cast("long"))
+    runs_ = removed(docs).filter("n_removed > 0").select("doc_id", F.explode("starts").alias("_r"))
+    at = F.shiftright("_r", RUN_BITS)
+    runs_ = runs_.select("doc_id", at.alias("at"), (at + F.col("_r").bitwiseAND((1 << RUN_BITS) - 1) + LEAST - 1).alias("end"))
+    ordered = Window.partitionBy("doc_id").orderBy("at", "end")
+    reached = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    parts = runs_.withColumn("_new", F.coalesce(F.col("at") > reached, F.lit(True)).cast("long"))
     numbered = parts.withColumn("_run", F.sum("_new").over(ordered)).groupBy("doc_id", "_run")
-    return numbered.agg(F.min("at").alias("first_word"), (F.max("at") - F.min("at") + LEAST).alias("n_words")).drop("_run")
+    return numbered.agg(F.min("at").alias("first_word"), (F.max("end") - F.min("at")).alias("n_words")).drop("_run")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
