@@ -139,7 +139,7 @@ def datetime_ratio(spark, folder):
 
 QUERIES = {
     "scan_preview": lambda s, d: profile.preview(
-        inputs.table(s, d, "lineitem").drop("l_shipdate"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+        inputs.table(s, d, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("string")), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
     ),
     "presplit_union": presplit_union,
     "normalize_missing": lambda s, d: normalize_missing(inputs.marked(s, d)),
@@ -255,7 +255,7 @@ DUPLICATES_SQL = (
 PART_DUPLICATES = "SELECT n_rows, n_rows - d AS duplicates, round(100.0 * (n_rows - d) / n_rows, 2) AS duplicate_percent FROM (SELECT (SELECT count(*) FROM part) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM part)) AS d)"
 
 ORACLES = {
-    "scan_preview": "SELECT * EXCLUDE (l_shipdate) FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity LIMIT 5",
+    "scan_preview": "SELECT * REPLACE (l_shipdate::TIMESTAMP::VARCHAR AS l_shipdate) FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity LIMIT 5",
     "presplit_union": "SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM orders",
     "normalize_missing": with_source(
         "m", inputs.MARKED_SQL,

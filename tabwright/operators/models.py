@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import json
 import random
 import time
 import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, classification
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
@@ -25,7 +26,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.operators.balance import with_class_weights
@@ -89,6 +90,42 @@ class Fitted:
         return out.withColumn("score", score).drop("probability", "rawPrediction")
 
 
+    def save(self, path: str) -> None:
+        """Name, parameters and the model: MLlib's own form, a rule's table, or the training rows of the neighbours."""
+        state = dict(name=self.name, params=self.params, seconds=self.seconds, kind=type(self.model).__name__)
+        if self.name == NEIGHBOURS:
+            spark = self.train.sparkSession
+            self.train.write.mode("overwrite").parquet(f"{path}/rows")
+        elif isinstance(self.model, OneRule):
+            spark = self.model.rules.sparkSession
+            self.model.rules.write.mode("overwrite").parquet(f"{path}/rules")
+            state |= dict(feature=self.model.feature, default=self.model.default)
+        else:
+            spark = SparkSession.active()
+            self.model.write().overwrite().save(f"{path}/model")
+        write_state(spark, f"{path}/state", state)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Fitted:
+        state = read_state(spark, f"{path}/state")
+        fitted = Fitted(state["name"], state["params"], seconds=state["seconds"])
+        if fitted.name == NEIGHBOURS:
+            fitted.train = spark.read.parquet(f"{path}/rows")
+        elif state["kind"] == OneRule.__name__:
+            fitted.model = OneRule(state["feature"], spark.read.parquet(f"{path}/rules"), state["default"])
+        else:
+            fitted.model = getattr(classification, state["kind"]).load(f"{path}/model")
+        return fitted
+
+
+def write_state(spark: SparkSession, path: str, state: dict) -> None:
+    spark.createDataFrame([(json.dumps(state, default=str),)], "state string").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_state(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.json(path).first()["state"])
+
+
 def _slot(df: DataFrame, column: str) -> Column:
     return F.try_element_at(vector_to_array(column), F.lit(2))
 

@@ -85,7 +85,7 @@ def fit_fills(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
     else:
         fills = {c: q[0] for c, q in exact_quantiles(df, numeric, [0.5]).items()}
     top = modes(df, categorical)
-    return {c: float(v) if v is not None else 0.0 for c, v in fills.items()}, top
+    return {c: float(v) for c, v in fills.items() if v is not None}, top
 
 
 def as_text(name: str) -> Column:
@@ -104,6 +104,9 @@ def fit(
     train = nan_to_null(train)
     numeric, categorical = list(numeric), list(categorical)
     fills, top = fit_fills(train, numeric, categorical, strategy)
+    # A column without any value has nothing to fill with or to learn from.
+    numeric, categorical = [c for c in numeric if c in fills], [c for c in categorical if top[c] is not None]
+    top = {c: top[c] for c in categorical}
     filled = train.select(
         *[F.coalesce(number(c), F.lit(fills[c])).alias(c) for c in numeric],
         *[fill_category(c, top[c]).alias(c) for c in categorical],

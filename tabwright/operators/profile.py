@@ -7,9 +7,10 @@ Wide statistics come from one aggregation over all columns; per-value statistics
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +36,6 @@ FENCE = 1.5
 Z_LIMIT = 3.0
 QUARTILES = (0.25, 0.5, 0.75)
 
-SUMS_PER_PASS = 64
-
 
 def long_rows(row_frame: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """One wide row with columns ``<field>_<i>`` to one row per column."""
@@ -303,46 +302,51 @@ def top_categories(df: DataFrame, columns: Sequence[str] | None = None, k: int =
 # ---- correlation and histograms ------------------------------------------------------------------------------
 
 
+def product_sums(rows: DataFrame) -> DataFrame:
+    """``i, j, n, x, y, xx, yy, xy`` per pair of columns (by position) over the rows where both are present.
+
+    One pass whatever the width: a task sums the products of its columns as matrices and sends one row per pair.
+    """
+    width = len(rows.columns)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, width, width))
+        for batch in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            present = ~np.isnan(values)
+            values, weight = np.where(present, values, 0.0), present.astype(float)
+            total += np.stack([weight.T @ weight, values.T @ weight, (values * values).T @ weight, values.T @ values])
+        n, x, xx, xy = total
+        i, j = np.indices((width, width)).reshape(2, -1)
+        parts = [i, j, n.ravel(), x.ravel(), x.T.ravel(), xx.ravel(), xx.T.ravel(), xy.ravel()]
+        yield pa.record_batch([pa.array(p) for p in parts], names)
+
+    names = ["i", "j", "n", "x", "y", "xx", "yy", "xy"]
+    found = rows.mapInArrow(sums, "i bigint, j bigint, " + ", ".join(f"{c} double" for c in names[2:]))
+    return found.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names[2:]])
+
+
 def correlation_matrix(df: DataFrame, digits: int = 4) -> DataFrame:
     """Pearson correlation of every pair of numeric columns over the rows where both are present.
 
     Long form ``a, b, correlation`` with both orders and the diagonal; NULL where a column does not vary. Values are
-    centred on their column means first, so that plain sums of products are accurate, and a pair without gaps needs
-    one sum only.
+    centred on their column means first, so that plain sums of products are accurate.
     """
     df = nan_to_null(df)
     columns = numeric_columns(df)
-    schema = "a string, b string, correlation double"
     if len(columns) < 2:
-        return df.sparkSession.createDataFrame([], schema)
-    n_rows, missing, stats = table_moments(df.select(*[quoted(c) for c in columns]), columns)
+        return df.sparkSession.createDataFrame([], "a string, b string, correlation double")
+    _, _, stats = table_moments(df.select(*[quoted(c) for c in columns]), columns)
     columns = [c for c in columns if stats[c]["count"]]
-    centred = {c: number(c) - F.lit(stats[c]["mean"]) for c in columns}
-    pairs = [(c, c) for c in columns] + list(combinations(columns, 2))
-    spreads = {c: stats[c]["count"] * stats[c]["std_pop"] ** 2 for c in columns}
-    sums: list[Column] = []
-    for a, b in pairs:
-        x, y = centred[a], centred[b]
-        sums.append(F.sum(x * y))
-        if missing[a] or missing[b]:
-            x, y = F.when(quoted(b).isNotNull(), x), F.when(quoted(a).isNotNull(), y)
-            sums += [F.count(x + y), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y)]
-    # Many sums in one aggregation would outgrow the compiler, so a wide table takes several column-pruned passes.
-    values: list[float | None] = []
-    for start in range(0, len(sums), SUMS_PER_PASS):
-        values += df.agg(*[e.alias(str(i)) for i, e in enumerate(sums[start : start + SUMS_PER_PASS])]).first()
-    at, rows = iter(values), []
-    for a, b in pairs:
-        xy, n, sx, sy, xx, yy = next(at), n_rows, 0.0, 0.0, spreads[a], spreads[b]
-        if missing[a] or missing[b]:
-            n, sx, sy, xx, yy = (next(at) for _ in range(5))
-        value = None
-        if n:
-            vx, vy = xx - sx * sx / n, yy - sy * sy / n
-            if stats[a]["max"] > stats[a]["min"] and stats[b]["max"] > stats[b]["min"] and vx > 0 and vy > 0:
-                value = (xy - sx * sy / n) / math.sqrt(vx * vy)
-        rows += [(x, y, value) for x, y in {(a, b), (b, a)}]
-    return df.sparkSession.createDataFrame(rows, schema).withColumn("correlation", F.round("correlation", digits))
+    if not columns:
+        return df.sparkSession.createDataFrame([], "a string, b string, correlation double")
+    found = product_sums(df.select(*[(number(c) - F.lit(stats[c]["mean"])).alias(f"c{i}") for i, c in enumerate(columns)]))
+    varies = F.array(*[F.lit(stats[c]["max"] > stats[c]["min"]) for c in columns])
+    names = F.array(*[F.lit(c) for c in columns])
+    vx, vy = (F.col(f"{c}{c}") - F.col(c) * F.col(c) / F.col("n") for c in ("x", "y"))
+    value = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(vx * vy)
+    usable = (F.col("n") > 0) & varies[F.col("i")] & varies[F.col("j")] & (vx > 0) & (vy > 0)
+    return found.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), F.round(F.when(usable, value), digits).alias("correlation"))
 
 
 def _ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float, float, int]]:

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.functions.columns import nan_to_null, quoted
+from tabwright.functions.columns import nan_to_null, number, quoted
 from tabwright.operators import models, prepare
 from tabwright.operators.balance import balance, class_weights
 from tabwright.operators.cleaning import normalize_missing
-from tabwright.operators.feature_types import FeatureTypes, column_groups, drop_unusable, infer_types
+from tabwright.operators.feature_types import ColumnType, FeatureTypes, column_groups, drop_unusable, infer_types
 from tabwright.operators.quality import Issue, detect_all
 from tabwright.operators.repair import grouping_entries, imbalance_choice, log_entry, repair, resolve_decisions
 from tabwright.operators.split import TEST, TRAIN, random_split, stratified_split
@@ -20,6 +20,8 @@ from tabwright.session import cut_lineage
 from tabwright.sources.tables import write_split
 
 STAGE_TARGET = "missing_target"
+STAGE_EMPTY = "empty_column"
+CLASSES, NUMBER, NO_TARGET = "classes", "number", "none"
 
 
 @dataclass
@@ -37,22 +39,53 @@ class Config:
     keys: tuple[str, ...] | None = None
 
 
+def empty_columns(columns: Sequence[str], prep: prepare.FittedPrep) -> list[dict]:
+    """Log entries of the columns that the preparation left out, as they have no value in training."""
+    used = {n.column for n in prep.numeric} | set(prep.categorical)
+    return [log_entry(STAGE_EMPTY, c, detail_action="drop_column") for c in columns if c not in used]
+
+
 @dataclass
 class Transformed:
-    train: DataFrame
-    test: DataFrame
-    target: str
+    train: DataFrame | None
+    test: DataFrame | None
+    target: str | None
     prep: prepare.FittedPrep
-    codes: DataFrame
+    codes: DataFrame | None
     types: FeatureTypes
     log: list[dict]
     weights: DataFrame | None
+    task: str = CLASSES
 
     def prepared(self, df: DataFrame) -> DataFrame:
-        """``label``, ``features`` and the plain feature columns of the given rows."""
-        labelled = prepare.encode_target(df, self.target, self.codes)
-        plain = [n.column for n in self.prep.numeric] + list(self.prep.categorical)
-        return prepare.assemble(self.prep, labelled, keep=["label", *plain])
+        """``label``, ``features`` and the plain feature columns of the given rows.
+
+        The label is the code of the class or the number itself; tables without a target have none.
+        """
+        if self.task == NO_TARGET:
+            return prepare.assemble(self.prep, df, keep=self.plain_features)
+        if self.task == NUMBER:
+            labelled = df.withColumn("label", number(self.target))
+        else:
+            labelled = prepare.encode_target(df, self.target, self.codes)
+        return prepare.assemble(self.prep, labelled, keep=["label", *self.plain_features])
+
+    def save(self, path: str) -> None:
+        """What scoring new rows needs, and the log; the tables themselves are not part of it."""
+        self.prep.save(f"{path}/prep")
+        if self.codes is not None:
+            self.codes.write.mode("overwrite").parquet(f"{path}/codes")
+        types = {c: asdict(t) for c, t in self.types.items()}
+        models.write_state(self.train.sparkSession, f"{path}/state", dict(target=self.target, task=self.task, types=types, log=self.log))
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Transformed:
+        """A preparation that prepares and scores new rows; it has no tables of its own."""
+        state = models.read_state(spark, f"{path}/state")
+        codes = spark.read.parquet(f"{path}/codes") if state["task"] == CLASSES else None
+        types = {c: ColumnType(**t) for c, t in state["types"].items()}
+        prep = prepare.FittedPrep.load(spark, f"{path}/prep")
+        return Transformed(None, None, state["target"], prep, codes, types, state["log"], None, state["task"])
 
     @property
     def plain_features(self) -> list[str]:
@@ -114,6 +147,7 @@ def transform(
     numeric = [c for c in groups["numeric"] if c in train.columns]
     categorical = [c for c in groups["categorical"] if c in train.columns]
     prep = prepare.fit(train, numeric, categorical, config.imputation, config.scaling, config.encoding)
+    log += empty_columns(numeric + categorical, prep)
     codes = prepare.target_codes(train, target)
     weights = None
     if action == "class_weights":
@@ -121,15 +155,20 @@ def transform(
     return Transformed(train, test, target, prep, codes, types, log, weights)
 
 
-def transform_presplit(train: DataFrame, test: DataFrame, target: str, config: Config | None = None) -> Transformed:
+def transform_presplit(
+    train: DataFrame, test: DataFrame, target: str | None, config: Config | None = None, task: str = CLASSES
+) -> Transformed:
     """Preparation for tables that come split: types from both together, fit on the training table, no repair.
 
-    Rows without a target are dropped from either table, with a log entry.
+    ``task`` says what the target is: classes, a number (regression), or none (clustering; ``target`` is not used). Rows
+    without a target are dropped from either table, with a log entry.
     """
     config = config or Config()
+    if task == NO_TARGET:
+        target = None
     train, test = normalize_missing(nan_to_null(train)), normalize_missing(nan_to_null(test))
     log: list[dict] = []
-    unlabelled = sum(t.filter(quoted(target).isNull()).count() for t in (train, test))
+    unlabelled = sum(t.filter(quoted(target).isNull()).count() for t in (train, test)) if target else 0
     if unlabelled:
         train, test = (t.filter(quoted(target).isNotNull()) for t in (train, test))
         log.append(log_entry(STAGE_TARGET, target, detail_action="drop_rows", rows_removed=unlabelled))
@@ -138,7 +177,9 @@ def transform_presplit(train: DataFrame, test: DataFrame, target: str, config: C
     prep = prepare.fit(
         train, groups["numeric"], groups["categorical"], config.imputation, config.scaling, config.encoding
     )
-    return Transformed(train, test, target, prep, prepare.target_codes(train, target), types, log, None)
+    log += empty_columns([*groups["numeric"], *groups["categorical"]], prep)
+    codes = prepare.target_codes(train, target) if task == CLASSES else None
+    return Transformed(train, test, target, prep, codes, types, log, None, task)
 
 
 def train(result: Transformed, how: str = "grid", names: Sequence[str] = models.MODEL_ORDER) -> models.TrainingReport:

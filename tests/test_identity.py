@@ -97,6 +97,51 @@ def test_parameters_do_not_depend_on_size(spark):
         assert models.train(models.TREE, rows).params == {"impurity": "gini", "maxDepth": 5}
 
 
+def test_saved_models_score_alike(spark, tmp_path):
+    table = spark.range(300).selectExpr("id", "CAST(id % 10 AS DOUBLE) AS x", "CAST(id % 3 AS STRING) AS c", "IF(id % 10 > 4, 'y', 'n') AS t")
+    result = workflow.transform(table, "t", config=workflow.Config(keys=("id",)))
+    report = workflow.train(result)
+    result.save(f"{tmp_path}/prep")
+    again = workflow.Transformed.load(spark, f"{tmp_path}/prep")
+    assert again.types == result.types and again.target == "t" and again.log == result.log
+    for name, fitted in report.fitted.items():
+        fitted.save(f"{tmp_path}/{fitted.name}")
+        loaded = models.Fitted.load(spark, f"{tmp_path}/{name}")
+        columns = [*result.plain_features, "prediction", "score"]
+        assert bag(workflow.score(again, loaded, table).select(columns)) == bag(workflow.score(result, fitted, table).select(columns)), name
+
+
+@pytest.mark.parametrize("task", [workflow.NUMBER, workflow.NO_TARGET])
+def test_presplit_tables_with_other_targets(spark, task):
+    table = spark.range(60).selectExpr("CAST(id % 20 AS DOUBLE) / 3 AS x", "CAST(id % 3 AS STRING) AS c", "IF(id = 7, NULL, id * 1.5D) AS t", "CAST(NULL AS DOUBLE) AS gone")
+    result = workflow.transform_presplit(table, table, "t", task=task)
+    rows = result.prepared(result.train)
+    assert rows.count() == (59 if task == workflow.NUMBER else 60)
+    assert ("label" in rows.columns) == (task == workflow.NUMBER)
+    assert [e["column"] for e in result.log if e["action"] == workflow.STAGE_EMPTY] == ["gone"]
+    if task == workflow.NUMBER:
+        assert rows.agg(F.max("label")).first()[0] == 88.5
+
+
+def test_correlations_with_gaps_in_one_pass(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = rng.normal(size=(200, 5)) + 1e6
+    values[rng.random((200, 5)) < 0.2] = np.nan
+    values[:, 4] = 3.0
+    table = spark.createDataFrame([tuple(float(v) for v in r) for r in values], "a double, b double, c double, d double, e double").repartition(4)
+    found = {(r.a, r.b): r.correlation for r in profile.correlation_matrix(table).collect()}
+    assert len(found) == 25
+    for i, p in enumerate("abcde"):
+        for j, q in enumerate("abcde"):
+            both = ~np.isnan(values[:, i]) & ~np.isnan(values[:, j])
+            if "e" in p + q:
+                assert found[p, q] is None
+            else:
+                assert abs(found[p, q] - np.corrcoef(values[both, i], values[both, j])[0, 1]) < 1e-4
+
+
 def test_a_hot_row_is_copied_by_many_tasks(spark, monkeypatch):
     from tabwright.functions import ordering
 
