@@ -25,15 +25,16 @@ RAREST, COMMONEST = 0.0005, 0.3
 KEEPS_ONE_IN = (1,) + (4,) * 4 + (16,) * 6 + (64,) * 8 + (256,) * 12 + (1024,) * 24
 SUBSETS = len(KEEPS_ONE_IN)
 #: Terms that a task counts before it sends its counts on.
-COUNTED_AT_ONCE = 200_000
+COUNTED_AT_ONCE = 400_000
 EMPTY = "-" * 8
 
 
-def terms_of(text: str | None) -> set[bytes]:
-    return set((text or "").lower().encode("utf-8", "surrogatepass").split())
+def terms_of(text: str | None) -> set[int]:
+    """Distinct lower-case terms, as 64-bit hashes."""
+    return set(map(xxhash.xxh3_64_intdigest, set((text or "").lower().encode("utf-8", "surrogatepass").split())))
 
 
-def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST) -> list[bytes]:
+def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST) -> list[int]:
     """Sorted terms within the band, counted over all documents.
 
     Their number has a bound: a document's mean number of distinct terms divided by ``rarest``.
@@ -43,7 +44,8 @@ def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONES
         counts: Counter = Counter()
 
         def told() -> pa.RecordBatch:
-            batch = pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            terms = np.fromiter(counts, np.uint64, len(counts)).view(np.int64)
+            batch = pa.record_batch([pa.array(terms), pa.array(list(counts.values()), pa.int32())], ["term", "n"])
             counts.clear()
             return batch
 
@@ -55,20 +57,19 @@ def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONES
         if counts:
             yield told()
 
-    partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term binary, n long")
+    partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term long, n int")
     frequency = partial.groupBy("term").agg(F.sum("n").alias("df"))
     n_docs = docs.count()
     band = frequency.filter((F.col("df") >= max(2, rarest * n_docs)) & (F.col("df") <= max(2, commonest * n_docs)))
-    return sorted(bytes(r.term) for r in band.select("term").toLocalIterator())
+    return sorted(r.term % 2**64 for r in band.select("term").toLocalIterator())
 
 
 class Fingerprinter:
     """Fingerprints of texts over a lexicon; terms are known by their place in it, so places are sorted terms."""
 
-    def __init__(self, terms: list[bytes]):
+    def __init__(self, terms: list[int]):
         self.places = {term: i for i, term in enumerate(terms)}
-        hashes = [xxhash.xxh3_64_intdigest(t) for t in terms]
-        self.hashes = np.array(hashes, np.uint64)
+        self.hashes = np.array(terms, np.uint64)
         self.member = np.zeros((len(terms), SUBSETS), bool)
         for k, one_in in enumerate(KEEPS_ONE_IN):
             x = (self.hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) * np.uint64(0xFF51AFD7ED558CCD)
@@ -135,7 +136,7 @@ def in_sequence(docs: DataFrame, rows_per_bucket: int = 2_000) -> DataFrame:
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprints(docs: DataFrame, terms: list[bytes] | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, terms: list[int] | None = None) -> DataFrame:
     """`RESULT` per row: fingerprints of each text and of its edited text, likeness to that and to the next text.
 
     Null texts are empty. Rows that repeat an id follow each other. A null id comes first. One row alone is its own
