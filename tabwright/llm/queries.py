@@ -74,6 +74,44 @@ QUERIES: dict[str, Callable] = {
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
+OP3_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS i FROM again) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORDS}')) AS l FROM d
+), counts AS (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(len(l) AS BIGINT) AS n_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+), rules AS (
+  SELECT *, n_words < 10 AS few_words, n_repeat_words * 100 > n_words * 20 AS repeats, n_symbols > word_chars * 0.1 AS symbols,
+    n_dup_lines > n_lines * 0.5 AS dup_lines, word_chars < n_words * 2 OR word_chars > n_words * 15 AS word_length
+  FROM counts
+), flagged AS (
+  SELECT *, few_words OR repeats AS base_failed, symbols OR dup_lines OR word_length AS strict_failed FROM rules
+), hosts AS (
+  SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed OR strict_failed) AS DOUBLE) AS f FROM flagged GROUP BY source
+), moments AS (
+  SELECT sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) AS square, count(*) / sum(n) AS sampling FROM hosts
+), prior AS (
+  SELECT mean, greatest(mean * (1 - mean) / greatest(square - mean * mean - mean * (1 - mean) * sampling, mean * (1 - mean) * 1e-6, 1e-12) - 1, 0) AS strength
+  FROM moments
+), judged AS (
+  SELECT source, (f + mean * strength) / (n + strength) > 0.1 AS host_bad FROM hosts, prior
+)
+SELECT flagged.*, host_bad, NOT base_failed AND NOT (host_bad AND strict_failed) AS kept
+FROM flagged JOIN judged ON flagged.source IS NOT DISTINCT FROM judged.source
+"""
+
 OP7_SQL = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -131,4 +169,4 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 FROM c LEFT JOIN n USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op8_repeats": OP8_SQL, "op9_setsketch": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_host_rules": OP3_SQL, "op7_warc": OP7_SQL, "op8_repeats": OP8_SQL, "op9_setsketch": OP9_SQL}
