@@ -8,8 +8,8 @@ threshold are settled on the full sets.
 
 Texts with equal sets are one class from the start, whatever their number. Within a bucket of a band, classes are first
 compared with a leader; only classes that are still in different components are compared with each other. How many of
-its members a set has to itself bounds its similarity to any other, so that the many sets of a large group that are
-like none of the others are not compared with all of them.
+its members a set has to itself bounds its similarity to any other, and how many are rare bounds it to any set that has
+none of these; so the many sets of a large group that are like none of the others are not compared with all of them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import written
@@ -35,6 +35,8 @@ TOP = 65_535
 LEAST_LIKELY = 0.6
 BROADCAST_IDS = 1_000_000
 BLOCK_BYTES = 1 << 24
+#: A member that at most so many sets have is rare.
+RARE = 8
 _RANDOM = np.random.default_rng(20_240_101)
 MULTIPLIERS = _RANDOM.integers(1, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 MASKS = _RANDOM.integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2)
@@ -140,18 +142,23 @@ def possible(n_a: Column, shared_a: Column, n_b: Column, shared_b: Column, thres
     return (most * (100 + threshold) >= (n_a + n_b) * threshold) & (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * threshold)
 
 
-def lone_members(sets: DataFrame) -> DataFrame:
-    """``id, lone``: how many members of a set are in no other set.
+def rare_members(sets: DataFrame) -> DataFrame:
+    """``member, id, sets``: the members that at most ``RARE`` sets have, a row for each of these sets.
 
-    A task counts within its own sets first and sends a member that several of them have once, without an id.
+    A task counts within its own sets first and sends a member that too many of them have once, without an id.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(parts: list) -> pa.RecordBatch:
             members = np.concatenate([np.frombuffer(m, np.uint64) for _, m in parts])
             ids = np.repeat(np.array([i for i, _ in parts], np.int64), [len(m) // 8 for _, m in parts])
-            members, first, counts = np.unique(members, return_index=True, return_counts=True)
-            return pa.record_batch([pa.array(members.view(np.int64)), pa.array(ids[first], mask=counts > 1)], ["member", "id"])
+            order = np.argsort(members, kind="stable")
+            members, ids = members[order], ids[order]
+            _, first, counts = np.unique(members, return_index=True, return_counts=True)
+            held = np.repeat(counts, counts)
+            sent = (held <= RARE) | np.isin(np.arange(len(members)), first)
+            n = np.where(held <= RARE, 1, held)
+            return pa.record_batch([pa.array(members[sent].view(np.int64)), pa.array(ids[sent], mask=(held > RARE)[sent]), pa.array(n[sent])], ["member", "id", "n"])
 
         parts, size = [], 0
         for batch in batches:
@@ -164,9 +171,9 @@ def lone_members(sets: DataFrame) -> DataFrame:
         if parts:
             yield told(parts)
 
-    sent = sets.select("id", "members").mapInArrow(send, "member long, id long")
-    alone = sent.groupBy("member").agg(F.count("*").alias("_n"), F.min("id").alias("id")).filter("_n = 1 AND id IS NOT NULL")
-    return alone.groupBy("id").agg(F.count("*").alias("lone"))
+    sent = sets.select("id", "members").mapInArrow(send, "member long, id long, n long")
+    counted = sent.withColumn("sets", F.sum("n").over(Window.partitionBy("member")))
+    return counted.filter((F.col("sets") <= RARE) & F.col("id").isNotNull()).select("member", "id", "sets")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -236,20 +243,31 @@ def with_leader(members: DataFrame, best: Column, threshold: int) -> DataFrame:
 
 
 def still_apart(members: DataFrame, threshold: int) -> DataFrame:
-    """``a, b``: pairs of a bucket in different components that may be alike.
+    """``a, b``: pairs of a bucket in different components that may be alike without a rare member in common.
 
-    A member that shares too little even with the smallest set of its bucket goes first; so most buckets are of one
-    component then, and the others hold few members besides their main one.
+    A member whose common part is too small even for the smallest set of its bucket goes first; so most buckets are of
+    one component then, and the others hold few members besides their main one.
     """
     mixed_up = [F.min("component").alias("_low"), F.max("component").alias("_high"), F.min("n").alias("_least")]
     buckets = members.groupBy("key").agg(*mixed_up).filter("_low <> _high").select("key", "_least")
     least = F.greatest("_least", F.ceil(F.col("n") * threshold / 100))
-    left = members.join(buckets, "key").filter(F.col("shared") * (100 + threshold) >= (F.col("n") + least) * threshold)
-    left = written(left.select("key", "id", "n", "shared", "component"))
+    left = members.join(buckets, "key").filter(F.col("common") * (100 + threshold) >= (F.col("n") + least) * threshold)
+    left = written(left.select("key", "id", "n", "common", "component"))
     left = written(left.join(left.groupBy("key").agg(*mixed_up).filter("_low <> _high").select("key"), "key", "left_semi"))
-    other = left.select("key", *[F.col(c).alias(f"_{c}") for c in ("id", "n", "shared", "component")])
-    alike = possible(F.col("n"), F.col("shared"), F.col("_n"), F.col("_shared"), threshold)
-    return left.join(other, "key").filter((F.col("component") < F.col("_component")) & alike).select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
+    other = left.select("key", *[F.col(c).alias(f"_{c}") for c in ("id", "n", "common", "component")])
+    alike = possible(F.col("n"), F.col("common"), F.col("_n"), F.col("_common"), threshold)
+    return left.join(other, "key").filter((F.col("component") < F.col("_component")) & alike).select(F.col("id").alias("a"), F.col("_id").alias("b"))
+
+
+def sharing_rare(rare: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
+    """``a, b``: pairs in different components that have a rare member in common (at most ``RARE`` sets each)."""
+    held = rare.filter("sets > 1").select("member", "id").join(sizes.select("id", "n", "shared", "component"), "id")
+    several = held.groupBy("member").agg(
+        F.min("component").alias("_low"), F.max("component").alias("_high"), F.collect_list(F.struct("id", "n", "shared", "component")).alias("_sets")
+    ).filter("_low <> _high")
+    pairs = several.select("_sets", F.explode("_sets").alias("x")).select("x", F.explode("_sets").alias("y"))
+    alike = possible(F.col("x.n"), F.col("x.shared"), F.col("y.n"), F.col("y.shared"), threshold)
+    return pairs.filter((F.col("x.component") < F.col("y.component")) & alike).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -269,19 +287,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     ids = written(members.select("id").distinct())
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = written(shingled(docs.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), size))
-    lone = lone_members(sets)
-    sketches = classes.join(wanted, "id", "left_semi").join(lone, "id", "left")
-    sketches = written(sketches.select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"), "sketch"))
+    rare = written(rare_members(sets))
+    own = rare.groupBy("id").agg(F.count_if(F.col("sets") == 1).alias("_lone"), F.count("*").alias("_rare"))
+    sketches = classes.join(wanted, "id", "left_semi").join(own, "id", "left")
+    left = [(F.col("n") - F.coalesce(c, F.lit(0))).alias(name) for c, name in (("_lone", "shared"), ("_rare", "common"))]
+    sketches = written(sketches.select("id", "n", *left, "sketch"))
     # A set is like another only if enough of its members are in other sets at all.
-    members = members.join(sketches.select("id", "n", "shared").filter(F.col("shared") * 100 >= F.col("n") * threshold), "id")
-    members = written(members.select("key", "id", "n", "shared"))
+    sizes = sketches.select("id", "n", "shared", "common").filter(F.col("shared") * 100 >= F.col("n") * threshold)
+    members = written(members.join(sizes, "id").select("key", "id", "n", "shared", "common"))
 
     nodes = ids.select("id", F.col("id").alias("component"))
     # Two leaders: the one with the largest share of members in other sets, then any other, for those not yet joined.
     for best in (-F.col("shared") / F.col("n"), F.xxhash64("key", "id")):
         pairs = with_leader(members.join(nodes, "id"), best, threshold)
         nodes = components(nodes, confirmed(pairs, sketches, sets, threshold))
-    pairs = written(still_apart(members.join(nodes, "id"), threshold))
+    apart = still_apart(members.join(nodes, "id"), threshold).union(sharing_rare(rare, sizes.join(nodes, "id"), threshold))
+    pairs = written(apart.distinct())
     nodes = components(nodes, confirmed(pairs, sketches, sets, threshold))
 
     groups = classes.select("digest", "id").join(nodes, "id", "left").select("digest", F.coalesce("component", "id").alias("_component"))
