@@ -20,13 +20,15 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST = 20
 ANCHOR = 8
 #: Words a task holds at once: a few arrays of this length.
 BLOCK_WORDS = 1_000_000
+#: Windows are compared in as many buckets as there are so many bytes of text.
+BUCKET_BYTES = 1 << 24
 NO_ID = -(1 << 63)
 SPAN = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
 U = np.uint64
@@ -79,60 +81,59 @@ def anchors_of_windows(coded: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Occurrences (hashes, place in the block's list of documents, position) that a task has gathered."""
+    """Occurrences that a task has gathered: hashes, place in the block's list of documents, position."""
 
-    def __init__(self, second: bool):
-        self.second, self.parts, self.rows, self.size = second, [], [], 0
+    def __init__(self) -> None:
+        self.parts, self.rows, self.size = [], [], 0
 
-    def add(self, row: tuple, position: np.ndarray, first: np.ndarray, other: np.ndarray | None) -> None:
-        self.parts.append((first, other if self.second else first, np.full(len(position), len(self.rows), np.int64), position))
-        self.rows.append(row)
+    def add(self, row: tuple, position: np.ndarray, *hashes: np.ndarray) -> None:
+        self.parts.append((np.full(len(position), len(self.rows), np.int64), position, *hashes))
+        self.rows.append(row[:2])
         self.size += len(position)
 
-    def flush(self) -> pa.RecordBatch | None:
-        """Per hash the first occurrence, to be compared with other blocks. All others are known to repeat: runs of them
-        go without a hash. Rows keep the order of the text, in which neighbours compress well."""
-        if not self.size:
-            self.parts, self.rows = [], []
-            return None
-        first, other, at, position = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        ids, texts = (np.array([r[k] for r in self.rows], np.int64)[at] for k in (0, 1))
-        order = np.lexsort((position, ids, other, first) if self.second else (position, ids, first))
-        f, o, d, p = first[order], other[order], ids[order], position[order]
-        new = np.ones(len(f), bool)
-        new[1:] = (f[1:] != f[:-1]) | (o[1:] != o[:-1])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(f)), 0))
-        later = (d != d[start]) | (p != p[start])
-        repeated = np.zeros(len(f), bool)
-        repeated[start[later]] = True
-        sent, again, several = (np.empty(len(f), bool) for _ in range(3))
-        sent[order], again[order], several[order] = new, later, repeated
-        run = np.flatnonzero(again)
-        breaks = np.ones(len(run), bool)
-        breaks[1:] = (not self.second) | (np.diff(run) > 1) | (np.diff(at[run]) != 0) | (np.diff(position[run]) != 1)
-        begins = np.flatnonzero(breaks)
-        lengths = np.diff(np.append(begins, len(run)))
-        rows = np.concatenate([np.flatnonzero(sent), run[begins]])
-        without = np.arange(len(rows)) >= sent.sum()
-        seconds = (other[rows] >> U(32)).astype(np.uint32).view(np.int32)
-        found = [
-            pa.array(first[rows].view(np.int64), mask=without), pa.array(seconds, mask=without if self.second else np.ones(len(rows), bool)),
-            pa.array(ids[rows]), pa.array(texts[rows]), pa.array(position[rows].astype(np.int32)),
-            pa.array(np.where(without, np.append(np.ones(sent.sum(), np.int64), lengths), 1).astype(np.int32)),
-            pa.array(without | (several[rows] & (not self.second))),
-        ]
+    def settled(self) -> tuple[np.ndarray, ...]:
+        """Place of the document, position, hashes, and which occurrences are the first of their hashes, later ones, and
+        first ones with a later one; in the order of the text. Empties the block."""
+        at, position, *hashes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        ids = np.array([r[0] for r in self.rows], np.int64)[at]
+        found = (at, position, hashes, *first_and_later(hashes, ids, position), self.rows)
         self.parts, self.rows, self.size = [], [], 0
-        return pa.record_batch(found, ["hash", "hash2", "_id", "_text", "position", "n", "known"])
+        return found
 
 
-OCCURRENCE = "hash long, hash2 int, _id long, _text long, position int, n int, known boolean"
-#: A run of window starts as one number: the first in the high bits, how many in the low ones.
-RUN_BITS = 31
+def first_and_later(hashes: list[np.ndarray], ids: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((position, ids, *hashes))
+    d, p = ids[order], position[order]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for h in hashes:
+        new[1:] |= np.diff(h[order]) != 0
+    start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    later = (d != d[start]) | (p != p[start])
+    repeated = np.zeros(len(order), bool)
+    repeated[start[later]] = True
+    found = [np.empty(len(order), bool) for _ in range(3)]
+    for marks, values in zip(found, (new, later, repeated), strict=True):
+        marks[order] = values
+    return tuple(found)
+
+
+SEED = "hash long, _id long, _text long, position int, known boolean"
 
 
 def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of each document."""
-    hashes, block = WordHashes(), Block(second=False)
+    """Anchors of each document. The first occurrence in a block is sent with its hash, to be compared with other blocks;
+    later ones are known to repeat, and so is the first then."""
+    hashes, block = WordHashes(), Block()
+
+    def told() -> pa.RecordBatch:
+        at, position, (hashed,), first, later, several, rows = block.settled()
+        sent = first | later
+        ids, texts = (np.array([r[k] for r in rows], np.int64)[at[sent]] for k in (0, 1))
+        keys = pa.array(hashed[sent].view(np.int64), mask=later[sent])
+        arrays = [keys, pa.array(ids), pa.array(texts), pa.array(position[sent].astype(np.int32)), pa.array((later | several)[sent])]
+        return pa.record_batch(arrays, [c.split()[0] for c in SEED.split(", ")])
+
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("_id", "_text", "text")), strict=True):
             words = words_of(row[2])
@@ -140,29 +141,98 @@ def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             coded = np.fromiter(map(hashes.__getitem__, words), U, len(words))
             places = np.unique(anchors_of_windows(coded))
-            block.add(row, places, runs(coded, ANCHOR, 0x9E3779B97F4A7C15)[places], None)
+            block.add(row, places, runs(coded, ANCHOR, 0x9E3779B97F4A7C15)[places])
             if block.size >= BLOCK_WORDS // 4:
-                yield block.flush()
-    if (last := block.flush()) is not None:
-        yield last
+                yield told()
+    if block.size:
+        yield told()
 
 
-def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows around the seeds (``places``) of each document, by two hashes of their words."""
-    hashes, block = WordHashes(), Block(second=True)
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("_id", "_text", "text", "places")), strict=True):
-            if not row[3]:
-                continue
-            words = words_of(row[2])
-            coded = np.fromiter(map(hashes.__getitem__, words), U, len(words))
-            position = np.flatnonzero(np.isin(anchors_of_windows(coded), row[3]))
-            one, two = runs(coded, LEAST, 0xD6E8FEB86659FD93), runs(coded, LEAST, 0xA0761D6478BD642F)
-            block.add(row[:2], position, one[position], two[position])
-            if block.size >= BLOCK_WORDS:
-                yield block.flush()
-    if (last := block.flush()) is not None:
-        yield last
+#: Windows of a block and bucket as arrays of bytes: two hashes each (none if they are known to repeat), and per document
+#: its id, a hash of its text, the number of its entries and these: positions, or runs of known ones.
+PACKED = "bucket int, one binary, two binary, ids binary, texts binary, counts binary, places binary"
+#: A run of window starts as one number: the first in the high bits, how many in the low ones.
+RUN_BITS = 31
+
+
+def packed(bucket: int, at: np.ndarray, places: np.ndarray, rows: np.ndarray, one=None, two=None) -> tuple:
+    """``at`` (places in ``rows``) is in ascending order."""
+    docs, counts = np.unique(at, return_counts=True)
+    parts = (rows[docs, 0], rows[docs, 1], counts.astype(np.int32), places)
+    return (bucket, None if one is None else one.tobytes(), None if two is None else two.tobytes(), *(x.tobytes() for x in parts))
+
+
+def extended(n_buckets: int):
+    """Windows around the seeds (``places``) of each document, by two hashes of their words, packed by bucket."""
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, block = WordHashes(), Block()
+
+        def told() -> pa.RecordBatch:
+            at, position, (one, two), first, later, _, rows = block.settled()
+            rows, out = np.array(rows, np.int64).reshape(-1, 2), []
+            bucket = (one % U(n_buckets)).astype(np.int64)
+            sent = np.flatnonzero(first)
+            sent = sent[np.argsort(bucket[sent], kind="stable")]
+            for part in np.split(sent, np.flatnonzero(np.diff(bucket[sent])) + 1):
+                if len(part):
+                    short = (two[part] >> U(32)).astype(np.uint32)
+                    out.append(packed(int(bucket[part[0]]), at[part], position[part].astype(np.int32), rows, one[part], short))
+            known = np.flatnonzero(later)
+            if len(known):
+                breaks = (np.diff(known) > 1) | (np.diff(at[known]) != 0) | (np.diff(position[known]) != 1)
+                begins = np.append(0, np.flatnonzero(breaks) + 1)
+                run = position[known[begins]] << RUN_BITS | np.diff(np.append(begins, len(known)))
+                out.append(packed(int(at[known[0]] + len(known)) % n_buckets, at[known[begins]], run, rows))
+            kinds = (pa.int32(), *[pa.binary()] * 6)
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in PACKED.split(", ")])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("_id", "_text", "text", "places")), strict=True):
+                if not row[3]:
+                    continue
+                words = words_of(row[2])
+                coded = np.fromiter(map(hashes.__getitem__, words), U, len(words))
+                position = np.flatnonzero(np.isin(anchors_of_windows(coded), row[3]))
+                one, two = runs(coded, LEAST, 0xD6E8FEB86659FD93), runs(coded, LEAST, 0xA0761D6478BD642F)
+                block.add(row, position, one[position], two[position])
+                if block.size >= BLOCK_WORDS:
+                    yield told()
+        if block.size:
+            yield told()
+
+    return extend
+
+
+def compared(table: pa.Table) -> pa.Table:
+    """``_id, _text, runs`` of the repeated windows of one bucket: a bounded share of the windows, as a window comes once a
+    block at most and buckets are many."""
+    ids, texts, all_runs, firsts = [], [], [], []
+    for row in table.to_pylist():
+        docs = [np.frombuffer(row[c], np.int64) for c in ("ids", "texts")]
+        counts = np.frombuffer(row["counts"], np.int32)
+        if row["one"] is None:
+            places = np.split(np.frombuffer(row["places"], np.int64), np.cumsum(counts)[:-1])
+            ids += docs[0].tolist()
+            texts += docs[1].tolist()
+            all_runs += places
+        else:
+            hashes = np.frombuffer(row["one"], U), np.frombuffer(row["two"], np.uint32)
+            firsts.append((*hashes, *(np.repeat(x, counts) for x in docs), np.frombuffer(row["places"], np.int32).astype(np.int64)))
+    if firsts:
+        one, two, doc, text, position = (np.concatenate(x) for x in zip(*firsts, strict=True))
+        _, later, _ = first_and_later([one, two], doc, position)
+        doc, text, position = doc[later], text[later], position[later]
+        order = np.lexsort((position, text, doc))
+        doc, text, run = doc[order], text[order], position[order] << RUN_BITS | 1
+        ends = np.flatnonzero((np.diff(doc) != 0) | (np.diff(text) != 0)) + 1
+        if len(doc):
+            begins = np.append(0, ends)
+            ids += doc[begins].tolist()
+            texts += text[begins].tolist()
+            all_runs += np.split(run, ends)
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    return pa.table([pa.array(c, t) for c, t in zip((ids, texts, all_runs), kinds, strict=True)], names=["_id", "_text", "runs"])
 
 
 def covered(n_words: int, starts: list[int] | None) -> np.ndarray:
@@ -201,22 +271,15 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
 def repeats(rows: DataFrame) -> DataFrame:
     """``_id, _text, starts``: runs of places where repeated windows start, per document with any."""
     hashed = rows.select("_id", "_text", "text")
-    found = hashed.mapInArrow(seeds, OCCURRENCE)
-    several = F.count("*").over(Window.partitionBy(spread()))
-    seeded = found.withColumn("_n", several).filter("known OR _n > 1 AND hash IS NOT NULL")
+    key = F.coalesce(F.col("hash"), F.xxhash64("_id", "position", F.lit(7)))  # what has no hash goes anywhere
+    several = F.count("*").over(Window.partitionBy(key))
+    seeded = hashed.mapInArrow(seeds, SEED).withColumn("_n", several).filter("known OR _n > 1 AND hash IS NOT NULL")
     places = seeded.groupBy("_id", "_text").agg(F.collect_set("position").alias("places"))
     joined = hashed.join(places, ["_id", "_text"], "left")
-    windows = joined.mapInArrow(extended, OCCURRENCE)
-    place = F.struct("_id", "position")
-    first = F.min(place).over(Window.partitionBy(spread(), "hash2"))
-    repeated = windows.withColumn("_first", first).filter(F.col("known") | (F.col("hash").isNotNull() & (F.col("_first") < place)))
-    run = F.shiftleft(F.col("position").cast("long"), RUN_BITS).bitwiseOR(F.col("n").cast("long"))
-    return repeated.groupBy("_id", "_text").agg(F.collect_list(run).alias("starts"))
-
-
-def spread() -> Column:
-    """The hash; what has none needs no comparison and goes anywhere."""
-    return F.coalesce(F.col("hash"), F.xxhash64("_id", "position", F.lit(7)))
+    n_buckets = max(64, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
+    windows = joined.mapInArrow(extended(n_buckets), PACKED)
+    repeated = windows.groupBy("bucket").applyInArrow(compared, "_id long, _text long, runs array<long>")
+    return repeated.groupBy("_id", "_text").agg(F.flatten(F.collect_list("runs")).alias("starts"))
 
 
 def removed(docs: DataFrame) -> DataFrame:
