@@ -14,7 +14,7 @@ HEADLINE = (
     "correlation_matrix", "histogram", "eda_outliers_lines", "top_categories", "duplicate_documents",
     "impute_median", "impute_mode", "outlier_cap", "undersample", "oversample", "stratified_split", "stratified_folds",
     "scale_standard", "encode_onehot", "encode_ordinal", "transform_full", "roc_auc", "pr_curve", "metrics_multi",
-    "knn_predict", "gnb_predict", "oner_predict", "model_dt", "model_lr", "leaderboard",
+    "knn_predict", "gnb_predict", "oner_predict", "model_dt", "model_lr", "model_nb", "model_rf", "leaderboard",
 )
 
 

@@ -31,21 +31,22 @@ def lookup(
     """Left join of ``rows`` with a ``table`` unique in ``on``; ``count`` is the table's column of key counts.
 
     ``table`` is read several times, so an expensive one should have been written out. A table of checked size is
-    broadcast. Otherwise keys that hold more than ``HOT_SHARE`` of the counted rows, at most 1 / HOT_SHARE of them, are
-    broadcast on their own. Their rows, and rows without a key, have their answer then; in the shuffle join for the
-    other keys they carry the number of their input partition as a second key, which matches nothing and spreads them.
+    broadcast. Otherwise keys that hold more than ``HOT_SHARE`` of ``rows``, at most 1 / HOT_SHARE of them, are broadcast
+    on their own, also those that the table lacks. Their rows, and rows without a key, have their answer then; in the
+    shuffle join for the other keys they carry the number of their input partition as a second key, which matches
+    nothing and spreads them.
     """
     on = list(on)
     values = [c for c in table.columns if c not in on and c != count]
     if fits_broadcast(table, broadcast_bytes):
         return rows.join(F.broadcast(table.drop(count)), on, "left").select(*rows.columns, *values)
-    total = table.agg(F.sum(count)).first()[0] or 0
-    is_hot = F.col(count) > F.lit(total * HOT_SHARE)
     found = F.struct(*[quoted(v) for v in values])
-    hot = table.filter(is_hot).select(*on, found.alias("_hot"))
-    rest = table.filter(~is_hot).select(*on, F.lit(0).alias("_apart"), found.alias("_rest"))
+    held = rows.groupBy(*[quoted(c) for c in on]).agg(F.count("*").alias("_held"))
+    heavy = held.filter(F.col("_held") > F.lit(rows.count() * HOT_SHARE)).select(*on)
+    hot = heavy.join(table.select(*on, found.alias("_hot")), on, "left").withColumn("_known", F.lit(True))
+    rest = table.select(*on, F.lit(0).alias("_apart"), found.alias("_rest"))
     marked = rows.join(F.broadcast(hot), on, "left")
-    answered = F.col("_hot").isNotNull()
+    answered = F.col("_known").isNotNull()
     for c in on:
         answered = answered | quoted(c).isNull()
     marked = marked.withColumn("_apart", F.when(answered, F.spark_partition_id() + 1).otherwise(F.lit(0)))
