@@ -44,10 +44,11 @@ def measure(good: bytes, bad: bytes):
     """``f(text) -> (bad size - good size) / (both)``; 0 for an empty text."""
     compressors = []
     for raw in (good, bad):
-        dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT)
-        dictionary.precompute_compress(level=LEVEL)
         frame = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, **frame))
+        if raw:
+            frame["dict_data"] = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT)
+            frame["dict_data"].precompute_compress(level=LEVEL)
+        compressors.append(zstandard.ZstdCompressor(level=LEVEL, **frame))
 
     def likeness(text: str | None) -> float:
         parts = pieces((text or "").encode("utf-8", "surrogatepass"))
@@ -93,7 +94,8 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out.
 
-    Labels other than 0 and 1 and null ids are left out. Each label needs two texts.
+    Labels other than 0 and 1 and null ids are left out. With fewer than two texts of a label there is nothing to tell
+    apart: every score is the share of label 1 then, 0.5 without any label.
     """
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -106,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
     share = known.agg(F.avg("quality")).first()[0]
     by_label = [[r.text for r in rows if r.quality == q] for q in (0, 1)]
     if min(map(len, by_label)) < 2:
-        raise ValueError("each label needs at least two labelled texts")
+        share = min(max(0.5 if share is None else share, 0.01), 0.99)
+        return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
     bad, good = (dictionary(texts[::2]) for texts in by_label)
     likeness = measure(good, bad)
     x = [np.array([likeness(t) for t in texts[1::2]]) for texts in by_label]

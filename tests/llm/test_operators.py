@@ -298,9 +298,13 @@ def test_classifier_tells_good_from_bad(spark):
     assert by_id(classifier.scored(docs, classifier.fit(docs, labels, per_label=150)), "score") == {r.doc_id: (r.score,) for r in found}
 
 
-def test_classifier_needs_labels(docs, spark):
-    with pytest.raises(ValueError):
-        classifier.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+def test_classifier_without_labels(docs, no_docs, spark):
+    schema = "doc_id long, quality int"
+    for labels, score in (([], 0.5), ([(i, 1) for i in range(10)], 0.99)):
+        model = classifier.fit(docs, spark.createDataFrame(labels, schema))
+        assert {round(r.score, 9) for r in classifier.scored(docs, model).collect()} == {score}
+        assert classifier.scored(no_docs, model).count() == 0
+    assert classifier.fit(no_docs, spark.createDataFrame([], schema)).slope == 0
 
 
 # ---- archives ----------------------------------------------------------------------------------------------------
