@@ -36,7 +36,7 @@ LEAST_LIKELY = 0.6
 BROADCAST_IDS = 1_000_000
 BLOCK_BYTES = 1 << 24
 #: A member that at most so many sets have is rare.
-RARE = 8
+RARE = 64
 _RANDOM = np.random.default_rng(20_240_101)
 MULTIPLIERS = _RANDOM.integers(1, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 MASKS = _RANDOM.integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2)
