@@ -101,23 +101,20 @@ def host_verdicts(flagged: DataFrame, bad_host: float = BAD_HOST) -> DataFrame:
     to the variance. Hosts that don't differ give a strong prior: all rates shrink to the mean.
     """
     failed = (F.col("base_failed") | F.col("strict_failed")).cast("long")
-    hosts = flagged.groupBy("source").agg(
-        F.count("*").alias("n"), F.sum(failed).alias("failed"), *[F.sum(F.col(r).cast("long")).alias(f"failed_{r}") for r in RULES]
-    )
+    counts = [F.sum(F.col(r).cast("long")).alias(f"failed_{r}") for r in RULES]
+    hosts = written(flagged.groupBy("source").agg(F.count("*").alias("n"), F.sum(failed).alias("failed"), *counts))
     rate = F.col("failed") / F.col("n")
-    moments = hosts.agg(
-        F.sum("n").cast("double").alias("_n"), F.count("*").alias("_hosts"), (F.sum("failed") / F.sum("n")).alias("_mean"),
-        F.sum(F.col("n") * rate * rate).alias("_squares"),
-    )
-    variance = F.col("_squares") / F.col("_n") - F.col("_mean") * F.col("_mean")
-    spread = F.col("_mean") * (1 - F.col("_mean"))
-    sampling = spread * F.col("_hosts") / F.col("_n")
-    between = F.greatest(variance - sampling, spread * 1e-6, F.lit(1e-12))
-    strength = F.greatest(spread / between - 1, F.lit(0.0))
-    prior = moments.select("_n", (F.col("_mean") * strength).alias("_alpha"), ((1 - F.col("_mean")) * strength).alias("_beta"))
-    shrunk = (F.col("failed") + F.col("_alpha")) / (F.col("n") + F.col("_alpha") + F.col("_beta"))
-    judged = hosts.join(F.broadcast(prior), how="cross")  # one row
-    return judged.withColumn("rate", shrunk).withColumn("host_bad", F.col("rate") > bad_host).withColumn("_hot", F.col("n") >= F.col("_n") * HOT_HOST).drop("_alpha", "_beta", "_n")
+    m = hosts.agg(
+        F.sum("n").cast("double").alias("n"), F.count("*").alias("hosts"), (F.sum("failed") / F.sum("n")).alias("mean"),
+        F.sum(F.col("n") * rate * rate).alias("squares"),
+    ).first()  # one row
+    mean, total = m["mean"] or 0.0, m["n"] or 1.0
+    spread = mean * (1 - mean)
+    between = max((m["squares"] or 0.0) / total - mean * mean - spread * m["hosts"] / total, spread * 1e-6, 1e-12)
+    strength = max(spread / between - 1, 0.0)
+    shrunk = (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
+    told = hosts.withColumn("rate", shrunk).withColumn("host_bad", F.col("rate") > bad_host)
+    return told.withColumn("_hot", F.col("n") >= F.lit(total * HOT_HOST))
 
 
 def joined(flagged: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -145,10 +142,10 @@ def judged(docs: DataFrame, bad_host: float = BAD_HOST) -> DataFrame:
     verdict. An empty table gives no rows.
     """
     flagged = failures(written(measured(docs).drop("_row")))
-    return joined(flagged, written(host_verdicts(flagged, bad_host)))
+    return joined(flagged, host_verdicts(flagged, bad_host))
 
 
 def kept_documents(docs: DataFrame, bad_host: float = BAD_HOST) -> DataFrame:
     """The rows of ``docs`` that `judged` keeps, with their columns. Texts aren't shuffled: they are read twice."""
-    hosts = written(host_verdicts(failures(measured(docs).drop("_row")), bad_host))
+    hosts = host_verdicts(failures(measured(docs).drop("_row")), bad_host)
     return joined(failures(measured(docs)), hosts).filter("kept").select("_row.*")
