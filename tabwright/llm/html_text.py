@@ -2,8 +2,9 @@
 
 The standard library's parser streams events; the page becomes lines, one per block element, each with its text and the
 tags around it. The ratio of text to tags per line is smoothed with a Gaussian, lines above a threshold are clustered as
-content, and the region of the page is the innermost element that holds nearly all of them. All lines of the region
-are kept, short ones too, except those inside elements that are never article text.
+content, and the core of the page is the innermost container that holds nearly all of them, or the article or main
+element around it. All lines of the core are kept, short ones too; of the others those that belong to an article by
+their links, ratio or heading (`belongs`). Elements that are named like page furniture are left out.
 """
 
 from __future__ import annotations
@@ -27,52 +28,67 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements without article text, and words in a class, id or role that mark others.
+#: Elements without article text.
 NEVER = frozenset(
-    "aside audio button canvas datalist dialog fieldset footer form head iframe input label map menu nav noscript object option script search select style "
-    "svg template textarea title video".split()
+    "audio button canvas datalist head iframe input label map noscript object option script select style svg template textarea title video".split()
 )
+#: Elements beside an article; a header only outside of one, where it isn't its heading.
+BESIDE = frozenset("aside footer header menu nav search".split())
+#: Elements and words in a class, id or role that often mark what is no article text.
+MARKED_TAGS = frozenset("dialog fieldset form".split())
 MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus footer form gdpr menu "
     "menubar modal nav navbar navigation newsletter notice notices notification overlay pagination popup popups promo promoted promotion related replies "
     "reply search share sharing sidebar signup sitemap skip social sponsor sponsored subscribe teaser toolbar tooltip widget".split()
 )
+#: A line with this share of its text in links is a list of links.
+LINKED = 0.5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ARTICLES = frozenset(("article", "main"))
+NO_MARKS: frozenset[str] = frozenset()
 #: What an opening tag closes when it is open: paragraphs by any block, items by the next item.
 ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SPACE = re.compile(r"\s+")
 PARTS = re.compile(r"[a-z]+")
 
 
-def marked(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
-    """Whether an element is no article text. A header inside an article is its heading."""
-    if tag in NEVER or (tag == "header" and not inside_article):
-        return True
+def marks(tag: str, attrs: list[tuple[str, str | None]]) -> frozenset[str]:
+    """The words by which an element may be no article text."""
     if tag in ("html", "body", "article", "main"):
-        return False
+        return NO_MARKS
+    found = {tag} if tag in MARKED_TAGS else set()
     for name, value in attrs:
-        if name in ("class", "id", "role") and value and not MARKS.isdisjoint(PARTS.findall(value.lower())):
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-    return False
+        if name in ("class", "id", "role") and value:
+            found |= MARKS.intersection(PARTS.findall(value.lower()))
+        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+            found.add("hidden")
+    return frozenset(found) if found else NO_MARKS
 
 
 class Lines(HTMLParser):
-    """Gathers ``(text, tags, path)`` per block; the path holds the numbers of the open block elements."""
+    """Gathers lines ``(parts, tags)`` per block, with parts ``(text, node, in a link)``.
+
+    Nodes are the block elements and the marked ones; a node's parent comes before it. Node 0 is the page.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.stack: list[tuple[str, bool, bool, tuple[int, ...]]] = [("", False, False, (0,))]
-        self.text: list[str] = []
-        self.tags, self.count = 1, 0
+        self.lines: list[tuple[list[tuple[str, int, bool]], int]] = []
+        self.tag, self.parent, self.marks, self.beside = [""], [0], [NO_MARKS], [False]
+        self.stack: list[tuple[str, bool, bool, bool, int]] = [("", False, False, False, 0)]
+        self.parts: list[tuple[str, int, bool]] = []
+        self.tags = 1
 
     def end_line(self) -> None:
-        text = SPACE.sub(" ", "".join(self.text)).strip()
-        if text:
-            self.lines.append((text, self.tags, self.stack[-1][3]))
+        if any(text and not text.isspace() for text, *_ in self.parts):
+            self.lines.append((self.parts, self.tags))
             self.tags = 1
-        self.text.clear()
+        self.parts = []
+
+    def add(self, text: str) -> None:
+        _, skipped, _, linked, node = self.stack[-1]
+        if not skipped:
+            self.parts.append((text, node, linked))
 
     def close_to(self, at: int) -> None:
         if any(tag in BLOCKS for tag, *_ in self.stack[at:]):
@@ -93,7 +109,7 @@ class Lines(HTMLParser):
             if tag in BLOCKS:
                 self.end_line()
             elif tag in ("br", "img", "input", "wbr"):
-                self.text.append("" if tag == "wbr" else " ")
+                self.add("" if tag == "wbr" else " ")
             return
         if tag in BLOCKS:
             self.end_line()
@@ -101,11 +117,15 @@ class Lines(HTMLParser):
                 self.close_to(at)
             if tag in ITEMS and (at := self.opened(ITEMS[tag], frozenset(("ul", "ol", "dl", "table", "select", "menu")))) is not None:
                 self.close_to(at)
-        _, skipped, article, path = self.stack[-1]
-        if tag in BLOCKS:
-            self.count += 1
-            path = (*path, self.count)
-        self.stack.append((tag, skipped or marked(tag, attrs, article), article or tag in ("article", "main"), path))
+        _, skipped, article, linked, node = self.stack[-1]
+        found = marks(tag, attrs) if attrs or tag in MARKED_TAGS else NO_MARKS
+        if tag in BLOCKS or found:
+            self.tag.append(tag)
+            self.parent.append(node)
+            self.marks.append(found)
+            self.beside.append(tag in BESIDE and not (tag == "header" and article))
+            node = len(self.tag) - 1
+        self.stack.append((tag, skipped or tag in NEVER, article or tag in ARTICLES, linked or tag == "a", node))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -113,13 +133,29 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in ("p", "br"):  # </br> and a stray </p> part lines as browsers have it
-            self.end_line() if tag == "p" else self.text.append(" ")
+            self.end_line() if tag == "p" else self.add(" ")
         if (at := self.opened((tag,), frozenset())) is not None:
             self.close_to(at)
 
     def handle_data(self, data: str) -> None:
-        if not self.stack[-1][1]:
-            self.text.append(data)
+        self.add(data)
+
+    def up(self, values: list, joined) -> list:
+        """Values per node joined with those of all nodes in it."""
+        for node in range(len(values) - 1, 0, -1):
+            values[self.parent[node]] = joined(values[self.parent[node]], values[node])
+        return values
+
+    def down(self, values: list, joined) -> list:
+        """Values per node joined with those of all nodes around it."""
+        for node in range(1, len(values)):
+            values[node] = joined(values[self.parent[node]], values[node])
+        return values
+
+
+def left_out(page: Lines) -> list[bool]:
+    """Per node whether its text is left out."""
+    return page.down([beside or bool(found) for beside, found in zip(page.beside, page.marks, strict=True)], lambda a, b: a or b)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -129,30 +165,67 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach : reach + len(ratios)] / weight
 
 
+def core_of(page: Lines, nodes: list[int], sizes: list[int], content: np.ndarray) -> int:
+    """The innermost node, other than a block without blocks in it, with ``REGION`` of the content; or the outermost
+    article or main element around it."""
+    held, any_line = [0] * len(page.tag), [False] * len(page.tag)
+    for node, size, is_content in zip(nodes, sizes, content, strict=True):
+        held[node] += size if is_content else 0
+        any_line[node] = True
+    held, any_line = page.up(held, int.__add__), page.up(any_line, lambda a, b: a or b)
+    container = [tag in ARTICLES for tag in page.tag]
+    for node in range(1, len(container)):
+        container[page.parent[node]] |= any_line[node]
+    core = 0
+    for node in range(1, len(container)):  # the nodes that hold REGION lie within each other
+        if container[node] and held[node] >= REGION * held[0]:
+            core = node
+    node = around = core
+    while node:
+        around = node if page.tag[node] in ARTICLES else around
+        node = page.parent[node]
+    return around
+
+
 def main_text(html: str | None) -> str:
-    """Lines of the page's content region, joined by blank lines; empty if there is no text."""
-    parser = Lines()
+    """Lines of the page's core and those beside it that belong to it, joined by blank lines; empty if there is no text."""
+    page = Lines()
     for at in range(0, len(html or ""), FEED_CHARS):
-        parser.feed(html[at : at + FEED_CHARS])
-    if parser.rawdata.startswith("<!--"):  # a comment that is never closed
-        parser.rawdata = ""
-    parser.close()
-    parser.end_line()
-    lines = parser.lines
+        page.feed(html[at : at + FEED_CHARS])
+    if page.rawdata.startswith("<!--"):  # a comment that is never closed
+        page.rawdata = ""
+    page.close()
+    page.end_line()
+    out = left_out(page)
+    lines, tags_of, nodes, linked = [], [], [], []
+    for parts, tags in page.lines:
+        kept = [part for part in parts if not out[part[1]]]
+        if text := SPACE.sub(" ", "".join(part[0] for part in kept)).strip():
+            node = kept[0][1]
+            while node and page.tag[node] not in BLOCKS:
+                node = page.parent[node]
+            lines.append(text)
+            tags_of.append(tags)
+            nodes.append(node)
+            linked.append(sum(len(part[0]) for part in kept if part[2]) >= LINKED * len(text))
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(text) / tags for text, tags, _ in lines]))
-    content = ratios > min(THRESHOLD * ratios.std(), ratios.max() * 0.999)
-    held: dict[int, list[int]] = {}
-    total = 0
-    for (text, _, path), is_content in zip(lines, content, strict=True):
-        if is_content:
-            total += len(text)
-            for depth, node in enumerate(path):
-                entry = held.setdefault(node, [0, depth])
-                entry[0] += len(text)
-    region = max((depth, node) for node, (chars, depth) in held.items() if chars >= REGION * total)[1]
-    return "\n\n".join(text for text, _, path in lines if region in path)
+    ratios = np.array([len(text) / tags for text, tags in zip(lines, tags_of, strict=True)])
+    smooth = smoothed(ratios)
+    threshold = min(THRESHOLD * smooth.std(), smooth.max() * 0.999)
+    core = core_of(page, nodes, [len(text) for text in lines], smooth > threshold)
+    in_core = page.down([node == core for node in range(len(page.tag))], lambda a, b: a or b)
+    in_article = page.down([tag in ARTICLES for tag in page.tag], lambda a, b: a or b)
+    clear = page.tag[core] in ARTICLES
+
+    def belongs(i: int) -> bool:
+        """Whether a line beside the core is kept: text, not links; beside an article element only other articles,
+        headings and lines with the ratio of content."""
+        if linked[i]:
+            return False
+        return not clear or in_article[nodes[i]] or page.tag[nodes[i]] in HEADINGS or max(ratios[i], smooth[i]) > threshold
+
+    return "\n\n".join(text for i, text in enumerate(lines) if in_core[nodes[i]] or belongs(i))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

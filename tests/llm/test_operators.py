@@ -231,6 +231,31 @@ def test_main_text_in_small_feeds(monkeypatch):
     assert html_text.main_text(PAGE) == "\n\n".join(ARTICLE)
 
 
+def paragraphs(*lengths):
+    rng = random.Random(sum(lengths))
+    return [prose(rng, n) for n in lengths]
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", '<div class="content">{}</div>', "{}"])
+def test_one_long_paragraph_is_not_the_whole_article(around):
+    texts = paragraphs(5, 300, 6)
+    html = around.format(f"<h1>A heading</h1><p>{texts[0]}</p><p>{texts[1]}</p><p>{texts[2]}</p>")
+    page = f'<body><nav><a href="/">Home</a></nav><div class="ad">Buy this.</div>{html}<footer>us</footer></body>'
+    assert html_text.main_text(page) == "\n\n".join(["A heading", *texts])
+    if around != "{}":  # links beside a container
+        links = '<div><a href="/x">Other pages</a></div>'
+        assert html_text.main_text(page.replace("<footer>", links + "<footer>")) == "\n\n".join(["A heading", *texts])
+
+
+@pytest.mark.parametrize("tag", ["div", "section", "article"])
+def test_text_beside_a_container_with_most_of_it(tag):
+    texts = paragraphs(8, 200, 250, 12, 9)
+    body = f"<h1>A heading</h1><p>{texts[0]}</p><{tag}><p>{texts[1]}</p><p>{texts[2]}</p></{tag}><{tag}><p>{texts[3]}</p><p>{texts[4]}</p></{tag}>"
+    assert html_text.main_text(f"<body><main>{body}</main><footer>us</footer></body>") == "\n\n".join(["A heading", *texts])
+    if tag != "article":
+        assert html_text.main_text(f"<body>{body}<footer>us</footer></body>") == "\n\n".join(["A heading", *texts])
+
+
 @pytest.mark.parametrize("html", [None, "", " ", "<p>", "<<<>>>", "<script>x", "</p></div>", "<!-- x"])
 def test_odd_pages_have_no_text(html):
     assert html_text.main_text(html) in ("", "<<<>>>")
