@@ -4,7 +4,8 @@ The standard library's parser streams events; the page becomes lines, one per bl
 tags around it. The ratio of text to tags per line is smoothed with a Gaussian, lines above a threshold are clustered as
 content, and the core of the page is the innermost container that holds nearly all of them, or the article or main
 element around it. All lines of the core are kept, short ones too; of the others those that belong to an article by
-their links, ratio or heading (`belongs`). Elements that are named like page furniture are left out.
+their links, ratio or heading (`belongs`). Elements that are named like page furniture are left out only where the
+share of the page's text they hold agrees (`left_out`).
 """
 
 from __future__ import annotations
@@ -41,6 +42,10 @@ MARKS = frozenset(
     "menubar modal nav navbar navigation newsletter notice notices notification overlay pagination popup popups promo promoted promotion related replies "
     "reply search share sharing sidebar signup sitemap skip social sponsor sponsored subscribe teaser toolbar tooltip widget".split()
 )
+#: Marked elements are kept where one, or all with the same word, hold this share of the text; the second one counts
+#: beside an article or main element with text of its own. Together those left out hold at most ``LEFT_OUT`` without such an element.
+MAJOR = (0.5, 0.9)
+LEFT_OUT = 0.75
 #: A line with this share of its text in links is a list of links.
 LINKED = 0.5
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -154,8 +159,49 @@ class Lines(HTMLParser):
 
 
 def left_out(page: Lines) -> list[bool]:
-    """Per node whether its text is left out."""
-    return page.down([beside or bool(found) for beside, found in zip(page.beside, page.marks, strict=True)], lambda a, b: a or b)
+    """Per node whether its text is left out.
+
+    An element that holds an article or main element is never left out for what it is called. Other marked elements
+    are kept if one of them, or all those with the same word, hold the major part of the text of the article or main
+    element around them, or else of the page. Without an article element with text beside them, the words that hold
+    most count no more until a part of that text is left.
+    """
+    article = page.up([tag in ARTICLES for tag in page.tag], lambda a, b: a or b)
+    out = page.down([beside and not holds for beside, holds in zip(page.beside, article, strict=True)], lambda a, b: a or b)
+    if not any(page.marks):
+        return out
+    own = [0] * len(out)
+    for parts, _ in page.lines:
+        for text, node, _ in parts:
+            if not out[node]:
+                own[node] += len(text.strip())
+    held = page.up(list(own), int.__add__)
+    scope = page.down([node if tag in ARTICLES else 0 for node, tag in enumerate(page.tag)], lambda a, b: b or a)
+    named = [m if not a else NO_MARKS for m, a in zip(page.marks, article, strict=True)]
+    in_named = page.down([bool(m) for m in named], lambda a, b: a or b)
+    clear = [False] * len(out)
+    for at in {s for n, s, m in zip(own, scope, in_named, strict=True) if n and s and not m}:
+        while at:
+            at = scope[page.parent[at]]
+            clear[at] = True
+    major = [MAJOR[clear[s]] * held[s] for s in scope]
+    words = page.down([m if h < most else NO_MARKS for m, h, most in zip(named, held, major, strict=True)], lambda a, b: a | b if b else a)
+    chars: dict[int, dict[frozenset[str], int]] = {}
+    for at, found, n in zip(scope, words, own, strict=True):
+        if found and n:
+            of = chars.setdefault(at, {})
+            of[found] = of.get(found, 0) + n
+    telling = {}
+    for at, of in chars.items():
+        by_word: dict[str, int] = {}
+        for found, n in of.items():
+            for word in found:
+                by_word[word] = by_word.get(word, 0) + n
+        left = {word for word, n in by_word.items() if n < major[at]}
+        while not clear[at] and sum(n for found, n in of.items() if not left.isdisjoint(found)) > LEFT_OUT * held[at]:
+            left.remove(max(left, key=lambda word: (by_word[word], word)))
+        telling[at] = left
+    return [o or not telling.get(at, NO_MARKS).isdisjoint(found) for o, at, found in zip(out, scope, words, strict=True)]
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:

@@ -256,6 +256,32 @@ def test_text_beside_a_container_with_most_of_it(tag):
         assert html_text.main_text(f"<body>{body}<footer>us</footer></body>") == "\n\n".join(["A heading", *texts])
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "page-with-nav", "post social", "search-results", "related-work"])
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>"])
+def test_marked_wrappers_keep_their_text(name, inner):
+    texts = paragraphs(30, 60, 4)
+    held = inner.format("<h1>A heading</h1>" + "".join(f"<p>{x}</p>" for x in texts))
+    page = f'<body><div class="{name}">{held}</div><div class="sidebar">Some other pages</div><footer>us</footer></body>'
+    assert html_text.main_text(page) == "\n\n".join(["A heading", *texts])
+
+
+def test_marked_parts_that_are_most_of_a_page_or_article():
+    texts = paragraphs(30, 31, 32)
+    for names in (["post social"] * 3, ["post social", "post share", "post promo"]):
+        page = "".join(f'<div class="{n}"><p>{x}</p></div>' for n, x in zip(names, texts, strict=True))
+        found = html_text.main_text(f"<body>{page}</body>").split("\n\n")
+        assert found == texts if len(set(names)) == 1 else set(found) <= set(texts) and found != [""]
+    page = f'<article><h1>A heading</h1><div class="entry social"><p>{texts[0]}</p></div><div class="share">Share</div></article>'
+    assert html_text.main_text(page) == "A heading\n\n" + texts[0]
+    assert html_text.main_text(f"<form>{page}</form>") == "A heading\n\n" + texts[0]
+
+
+def test_marked_parts_longer_than_a_short_article():
+    advert, comments = paragraphs(20, 40)
+    page = f'<div class="ad">{advert}</div><article><h1>Title</h1><p>A few words of news.</p></article><div class="comments"><p>{comments}</p></div>'
+    assert html_text.main_text(f"<body>{page}</body>") == "Title\n\nA few words of news."
+
+
 @pytest.mark.parametrize("html", [None, "", " ", "<p>", "<<<>>>", "<script>x", "</p></div>", "<!-- x"])
 def test_odd_pages_have_no_text(html):
     assert html_text.main_text(html) in ("", "<<<>>>")
