@@ -2,7 +2,7 @@
 
 Among all document rates with the wanted tokens per source, the ones nearest to 1 in relative entropy, with rates up to
 ``most``, are ``min(most, exp(dual * size / mean size))``: one dual value per source. A Newton iteration over the
-counts per (source, size) finds the dual values; rates become whole copies, class by class.
+counts per (source, size) finds the dual values; rates become whole copies along the sizes of a source.
 """
 
 from __future__ import annotations
@@ -82,11 +82,17 @@ def solved(classes: DataFrame, sources: DataFrame, most: int = MOST) -> DataFram
 
 
 def whole_copies(classes: DataFrame, most: int = MOST) -> DataFrame:
-    """Copies per class (``_copies``): the nearest whole number, then a source's remaining error is made up by classes
-    whose size fits in it, largest first."""
+    """Copies per class (``_copies``): the whole numbers passed by a source's running sum of expected copies, in order of
+    size, so that any range of sizes gets its expected copies to within one. The sum starts at a hash of the source.
+    The remaining error, at most about one document of the largest size, is made up by classes whose size fits in it,
+    largest first."""
     own, by_size = Window.partitionBy("_key"), Window.partitionBy("_key").orderBy(F.desc("size"))
     before = by_size.rowsBetween(Window.unboundedPreceding, -1)
-    classes = classes.withColumn("_copies", F.least(F.col("_n") * most, F.round(F.col("_n") * rate(most), 0).cast("long")))
+    start = F.pmod(F.xxhash64(F.col("_key"), F.lit("start")), F.lit(1 << 20)) / F.lit(1 << 20)
+    running = F.sum("_expected").over(Window.partitionBy("_key").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    classes = classes.withColumn("_expected", F.col("_n") * rate(most)).withColumn("_passed", F.floor(start + running))
+    passed = F.col("_passed") - F.coalesce(F.lag("_passed").over(Window.partitionBy("_key").orderBy("size")), F.lit(0))
+    classes = classes.withColumn("_copies", F.least(F.col("_n") * most, passed.cast("long"))).drop("_expected", "_passed")
     goal = F.round("target", 0).cast("long")
     for _ in range(ROUNDING_PASSES):
         classes = classes.withColumn("_error", goal - F.sum(F.col("_copies") * F.col("size")).over(own))

@@ -498,6 +498,22 @@ def test_mix_comes_near_its_targets(spark):
     assert sorted(found) == sorted(mixing.entropy_balance(docs.repartition(7)).collect())
 
 
+def test_rates_take_effect_at_sizes_that_occur_once(spark):
+    """Along the sizes of a source, copies stay near the sum of the rates, also in its long tail."""
+    lengths = [(source, 3 + i * 3 + k + int(3 * 1.02**i)) for i in range(400) for k, source in enumerate("abc")]
+    rows = [(at, " ".join(["w"] * n), source) for at, (source, n) in enumerate(lengths)]
+    found = mixing.entropy_balance(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    target, taken = check_mix(rows, found)
+    sizes, copies = map(np.array, zip(*sorted((r.size, r.copies) for r in found if lengths[r.doc_id][0] == "c"), strict=True))
+    assert len(set(sizes)) == len(sizes) and target["c"] < sizes.sum() and abs(taken["c"] - target["c"]) <= sizes.min()
+    low, high = -60.0, 0.0
+    for _ in range(100):
+        dual = (low + high) / 2
+        rates = np.exp(dual * sizes / sizes.mean())
+        low, high = (dual, high) if rates @ sizes < target["c"] else (low, dual)
+    assert np.abs(np.cumsum(copies) - np.cumsum(rates)).max() <= 4
+
+
 def test_mix_of_odd_documents(docs, no_docs):
     rows = [(i, t, s) for i, t, _, s, _ in ROWS]
     check_mix(rows, mixing.entropy_balance(docs).collect())
