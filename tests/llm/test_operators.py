@@ -100,6 +100,19 @@ def test_pack_holds_each_id_once(docs):
     assert len(sequences) <= sum(r.length for r in rows) / 1024 + 2
 
 
+@pytest.mark.parametrize("text", [
+    "<|endoftext|>", "a <|endoftext|> b", "  \n<|endoftext|>\n  x<|endoftext|><|endoftext|>y", "<|endoftext|", "no special",
+    "\n" * 1_100_000, "a" + " " * 2_000_000 + "word", "a\n" + " \n\t" * 50_000 + "1 x" + "\xa0\u3000" * 60_000 + "é <|endoftext|>  ",
+    "x" + " " * 100_000 + "y" + " " * 100_001 + "\x1c" + "\r\n" * 60_000 + "!",
+], ids=range(9))
+def test_ids_are_those_of_the_tokenizer_file(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.encoder()(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_pack_counts_repeated_rows_and_takes_no_rows(docs, no_docs):
     assert packing.pack(docs.union(docs)).count() == 2 * packing.pack(docs).count()
     assert packing.pack(no_docs).count() == 0
