@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm import (
-    classifier, fingerprints, html_text, mixing, near_dup, packing, quality_rules, repeats, sharding, warc,
+    classifier, fim, fingerprints, html_text, mixing, near_dup, packing, quality_rules, repeats, sharding, spelling, token_counts, warc,
 )
 from tabwright.llm.common import table
 
@@ -59,6 +59,20 @@ def op10_entropy_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def op11_fim(spark: SparkSession, folder: str) -> DataFrame:
+    moved = fim.restored(fim.transformed(table(spark, folder, "documents")))
+    digests = [F.sha2(F.encode(c, "UTF-8"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, folder, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable] = {
     "op1_pack": op1_pack,
     "op2_imatch": op2_imatch,
@@ -70,6 +84,9 @@ QUERIES: dict[str, Callable] = {
     "op8_repeats": op8_repeats,
     "op9_setsketch": op9_setsketch,
     "op10_entropy_mix": op10_entropy_mix,
+    "op11_fim": op11_fim,
+    "op12_spelling": op12_spelling,
+    "op13_token_counts": op13_token_counts,
 }
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -169,4 +186,70 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 FROM c LEFT JOIN n USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_host_rules": OP3_SQL, "op7_warc": OP7_SQL, "op8_repeats": OP8_SQL, "op9_setsketch": OP9_SQL}
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h
+  FROM documents
+), drawn AS (
+  SELECT *, CAST(len(l) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(l) + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (len(l) + 1) AS c2,
+    CAST('0x' || h[17:24] AS BIGINT) % 100 AS c3, CAST('0x' || h[25:32] AS BIGINT) % 100 AS c4
+  FROM d
+), parts AS (
+  SELECT *, array_to_string(l[1:least(c1, c2)], '') AS p, array_to_string(l[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+    array_to_string(l[greatest(c1, c2) + 1:], '') AS s,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c3 >= 100 THEN 'plain' WHEN c4 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT range AS i, 0 AS k, CAST(range AS UBIGINT) AS c FROM range(256)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM steps WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8
+), runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS r FROM documents)
+), counted AS (
+  SELECT doc_id, r, count(*) AS n, hex(encode(doc_id || ':' || r)) AS x FROM runs GROUP BY doc_id, r
+), summed AS (
+  SELECT doc_id, r, n, xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(range(0, len(x) // 2), lambda b: CAST('0x' || x[2 * b + 1 : 2 * b + 2] AS UBIGINT))),
+    lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS BIGINT) + 1]))) AS h
+  FROM counted, crc
+), made AS (
+  SELECT n, CASE WHEN h % 199 = 0 THEN r[1 : CAST(h % length(r) AS BIGINT)] || r[CAST(h % length(r) AS BIGINT) + 2 :] ELSE r END AS word FROM summed
+), w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), without AS (
+  SELECT word, i, word[1 : i - 1] || word[i + 1 :] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)
+), pairs AS (
+  SELECT a.word, b.word AS near FROM without a JOIN without b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION
+  SELECT a.word, w.word FROM without a JOIN w ON a.rest = w.word
+  UNION
+  SELECT w.word, a.word FROM without a JOIN w ON a.rest = w.word
+), best AS (
+  SELECT p.word, count(*) AS n_near, min({'less': -o.n, 'form': p.near}) AS b FROM pairs p JOIN w o ON o.word = p.near GROUP BY p.word
+), told AS (
+  SELECT w.word, w.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN -b.less >= 5 * w.n THEN b.form END AS form,
+    CASE WHEN -b.less >= 5 * w.n THEN -b.less END AS form_n
+  FROM w LEFT JOIN best ON best.word = w.word
+), chain AS (
+  SELECT word, word AS here FROM told
+  UNION ALL
+  SELECT chain.word, told.form FROM chain JOIN told ON told.word = chain.here WHERE told.form IS NOT NULL
+)
+SELECT told.word, form, here AS root, n, n_near, form_n
+FROM told JOIN chain ON chain.word = told.word JOIN (SELECT word AS last FROM told WHERE form IS NULL) ON last = here
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_host_rules": OP3_SQL, "op7_warc": OP7_SQL, "op8_repeats": OP8_SQL, "op9_setsketch": OP9_SQL, "op11_fim": OP11_SQL, "op12_spelling": OP12_SQL,
+}
