@@ -5,8 +5,8 @@ at most one to one count and takes at most one from another. Words are arranged
 depth-first search follows the counts of a word and spends a surplus and a deficit of one each on the way. The words of
 the leaves it reaches are compared letter by letter.
 
-The upper part of the trie, whose size is bounded, goes to all tasks and tells each word the leaves to look into; a leaf
-is a bucket of a shuffle, where a smaller trie goes on where there are many words.
+The upper part of the trie, whose size is bounded, goes to all tasks and tells each word the buckets to look into. A
+bucket of the shuffle is the lower trie of its words; the words that look into it go down together, as arrays.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +32,17 @@ DROPPED = 199
 #: Groups of letters, frequent ones alone; all other letters are the last group.
 GROUPS = ("e", "a", "i", "o", "n", "r", "s", "t", "l", "u", "d", "c", "m", "p", "h", "g", "bv", "fw", "ky", "jqxz")
 GROUP_OF = {letter: k for k, letters in enumerate(GROUPS) for letter in letters}
+OTHERS = len(GROUPS)
 LEVELS = len(GROUPS) + 2
-#: Words of a leaf, at least; with more words altogether leaves are larger, so that the upper trie keeps its bound.
+#: Letters are code points below 256.
+GROUP_CODES = np.array([GROUP_OF.get(chr(c), OTHERS) for c in range(256)])
+#: Words of a leaf, and of a bucket at least; with more words altogether buckets are larger, so that the upper trie keeps its bound.
 LEAF = 64
+BUCKET = 4096
 UPPER_NODES = 4_000
+#: Letters compared at once, and words that look into a bucket together.
+CELLS = 4_000_000
+TOGETHER = 20_000
 #: Words that a task counts before it hands them on.
 HELD_WORDS = 500_000
 #: Texts above this are searched match by match rather than as a list.
@@ -91,108 +99,133 @@ def vector(word: str) -> tuple[int, ...]:
     counts = [0] * LEVELS
     counts[0] = len(word)
     for letter in word:
-        counts[GROUP_OF.get(letter, LEVELS - 2) + 1] += 1
+        counts[GROUP_OF.get(letter, OTHERS) + 1] += 1
     return tuple(counts)
 
 
-def steps(counts: tuple[int, ...], level: int, up: int, down: int) -> Iterator[tuple[int, int, int]]:
-    """``(count, surplus left, deficit left)`` for the counts a search may take at a level.
-
-    Words as long or one letter longer are looked for, each pair from one side. A longer one has one surplus and no deficit.
-    """
-    count = counts[level]
-    yield count, up, down
-    if level == 0:
-        yield count + 1, up, 0
-    else:
-        if up:
-            yield count + 1, up - 1, down
-        if down and count:
-            yield count - 1, up, down - 1
-
-
-class Trie:
-    """Words under their successive counts; nodes of up to ``LEAF`` words, and the last level, are leaves."""
-
-    def __init__(self, found: list[tuple], level: int):
-        self.level, self.leaf, self.next = level, found, None
-        if len(found) > LEAF and level < LEVELS:
-            parts: dict[int, list] = {}
-            for item in found:
-                parts.setdefault(item[0][level], []).append(item)
-            self.leaf, self.next = [], {count: Trie(part, level + 1) for count, part in parts.items()}
-
-    def search(self, counts: tuple[int, ...], up: int, down: int) -> Iterator[list[tuple]]:
-        if self.next is None:
-            yield self.leaf
-            return
-        for count, more, less in steps(counts, self.level, up, down):
-            if (node := self.next.get(count)) is not None:
-                yield from node.search(counts, more, less)
-
-
-def leaves(counts: tuple[int, ...], upper: dict[str, bool]) -> Iterator[tuple[str, int, int]]:
-    """The leaves of the upper trie that a word's search reaches: path, level and the budget left (as ``up * 2 + down``)."""
-    open_ = [("", 0, 1, 1)]
+def buckets_of(counts: tuple[int, ...], upper: dict) -> Iterator[int]:
+    """The buckets that a word's search reaches. Words as long or one letter longer are looked for, so that each pair is
+    found from one side; a longer one has one surplus and no deficit."""
+    open_ = [(upper, 0, 1, 1)]
     while open_:
-        path, level, up, down = open_.pop()
-        for count, more, less in steps(counts, level, up, down):
-            to = f"{path},{count}" if level else str(count)
-            if (inner := upper.get(to)) is None:
-                continue
-            if inner:
-                open_.append((to, level + 1, more, less))
-            else:
-                yield to, level + 1, more * 2 + less
-
-
-def home(counts: tuple[int, ...], upper: dict[str, bool]) -> str:
-    """The leaf that holds a word."""
-    path = ""
-    for level, count in enumerate(counts):
-        path = f"{path},{count}" if level else str(count)
-        if not upper[path]:
-            break
-    return path
-
-
-def one_edit(a: str, b: str) -> bool:
-    """Whether one letter replaced, or inserted into ``a``, makes ``b``."""
-    if a == b:
-        return False
-    at = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    return a[at + 1 :] == b[at + 1 :] if len(a) == len(b) else len(b) == len(a) + 1 and a[at:] == b[at + 1 :]
-
-
-def upper_trie(found: DataFrame, n_words: int) -> dict[str, bool]:
-    """The nodes with at most ``LEAF`` words (or a bound that grows with ``n_words``) and those above them: path to whether it is inner.
+        node, level, up, down = open_.pop()
+        count = counts[level]
+        if level == 0:
+            steps = ((count, up, down), (count + 1, up, 0))
+        else:
+            steps = ((count, up, down), (count + 1, up - 1, down), (count - 1, up, down - 1))
+        for to, more, less in steps:
+            if more >= 0 and less >= 0 and (child := node.get(to)) is not None:
+                if isinstance(child, dict):
+                    open_.append((child, level + 1, more, less))
+                else:
+                    yield child
+
+
+def home(counts: tuple[int, ...], upper: dict) -> int:
+    """The bucket that holds a word."""
+    node, level = upper, 0
+    while isinstance(node, dict):
+        node = node[counts[level]]
+        level += 1
+    return node
+
+
+def upper_trie(found: DataFrame, n_words: int) -> dict:
+    """Nested counts down to the nodes of at most ``BUCKET`` words (or a bound that grows with ``n_words``), which are numbered.
 
     Each level has at most ``UPPER_NODES`` inner nodes, so the driver holds a bounded table whatever the number of words.
     """
-    most = max(LEAF, -(-n_words // UPPER_NODES))
+    most = max(BUCKET, -(-n_words // UPPER_NODES))
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[tuple[str, str], int] = {}
+            held: dict[tuple[int, ...], int] = {}
             for word in batch.column(0).to_pylist():
-                above = ""
-                for level, count in enumerate(vector(word)):
-                    path = f"{above},{count}" if level else str(count)
-                    held[path, above] = held.get((path, above), 0) + 1
-                    above = path
-            columns = [[p for p, _ in held], [a for _, a in held], [p.count(",") + 1 for p, _ in held], list(held.values())]
-            types = (pa.string(), pa.string(), pa.int32(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["path", "above", "level", "n"])
-
-    counted = found.select("word").mapInArrow(paths, "path string, above string, level int, n long")
-    nodes = written(counted.groupBy("path", "above", "level").agg(F.sum("n").alias("n")))
-    is_inner = (F.col("n") > most) & (F.col("level") < LEVELS)
-    inner = nodes.filter(is_inner).select(F.col("path").alias("above"))
-    children = nodes.join(F.broadcast(inner), "above").union(nodes.filter("level = 1").select("above", "path", "level", "n"))
-    return {r["path"]: r["inner"] for r in children.select("path", is_inner.alias("inner")).collect()}
-
-
-ROUTED = "bucket string, query boolean, level int, budget int, word string, n long"
+                counts = vector(word)
+                for level in range(1, LEVELS + 1):
+                    held[counts[:level]] = held.get(counts[:level], 0) + 1
+            yield pa.record_batch([pa.array(list(held), pa.list_(pa.int32())), pa.array(list(held.values()), pa.int64())], ["path", "n"])
+
+    counted = found.select("word").mapInArrow(paths, "path array<int>, n long").groupBy("path").agg(F.sum("n").alias("n"))
+    is_inner = (F.col("n") > most) & (F.size("path") < LEVELS)
+    nodes = written(counted.select("path", is_inner.alias("inner"), F.slice("path", 1, F.size("path") - 1).alias("above")))
+    inner = nodes.filter("inner").select(F.col("path").alias("above"))
+    children = nodes.join(F.broadcast(inner), "above").select("path", "inner").union(nodes.filter("size(path) = 1").select("path", "inner"))
+    trie: dict = {}
+    number = 0
+    for path, inner in sorted((tuple(r["path"]), r["inner"]) for r in children.collect()):  # a node before those below it
+        node = trie
+        for count in path[:-1]:
+            node = node[count]
+        node[path[-1]] = {} if inner else number
+        number += not inner
+    return trie
+
+
+# ---- the words of a bucket ---------------------------------------------------------------------------------------
+
+
+def letters_of(words: list[str], length: int) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(len(words), length)
+
+
+def group_counts(letters: np.ndarray) -> np.ndarray:
+    n = len(letters)
+    place = np.repeat(np.arange(n), letters.shape[1]) * (OTHERS + 1) + GROUP_CODES[letters.ravel()]
+    return np.bincount(place, minlength=n * (OTHERS + 1)).reshape(n, OTHERS + 1)
+
+
+def one_edit(short: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of ``short`` and ``words`` that one replaced letter, or one inserted into ``short``, makes equal."""
+    found = []
+    step = max(1, CELLS // max(1, words.size))
+    for at in range(0, len(short), step):
+        part = short[at : at + step]
+        if part.shape[1] == words.shape[1]:
+            near = np.count_nonzero(part[:, None] != words[None], axis=2) == 1
+        else:
+            # Equal up to some place, and from there on one letter later.
+            ahead, behind = part[:, None] != words[None, :, :-1], part[:, None] != words[None, :, 1:]
+            first = np.where(ahead.any(2), ahead.argmax(2), part.shape[1])
+            last = np.where(behind.any(2), part.shape[1] - behind[:, :, ::-1].argmax(2), 0)
+            near = last <= first
+        q, w = np.nonzero(near)
+        found.append((q + at, w))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+
+class Bucket:
+    """Words of one length, as the trie below a node."""
+
+    def __init__(self, words: list[str]):
+        self.length = len(words[0])
+        self.letters = letters_of(words, self.length)
+        self.counts = group_counts(self.letters)
+
+    def near(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs ``(of words, of the bucket)`` one edit apart; ``words`` have one length."""
+        letters = letters_of(words, len(words[0]))
+        counts, everyone = group_counts(letters), np.arange(len(words))
+        down = np.full(len(words), int(len(words[0]) == self.length))
+        open_ = [(np.arange(len(self.letters)), everyone, 0, np.ones(len(words), np.int64), down)]
+        while open_:
+            members, asking, group, up, down = open_.pop()
+            if len(members) <= LEAF or group > OTHERS:
+                q, w = one_edit(letters[asking], self.letters[members])
+                if len(q):
+                    yield asking[q], members[w]
+                continue
+            held, asked = self.counts[members, group], counts[asking, group]
+            for count in np.unique(held):
+                gap = count - asked
+                more, less = up - (gap > 0), down - (gap < 0)
+                goes = (np.abs(gap) <= 1) & (more >= 0) & (less >= 0)
+                if goes.any():
+                    open_.append((members[held == count], asking[goes], group + 1, more[goes], less[goes]))
+
+
+ROUTED = "bucket int, query boolean, word string, n long"
 PAIRS = "word string, n long, near string, near_n long"
 
 
@@ -224,27 +257,35 @@ def near_pairs(found: DataFrame, partitions: int | None = None) -> DataFrame:
             for batch in batches:
                 for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     counts = vector(word)
-                    yield home(counts, upper.value), False, 0, 0, word, n
-                    for path, level, budget in leaves(counts, upper.value):
-                        yield path, True, level, budget, word, n
+                    yield home(counts, upper.value), False, word, n
+                    for bucket in buckets_of(counts, upper.value):
+                        yield bucket, True, word, n
 
         yield from batches_of(rows(), ROUTED)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(members: list[tuple], bucket: Bucket, asking: list[tuple]) -> Iterator[tuple]:
+            for length in {len(word) for word, _ in asking}:
+                some = [item for item in asking if len(item[0]) == length]
+                for q, w in bucket.near([word for word, _ in some]):
+                    for i, j in zip(q.tolist(), w.tolist(), strict=True):
+                        if length < bucket.length or some[i][0] < members[j][0]:
+                            yield *some[i], *members[j]
+
         def rows() -> Iterator[tuple]:
-            here, members, trie = None, [], None
+            here, members, bucket, asking = None, [], None, []
             for batch in batches:
-                for bucket, query, level, budget, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if bucket != here:
-                        here, members, trie = bucket, [], None
-                    if not query:
-                        members.append((vector(word), word, n))
-                        continue
-                    trie = trie or Trie(members, level)
-                    for leaf in trie.search(vector(word), *divmod(budget, 2)):
-                        for _, other, other_n in leaf:
-                            if (len(other) > len(word) or other > word) and one_edit(word, other):
-                                yield word, n, other, other_n
+                for number, query, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if number != here or len(asking) == TOGETHER:
+                        if members and asking:
+                            bucket = bucket or Bucket([w for w, _ in members])
+                            yield from pairs(members, bucket, asking)
+                        asking = []
+                    if number != here:
+                        here, members, bucket = number, [], None
+                    (asking if query else members).append((word, n))
+            if members and asking:
+                yield from pairs(members, bucket or Bucket([w for w, _ in members]), asking)
 
         yield from batches_of(rows(), PAIRS)
 
