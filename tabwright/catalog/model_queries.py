@@ -9,6 +9,7 @@ from tabwright.catalog import inputs
 from tabwright.catalog.profile_queries import union_all, with_source
 from tabwright.operators import bayes, knn, models, oner, prepare
 from tabwright.plans import workflow
+from tabwright.session import own_folder
 
 LABEL = "CASE WHEN l_extendedprice > 53000 THEN 1 ELSE 0 END"
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -66,7 +67,7 @@ def knn_predict(spark, folder):
 
 def gnb_params(spark, folder):
     train, _ = labelled(spark, folder)
-    table = bayes.params_frame(train, BAYES_FEATURES, bayes.fit_gaussian(train, BAYES_FEATURES, "label"))
+    table = bayes.params_frame(BAYES_FEATURES, bayes.fit_gaussian(train, BAYES_FEATURES, "label"))
     return table.select("label", "feature", *[F.round(c, 5).alias(c) for c in ("prior", "mean", "variance")])
 
 
@@ -91,10 +92,17 @@ def oner_predict(spark, folder):
     return rule.predict(test).select(*ROW, "prediction")
 
 
+#: Texts with many different values keep the most frequent ones as categories.
+WITH_TEXT = workflow.Config(cardinality="group_rare_categories")
+
+
+def labelled_docs(spark, folder):
+    return inputs.docs(spark, folder).filter("quality IS NOT NULL").drop("toxic")
+
+
 def search_lr(spark, folder):
     """Cross-validated accuracy of two penalties on the labelled documents."""
-    docs = inputs.docs(spark, folder).filter("quality IS NOT NULL").drop("text", "toxic")
-    result = workflow.transform(docs, "quality")
+    result = workflow.transform(labelled_docs(spark, folder), "quality", config=WITH_TEXT)
     table = models.training_table(result.prepared(result.train), result.plain_features)
     _, tried = models.search(models.LOGISTIC, table, {"C": [0.01, 1.0]}, parallelism=4)
     return spark.createDataFrame([(p["C"], round(v, 4)) for p, v in tried], "c double, accuracy double")
@@ -102,8 +110,7 @@ def search_lr(spark, folder):
 
 def docs_report(spark, folder, names=models.MODEL_ORDER):
     """Full run on the labelled documents: from the raw table to fitted models."""
-    docs = inputs.docs(spark, folder).filter("quality IS NOT NULL").drop("text", "toxic")
-    return workflow.run(docs, "quality", config=workflow.Config(keys=None), names=names)
+    return workflow.run(labelled_docs(spark, folder), "quality", config=WITH_TEXT, names=names)
 
 
 def leaderboard(spark, folder):
@@ -125,17 +132,28 @@ def model_params(spark, folder):
 def feature_importance(spark, folder):
     prep, table, _ = prepared(spark, folder)
     fitted = models.train(models.FOREST, table)
-    rows = models.feature_importance(fitted, prepare.feature_names(prep))
-    return spark.createDataFrame(rows, "feature string, importance double")
+    return models.feature_importance(fitted, prepare.feature_table(spark, prep))
 
 
 def score_table(spark, folder):
     result, report = docs_report(spark, folder, (models.TREE,))
-    unlabelled = inputs.docs(spark, folder).filter("quality IS NULL").drop("text", "toxic", "quality")
+    return scored_docs(spark, folder, result, report)
+
+
+def scored_docs(spark, folder, result, report):
+    unlabelled = inputs.docs(spark, folder).filter("quality IS NULL").drop("toxic", "quality")
     scored = workflow.score(result, report.fitted[models.TREE], unlabelled)
     return scored.select("lang", "source", "prediction", "score")
 
 
+def score_saved(spark, folder):
+    """As ``score_table``, by a run that was saved, loaded, saved again and loaded."""
+    first, second = own_folder(spark, "run"), own_folder(spark, "run")
+    workflow.save_run(first, *docs_report(spark, folder, (models.TREE,)))
+    workflow.save_run(second, *workflow.load_run(spark, first))
+    return scored_docs(spark, folder, *workflow.load_run(spark, second))
+
+
 def cluster_search(spark, folder):
     table = inputs.table(spark, folder, "embeddings")
     return models.cluster_search(table.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")), [2, 5, 10])
@@ -161,6 +179,7 @@ QUERIES = {
     "model_params": model_params,
     "feature_importance": feature_importance,
     "score_table": score_table,
+    "score_saved": score_saved,
     "cluster_search": cluster_search,
 }
 

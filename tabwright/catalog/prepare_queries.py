@@ -5,6 +5,7 @@ Fitted on four fifths of the line items, applied to the rest; results in long fo
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabwright.catalog import inputs
@@ -88,9 +89,22 @@ def assemble_features(spark, folder):
     return prepare.assemble(fitted, test, KEYS)
 
 
+def assembled_slots(spark, folder):
+    """The non-zero slots of the assembled vectors."""
+    train, test = parts(spark, folder)
+    vectors = prepare.assemble(prepare.fit(train, NUMERIC, CATEGORICAL), test, [*KEYS, "l_partkey"])
+    long = vectors.select(*KEYS, "l_partkey", F.posexplode(vector_to_array("features")).alias("slot", "value")).filter("value <> 0")
+    return long.withColumn("value", F.round("value", 4))
+
+
+def feature_slots(spark, folder):
+    train, _ = parts(spark, folder)
+    return prepare.feature_table(spark, prepare.fit(train, NUMERIC, CATEGORICAL))
+
+
 def transformed(spark, folder, **settings):
-    docs = inputs.docs(spark, folder).drop("text")
-    return docs, workflow.transform(docs, TARGET, config=workflow.Config(keys=("doc_id",), **settings))
+    docs = inputs.docs(spark, folder)
+    return docs, workflow.transform(docs, TARGET, config=workflow.Config(keys=("doc_id",), cardinality="group_rare_categories", **settings))
 
 
 def transform_full(spark, folder):
@@ -101,6 +115,15 @@ def transform_full(spark, folder):
     return both.groupBy("split", F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"))
 
 
+def transform_values(spark, folder):
+    """Sums of repaired columns, and grouped texts, per class: numbers filled and capped, categories filled, rare texts as one."""
+    _, result = transformed(spark, folder)
+    whole = result.train.unionByName(result.test)
+    other = F.count_if(F.col("text") == "Other") if "text" in whole.columns else F.lit(0).cast("bigint")
+    numbers = [F.sum(F.col(c).cast("double")).alias(c) for c in ("n_chars", "n_gap", "quality", "toxic")]
+    return whole.groupBy("lang").agg(F.count("*").alias("n"), *numbers, F.count("source_gap").alias("sources"), other.alias("other_texts"))
+
+
 def transform_summary(spark, folder):
     docs, result = transformed(spark, folder)
     whole = result.train.unionByName(result.test)
@@ -108,9 +131,11 @@ def transform_summary(spark, folder):
 
 
 def transform_presplit(spark, folder):
-    orders = inputs.table(spark, folder, "orders").drop("o_orderdate")
+    """Both parts of the orders, prepared; dates have no type of feature and stay out."""
+    orders = inputs.table(spark, folder, "orders")
     result = workflow.transform_presplit(orders.filter("o_orderkey % 5 <> 0"), orders.filter("o_orderkey % 5 = 0"), "o_orderstatus")
-    return result.prepared(result.test).select("label", "features")
+    parts = [result.prepared(part).select(F.lit(name).alias("split"), "label", "features") for name, part in (("train", result.train), ("test", result.test))]
+    return parts[0].unionByName(parts[1])
 
 
 QUERIES = {
@@ -124,7 +149,10 @@ QUERIES = {
     "encode_target": encode_target,
     "integer_target": integer_target,
     "assemble_features": assemble_features,
+    "assembled_slots": assembled_slots,
+    "feature_slots": feature_slots,
     "transform_full": transform_full,
+    "transform_values": transform_values,
     "transform_summary": transform_summary,
     "transform_presplit": transform_presplit,
 }
@@ -163,17 +191,81 @@ def onehot_sql(value: str) -> str:
     return parts_sql(union_all(pieces))
 
 
+def slots_sql() -> str:
+    """Categories with their slots: columns in order, categories sorted within each."""
+    return union_all([
+        f"SELECT {i} AS place, '{c}' AS col, v::VARCHAR AS v, p, row_number() OVER (ORDER BY v) - 1 AS code FROM "
+        f"(SELECT coalesce({c}, {mode_of(c)}) AS v, count(*) / (SELECT count(*) FROM tr)::DOUBLE AS p FROM tr GROUP BY 1)"
+        for i, c in enumerate(CATEGORICAL)
+    ])
+
+
+def slots_body(value: str) -> str:
+    return (
+        f"SELECT col, v, {len(NUMERIC)} + code + coalesce((SELECT sum(n) FROM (SELECT place, count(*) AS n FROM s GROUP BY place) b WHERE b.place < s.place), 0) AS slot, "
+        f"{value} AS value FROM s"
+    )
+
+
+def assembled_sql() -> str:
+    scaled = [
+        f"SELECT l_orderkey, l_linenumber, l_partkey, {i} AS slot, (coalesce({c}, {median_of(c)}) - m) / s AS value FROM te, "
+        f"(SELECT avg({filled(c)}) AS m, CASE WHEN max({filled(c)}) > min({filled(c)}) THEN stddev_pop({filled(c)}) ELSE 1 END AS s FROM tr)"
+        for i, c in enumerate(NUMERIC)
+    ]
+    hot = [
+        f"SELECT l_orderkey, l_linenumber, l_partkey, slot, value FROM te JOIN h ON col = '{c}' AND v = coalesce({c}, {mode_of(c)})::VARCHAR" for c in CATEGORICAL
+    ]
+    scale = "CASE WHEN p < 1 THEN 1 / sqrt(p * (1 - p)) ELSE 1.0 END"
+    return parts_sql(
+        f"SELECT l_orderkey, l_linenumber, l_partkey, slot::INT AS slot, round(value, 4) AS value FROM ("
+        f"WITH s AS ({slots_sql()}), h AS ({slots_body(scale)}) {union_all(scaled + hot)}) WHERE value <> 0"
+    )
+
+
 ORDINAL_SQL = "SELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(
     f"coalesce(c_{c}, -1)::INT AS {c}" for c in CATEGORICAL
 ) + " FROM (SELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(f"coalesce({c}, {mode_of(c)}) AS {c}" for c in CATEGORICAL) + " FROM te) " + " ".join(
     f"LEFT JOIN (SELECT v AS {c}, row_number() OVER (ORDER BY v) - 1 AS c_{c} FROM (SELECT DISTINCT coalesce({c}, {mode_of(c)}) AS v FROM tr)) USING ({c})" for c in CATEGORICAL
 )
 
+STRIPPED = r"nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), '')"
+#: 1 if the texts are not nearly all different: then they are no ids, and the rare ones are grouped.
+TEXT_STAYS = f"(count(DISTINCT {STRIPPED}) < 0.95::DOUBLE * count(*))::INT"
+
 FULL_SQL = (
     "SELECT lang, c, greatest(1, least(round(c * 0.2::DOUBLE), c - 1)) AS k, row_number() OVER (ORDER BY lang) - 1 AS label FROM (SELECT lang, count(*) AS c FROM documents GROUP BY lang)"
 )
 
+def fences_of(c: str) -> str:
+    q1, q3 = (f"quantile_cont({c}, {q})" for q in (0.25, 0.75))
+    return f"round({q1} - 1.5 * ({q3} - {q1}), 4) AS lo_{c}, round({q3} + 1.5 * ({q3} - {q1}), 4) AS hi_{c}"
+
+
+def most_frequent(c: str) -> str:
+    return f"(SELECT {c} FROM t WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+
+
+#: Whole numbers are capped at whole numbers; a fractional median makes a column fractional.
+VALUES_SQL = with_source(
+    "t", inputs.DOCS_SQL,
+    f"""SELECT lang, count(*) AS n, sum(least(greatest(n_chars, ceil(lo_n_chars)), floor(hi_n_chars)))::DOUBLE AS n_chars,
+      sum(CASE WHEN m = floor(m) THEN least(greatest(coalesce(n_gap, m), ceil(lo_n_gap)), floor(hi_n_gap)) ELSE least(greatest(coalesce(n_gap, m), lo_n_gap), hi_n_gap) END)::DOUBLE AS n_gap,
+      sum(coalesce(quality, {most_frequent('quality')}))::DOUBLE AS quality, sum(coalesce(toxic, {most_frequent('toxic')}))::DOUBLE AS toxic, count(*) AS sources,
+      count(*) FILTER (stays = 1 AND txt IS NOT NULL AND k NOT IN (
+        SELECT k FROM (SELECT CASE WHEN length(x) <= 64 THEN x ELSE concat('sha256:', sha256(x)) END AS k, count(*) AS c
+          FROM (SELECT {STRIPPED} AS x FROM t) WHERE x IS NOT NULL GROUP BY k ORDER BY c DESC, k LIMIT 49))) AS other_texts
+    FROM (SELECT *, CASE WHEN length(txt) <= 64 THEN txt ELSE concat('sha256:', sha256(txt)) END AS k FROM (SELECT *, {STRIPPED} AS txt FROM t)),
+      (SELECT {fences_of('n_chars')}, {fences_of('n_gap')}, quantile_cont(n_gap, 0.5) AS m, {TEXT_STAYS} AS stays FROM t) GROUP BY lang""",
+)
+
 ORACLES = {
+    "transform_values": VALUES_SQL,
+    "assembled_slots": assembled_sql(),
+    "feature_slots": parts_sql(
+        f"SELECT * FROM (WITH s AS ({slots_sql()}) SELECT slot::INT AS slot, concat(col, '=', v) AS feature FROM ({slots_body('p')}) UNION ALL "
+        + union_all([f"SELECT {i}, '{c}'" for i, c in enumerate(NUMERIC)]) + ")"
+    ),
     "fit_impute": parts_sql(union_all(
         [f"SELECT '{c}' AS \"column\", round({median_of(c)}, 4)::VARCHAR AS fill" for c in NUMERIC] + [f"SELECT '{c}', {mode_of(c)}::VARCHAR" for c in CATEGORICAL]
     )),
@@ -186,5 +278,5 @@ ORACLES = {
     "encode_target": "SELECT doc_id, lang, label::INT AS label FROM documents LEFT JOIN (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS label FROM (SELECT DISTINCT lang FROM documents WHERE doc_id % 5 <> 0)) USING (lang)",
     "integer_target": "SELECT event_id, trunc(value)::INT AS label FROM events",
     "transform_full": f"SELECT 'test' AS split, label::INT AS label, k::BIGINT AS n FROM ({FULL_SQL}) UNION ALL SELECT 'train', label::INT, (c - k)::BIGINT FROM ({FULL_SQL})",
-    "transform_summary": "SELECT count(*) AS rows_original, count(*) AS rows_final, 0 AS rows_removed, 10 AS columns_original, 7 AS columns_final, 3 AS columns_removed FROM documents",
+    "transform_summary": f"SELECT count(*) AS rows_original, count(*) AS rows_final, 0 AS rows_removed, 11 AS columns_original, 7 + {TEXT_STAYS} AS columns_final, 4 - {TEXT_STAYS} AS columns_removed FROM documents",
 }

@@ -30,6 +30,12 @@ def union_all(parts: list[str]) -> str:
     return "\nUNION ALL ".join(parts)
 
 
+def types_sql(columns) -> str:
+    """``name:type,...`` with the type names of Spark."""
+    name = "CASE typeof(any_value({c})) WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(typeof(any_value({c}))) END"
+    return " || ',' || ".join(f"'{c}:' || {name.format(c=c)}" for c in columns)
+
+
 def stats_sql(source: str, kinds: dict[str, str], examples: bool = False) -> str:
     """Per column: counts, range and moments, in column order."""
     parts = []
@@ -268,7 +274,8 @@ ORACLES = {
     ),
     "basic_stats": with_source(
         "t", inputs.DOCS_SQL,
-        f"SELECT count(*) AS n_rows, 11 AS n_columns, 6 AS n_numeric, 5 AS n_categorical, round(100.0 * ({nulls(DOCS_KINDS)}) / (count(*) * 11), 2) AS missing_percent FROM t",
+        f"SELECT count(*) AS n_rows, 11 AS n_columns, 6 AS n_numeric, 5 AS n_categorical, round(100.0 * ({nulls(DOCS_KINDS)}) / (count(*) * 11), 2) AS missing_percent, "
+        f"{types_sql(DOCS_KINDS)} AS column_types FROM t",
     ),
     "global_missing": with_source(
         "t", inputs.DOCS_SQL,

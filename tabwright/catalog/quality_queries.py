@@ -19,8 +19,7 @@ def docs_types(spark, folder):
 
 
 def docs_issues(spark, folder):
-    docs, types = docs_types(spark, folder)
-    return quality.issues_frame(spark, quality.detect_all(docs, TARGET, types))
+    return quality.issues_frame(spark, quality.detect_all(inputs.docs(spark, folder), TARGET))
 
 
 def issues_missing(spark, folder):

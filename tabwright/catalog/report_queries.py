@@ -25,7 +25,7 @@ def report_issues(spark, folder):
 
 
 def report_eda(spark, folder):
-    found = report.findings(inputs.docs(spark, folder).drop("text"), TARGET)
+    found = report.findings(inputs.docs(spark, folder), TARGET)
     return found.withColumn("value", F.round("value", 2))
 
 
@@ -38,7 +38,7 @@ QUERIES = {
     "report_issues": report_issues,
 }
 
-DOC_COLUMNS = [c for c in DOCS_KINDS if c != "text"]
+DOC_COLUMNS = list(DOCS_KINDS)
 DOC_NUMBERS = ["doc_id", "n_chars", "quality", "toxic", "n_gap", "konst"]
 
 ORACLES = {
@@ -57,11 +57,11 @@ ORACLES = {
         "SELECT finding, name, round(value, 2) AS value FROM (" + union_all(
             [
                 f"SELECT 'missing' AS finding, 'cells' AS name, ({nulls(DOC_COLUMNS)})::DOUBLE AS value FROM t",
-                f"SELECT 'missing', 'percent', round(100.0 * ({nulls(DOC_COLUMNS)}) / (count(*) * 10), 2)::DOUBLE FROM t",
-                "SELECT 'shape', 'numeric_columns', 6", "SELECT 'shape', 'text_columns', 4",
+                f"SELECT 'missing', 'percent', round(100.0 * ({nulls(DOC_COLUMNS)}) / (count(*) * 11), 2)::DOUBLE FROM t",
+                "SELECT 'shape', 'numeric_columns', 6", "SELECT 'shape', 'text_columns', 5",
                 "SELECT 'target_count', lang, count(*) FROM t GROUP BY lang",
-                "SELECT 'duplicates', 'rows', (SELECT count(*) FROM t) - (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (text) FROM t))",
-                "SELECT 'duplicates', 'percent', round(100.0 * ((SELECT count(*) FROM t) - (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (text) FROM t))) / (SELECT count(*) FROM t), 2)",
+                "SELECT 'duplicates', 'rows', (SELECT count(*) FROM t) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t))",
+                "SELECT 'duplicates', 'percent', round(100.0 * ((SELECT count(*) FROM t) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t))) / (SELECT count(*) FROM t), 2)",
             ]
             + [f"SELECT 'mean', '{c}', round(avg({c}), 2) FROM t" for c in DOC_NUMBERS]
             + [f"SELECT 'std', '{c}', round(stddev_samp({c}), 2) FROM t" for c in DOC_NUMBERS]

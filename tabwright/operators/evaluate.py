@@ -14,27 +14,38 @@ from tabwright.functions.ordering import SINGLE_TASK_ROWS, number_rows, running_
 from tabwright.session import cut_lineage
 
 
-def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """``actual, predicted, n`` for every pair of labels that occur, zeros included. A missing value is an error."""
+def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """``actual, predicted, n`` for the pairs of labels that occur together. A missing value is an error."""
 
     def given(column: str) -> Column:
         return F.coalesce(quoted(column).cast("double"), F.raise_error(F.lit(f"{column} is missing in a row to evaluate")))
 
-    counted = (
-        df.select(given(label).alias("actual"), given(prediction).alias("predicted"))
-        .groupBy("actual", "predicted")
-        .agg(F.count("*").alias("n"))
-    )
-    labels = F.array_sort(F.collect_set(F.col("seen")))
-    seen = counted.select(F.explode(F.array("actual", "predicted")).alias("seen")).agg(labels.alias("labels"))
-    grid = seen.select("labels", F.explode("labels").alias("actual")).select("actual", F.explode("labels").alias("predicted"))
-    return grid.join(counted, ["actual", "predicted"], "left").select(
-        "actual", "predicted", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")
-    )
+    pairs = df.select(given(label).alias("actual"), given(prediction).alias("predicted"))
+    return pairs.groupBy("actual", "predicted").agg(F.count("*").alias("n"))
+
+
+def with_zeros(counts: DataFrame) -> DataFrame:
+    """The counts with a row for every pair of labels that occur: the square of their number.
+
+    Labels are numbered, and each row of the matrix is spread over these numbers.
+    """
+    counts = cut_lineage(counts)
+    seen = counts.select(F.explode(F.array("actual", "predicted")).alias("c")).distinct()
+    numbered = number_rows(seen, [F.col("c")], "place")
+    k = numbered.count()
+    rows = numbered.select(F.col("c").alias("actual"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(k, 1) - 1).cast("bigint"))).alias("place"))
+    grid = rows.join(numbered.withColumnRenamed("c", "predicted"), "place")
+    found = grid.join(counts, ["actual", "predicted"], "left")
+    return found.select("actual", "predicted", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+
+
+def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """``actual, predicted, n`` for every pair of labels that occur, zeros included; metrics need only `confusion_counts`."""
+    return with_zeros(confusion_counts(df, label, prediction))
 
 
 def metrics(confusion: DataFrame) -> DataFrame:
-    """``accuracy, precision, recall, f1_score`` from a confusion matrix.
+    """``accuracy, precision, recall, f1_score`` from a confusion matrix, with or without its zeros.
 
     With two actual classes the metrics are those of class 1; otherwise means weighted by class size. 0/0 counts as 0.
     """

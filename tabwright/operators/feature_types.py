@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import kind_of, nan_to_null, quoted, text_columns
-from tabwright.operators.profile import add_quartiles, distinct_stats, table_moments
+from tabwright.operators.profile import add_quartiles, distinct_stats
+from tabwright.operators.states import ColumnState, column_states
 from tabwright.session import spread_small
 
 # The semantic types and the thresholds of the rules.
@@ -27,7 +28,8 @@ CONTINUOUS_INT_VALUES = 20
 CONTINUOUS_INT_RANGE = 50
 ENCODED_FLOAT_VALUES = 15
 DATETIME_RATIO = 0.9
-EXAMPLES = 3
+# A value that holds all rows but this share makes a column near-constant.
+RARE_SHARE = 0.01
 
 NUMERIC_TYPES = (CONTINUOUS, DISCRETE)
 CATEGORICAL_TYPES = (TEXT, ENCODED, BINARY)
@@ -41,7 +43,12 @@ TYPES_SCHEMA = (
 
 @dataclass
 class ColumnType:
-    """What is known about one column."""
+    """What is known about one column.
+
+    ``n_unique`` may be an estimate (``counted`` is False) where nothing depends on the exact number: the type is the
+    same for all numbers it may be, none of it is reported, and no value can hold nearly all rows. The count of the most
+    frequent value is 0 then. ``top_hash`` finds that value where all values were counted in the first pass.
+    """
 
     column: str
     type: str
@@ -52,6 +59,8 @@ class ColumnType:
     moments: dict = field(default_factory=dict)
     examples: list[str] = field(default_factory=list)
     note: str | None = None
+    counted: bool = True
+    top_hash: int | None = None
 
     @property
     def unique_ratio(self) -> float:
@@ -108,55 +117,48 @@ def timestamp_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells")).withColumn("ratio", F.round(ratio, 4))
 
 
-def smallest_values(df: DataFrame, columns: Sequence[str], k: int = EXAMPLES) -> dict[str, list[str]]:
-    """The ``k`` smallest different texts per column: one plain ``min`` per round, so nothing is shuffled."""
-    found: dict[str, list[str]] = {c: [] for c in columns}
-    for _ in range(k):
-        open_columns = [c for c in columns if not found[c] or found[c][-1] is not None]
-        if not open_columns:
-            break
-        row = df.agg(
-            *[
-                F.min(F.when(quoted(c) > F.lit(found[c][-1]), quoted(c)) if found[c] else quoted(c)).alias(str(i))
-                for i, c in enumerate(open_columns)
-            ]
-        ).first()
-        for i, c in enumerate(open_columns):
-            found[c].append(row[i])
-    return {c: [v for v in values if v is not None] for c, values in found.items()}
+def open_question(kind: str, state: ColumnState, date_share: float) -> bool:
+    """Whether the number of different values has to be counted: the estimate allows several types, the type is one whose
+    number is reported, or so few values differ that one may hold nearly all rows."""
+    fewest, most = state.bounds()
+    low, high = state.moments["min"], state.moments["max"]
+    found = {classify(kind, state.n, n, state.missing, low, high, date_share)[0] for n in (fewest, most)}
+    return len(found) > 1 or not found.isdisjoint((TEXT, ENCODED)) or (fewest - 1) <= RARE_SHARE * state.present
 
 
 def infer_types(
-    df: DataFrame, target: str | None = None, detect_datetime: bool = False, examples: bool = False
+    df: DataFrame, target: str | None = None, detect_datetime: bool = False, examples: bool = False, exact: bool = False,
+    states: dict[str, ColumnState] | None = None,
 ) -> FeatureTypes:
-    """Type of every column but the target. Timestamps in text are looked for only on request."""
+    """Type of every column but the target. Timestamps in text are looked for only on request.
+
+    One pass gives the states of all columns (``states``, if they are known already). Only columns with more different
+    values than a state counts are counted again, and of these, unless ``exact`` asks for all, only those where it matters.
+    """
     df = nan_to_null(df)
     columns = [c for c in df.columns if c != target]
     kind = {f.name: kind_of(f.dataType) for f in df.schema.fields}
-    numeric = [c for c in columns if kind[c] in ("int", "float")]
-    n_rows, missing, moments = table_moments(df, numeric)
-    distinct = distinct_stats(spread_small(df.select(*[quoted(c) for c in columns]), n_rows), columns)
-    texts = [c for c in text_columns(df, exclude=[target])]
+    texts = text_columns(df, exclude=[target])
+    states = column_states(df, columns, texts if examples else ()) if states is None else states
     shares = {}
     if detect_datetime and texts:
         shares = {r["column"]: r["parsed"] / r["values"] if r["values"] else 0.0 for r in timestamp_shares(df, texts).collect()}
-    samples = smallest_values(df, texts) if examples and texts else {}
+    again = [c for c in columns if not states[c].exact and (exact or open_question(kind[c], states[c], shares.get(c, 0.0)))]
+    n_rows = states[columns[0]].n if columns else 0
+    distinct = distinct_stats(spread_small(df.select(*[quoted(c) for c in again]), n_rows), again) if again else {}
     out: FeatureTypes = {}
     for c in columns:
-        n_unique, top = distinct[c]
-        stats = moments.get(c, {})
-        name, note = classify(
-            kind[c], n_rows, n_unique, missing[c], stats.get("min"), stats.get("max"), shares.get(c, 0.0)
-        )
-        out[c] = ColumnType(
-            c, name, n_rows, n_unique, missing[c], top, stats if name in NUMERIC_TYPES else {}, samples.get(c, []), note
-        )
-    add_quartiles(df, moments, of_type(out, *NUMERIC_TYPES), n_rows)
+        s = states[c]
+        n_unique, top = distinct.get(c, (s.n_values, s.top_count or 0))
+        name, note = classify(kind[c], n_rows, n_unique, s.missing, s.moments["min"], s.moments["max"], shares.get(c, 0.0))
+        moments = dict(s.moments) if name in NUMERIC_TYPES else {}
+        out[c] = ColumnType(c, name, n_rows, n_unique, s.missing, top, moments, s.smallest, note, s.exact or c in distinct, s.top_hash)
+    add_quartiles(df, {c: t.moments for c, t in out.items()}, of_type(out, *NUMERIC_TYPES), n_rows)
     return out
 
 
 def types_frame(spark: SparkSession, types: FeatureTypes) -> DataFrame:
-    """The types as a table, one row per column."""
+    """The types as a table, one row per column. Types inferred with ``exact`` have counts, others may have estimates."""
     rows = []
     for t in types.values():
         m = t.moments
@@ -170,7 +172,7 @@ def types_frame(spark: SparkSession, types: FeatureTypes) -> DataFrame:
 
 
 def feature_types(df: DataFrame, target: str | None = None, detect_datetime: bool = False) -> DataFrame:
-    return types_frame(df.sparkSession, infer_types(df, target, detect_datetime, examples=True))
+    return types_frame(df.sparkSession, infer_types(df, target, detect_datetime, examples=True, exact=True))
 
 
 def of_type(types: FeatureTypes, *wanted: str) -> list[str]:

@@ -6,7 +6,6 @@ import itertools
 import json
 import random
 import time
-import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -30,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.operators.balance import with_class_weights
-from tabwright.operators.evaluate import confusion_matrix, metrics, roc_auc
+from tabwright.operators.evaluate import confusion_counts, metrics, roc_auc, with_zeros
 from tabwright.operators.knn import predict_knn
 from tabwright.operators.oner import OneRule, fit_one_rule
 from tabwright.operators.split import fold_count, stratified_folds
@@ -59,6 +58,9 @@ SEARCH_GRIDS = {
 WEIGHTED = (FOREST, TREE, LOGISTIC, SVM)
 MOST_BINS = 256
 TREE_BATCH_MEMORY_MB = 1024
+#: A linear model that hasn't converged is fitted again with four times the iterations, up to this many.
+FIRST_ITERATIONS = {LOGISTIC: 500, SVM: 100}
+MOST_ITERATIONS = 200_000
 
 LEADERBOARD_SCHEMA = (
     "model string, accuracy double, precision double, recall double, f1_score double, roc_auc double, training_time double"
@@ -157,8 +159,9 @@ def training_table(
     return TrainingTable(rows, row[0], row[1], row[2], list(rule_features), weighted, list(keys) if keys else None)
 
 
-def estimator(name: str, params: Mapping, table: TrainingTable) -> Estimator:
+def estimator(name: str, params: Mapping, table: TrainingTable, iterations: int | None = None) -> Estimator:
     """The MLlib estimator of a model. A penalty strength C over summed losses is 1 / (C * rows) over mean losses."""
+    iterations = iterations or FIRST_ITERATIONS.get(name)
     weight = {"weightCol": "weight"} if table.weighted and name in WEIGHTED else {}
     if name == FOREST:
         return RandomForestClassifier(
@@ -172,9 +175,9 @@ def estimator(name: str, params: Mapping, table: TrainingTable) -> Estimator:
         )
     penalty = 1.0 / (params.get("C", 1.0) * max(1, table.n_rows))
     if name == LOGISTIC:
-        return LogisticRegression(regParam=penalty, elasticNetParam=0.0, maxIter=500, standardization=False, **weight)
+        return LogisticRegression(regParam=penalty, elasticNetParam=0.0, maxIter=iterations, standardization=False, **weight)
     if name == SVM:
-        svm = LinearSVC(regParam=penalty, maxIter=100, standardization=False, **weight)
+        svm = LinearSVC(regParam=penalty, maxIter=iterations, standardization=False, **weight)
         return svm if table.n_classes <= 2 else OneVsRest(classifier=svm, **weight)
     if name == BAYES:
         return NaiveBayes(modelType="gaussian")
@@ -234,19 +237,25 @@ def fit(name: str, table: TrainingTable, params: Mapping | None = None) -> Fitte
         if not table.rule_features:
             raise ValueError("one-rule needs the plain feature columns")
         return Fitted(name, params, fit_one_rule(table.rows, table.rule_features, "label"))
-    model = estimator(name, params, table).fit(gather_small(table.rows, table.n_rows))
-    check_converged(name, model)
-    return Fitted(name, params, model)
-
-
-def check_converged(name: str, model: object) -> None:
-    """Warn when a linear model stopped at its last allowed iteration."""
+    rows, iterations = gather_small(table.rows, table.n_rows), FIRST_ITERATIONS.get(name)
+    while True:
+        model = estimator(name, params, table, iterations).fit(rows)
+        if converged(model):
+            return Fitted(name, params, model)
+        iterations *= 4
+        if iterations > MOST_ITERATIONS:
+            raise RuntimeError(f"{name} has not converged after {iterations // 4} iterations")
+
+
+def converged(model: object) -> bool:
+    """Whether a linear model ended before its last allowed iteration; other models are always done."""
     parts = model.models if isinstance(model, OneVsRestModel) else [model]
     for part in parts:
         if isinstance(part, (LinearSVCModel, LogisticRegressionModel)):
             summary = part.summary() if callable(part.summary) else part.summary
             if summary.totalIterations >= part.getMaxIter():
-                warnings.warn(f"{name} stopped after {part.getMaxIter()} iterations before it converged", stacklevel=3)
+                return False
+    return True
 
 
 def train(name: str, table: TrainingTable, how: str = "grid", grids: Mapping | None = None) -> Fitted:
@@ -262,28 +271,27 @@ def train(name: str, table: TrainingTable, how: str = "grid", grids: Mapping | N
     return fitted
 
 
-def evaluate(fitted: Fitted, test: DataFrame) -> tuple[dict, list[tuple[float, float, int]]]:
-    """Metrics and confusion matrix of one model on prepared test rows."""
+def evaluate(fitted: Fitted, test: DataFrame) -> tuple[dict, DataFrame]:
+    """Metrics of one model on prepared test rows, and the counts of its confusion matrix."""
     scored = fitted.predict(test).select("label", "prediction", "score").persist()
     try:
-        confusion = confusion_matrix(scored)
-        cells = [(r["actual"], r["predicted"], r["n"]) for r in confusion.collect()]
-        spark = test.sparkSession
-        matrix = spark.createDataFrame(cells, "actual double, predicted double, n bigint")
-        found = metrics(matrix).first().asDict()
-        binary = len({a for a, _, n in cells if n}) == 2
+        counts = cut_lineage(confusion_counts(scored))
+        found = metrics(counts).first().asDict()
+        binary = counts.select("actual").distinct().limit(3).count() == 2
         has_score = binary and scored.filter("score IS NOT NULL").limit(1).count() > 0
         found["roc_auc"] = roc_auc(scored).first()[0] if has_score else None
     finally:
         scored.unpersist()
-    return found, cells
+    return found, counts
 
 
 @dataclass
 class TrainingReport:
+    """Fitted models with their metrics, and the pairs of labels that each confuses (zeros left out)."""
+
     fitted: dict[str, Fitted]
     metrics: dict[str, dict]
-    confusion: dict[str, list[tuple[float, float, int]]]
+    confusion: dict[str, DataFrame]
 
     def leaderboard(self, spark) -> DataFrame:
         """One row per model, best F1 first."""
@@ -309,9 +317,29 @@ class TrainingReport:
             "model string, rank int, n_models int, accuracy double, precision double, recall double, f1_score double, roc_auc double",
         )
 
-    def confusion_frame(self, spark) -> DataFrame:
-        rows = [(name, *cell) for name, cells in self.confusion.items() for cell in cells]
-        return spark.createDataFrame(rows, "model string, actual double, predicted double, n bigint")
+    def confusion_frame(self, spark, zeros: bool = True) -> DataFrame:
+        """``model, actual, predicted, n``; with ``zeros`` all pairs of the labels a model meets."""
+        out = spark.createDataFrame([], "model string, actual double, predicted double, n bigint")
+        for name, counts in self.confusion.items():
+            out = out.union((with_zeros(counts) if zeros else counts).select(F.lit(name).alias("model"), "actual", "predicted", "n"))
+        return out
+
+    def save(self, path: str) -> None:
+        """Every fitted model, the metrics, the confusion counts, and the leaderboard as a table to read."""
+        spark = SparkSession.active()
+        for place, (_, fitted) in enumerate(self.fitted.items()):
+            fitted.save(f"{path}/model-{place}")
+        write_state(spark, f"{path}/state", dict(models=list(self.fitted), metrics=self.metrics))
+        self.confusion_frame(spark, zeros=False).write.mode("overwrite").parquet(f"{path}/confusion")
+        self.leaderboard(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/leaderboard")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> TrainingReport:
+        state = read_state(spark, f"{path}/state")
+        counts = spark.read.parquet(f"{path}/confusion")
+        fitted = {name: Fitted.load(spark, f"{path}/model-{place}") for place, name in enumerate(state["models"])}
+        confusion = {name: counts.filter(F.col("model") == name).drop("model") for name in fitted}
+        return TrainingReport(fitted, {name: state["metrics"][name] for name in fitted}, confusion)
 
     def params_frame(self, spark) -> DataFrame:
         rows = [(name, key, str(value)) for name, f in self.fitted.items() for key, value in model_params(f).items()]
@@ -347,11 +375,12 @@ def train_all(
     return report
 
 
-def feature_importance(fitted: Fitted, names: Sequence[str], top: int = 10) -> list[tuple[str, float]]:
-    """The most important features of a tree model."""
-    found = fitted.model.featureImportances
-    pairs = [(names[int(i)], float(v)) for i, v in zip(found.indices, found.values, strict=True)]
-    return sorted(pairs, key=lambda p: (-p[1], p[0]))[:top]
+def feature_importance(fitted: Fitted, names: DataFrame, top: int = 10) -> DataFrame:
+    """``feature, importance`` of the most important features of a tree model; ``names`` is ``slot, feature``."""
+    found = fitted.model.featureImportances  # an entry per slot that a tree splits on
+    pairs = [(int(i), float(v)) for i, v in zip(found.indices, found.values, strict=True)]
+    table = names.sparkSession.createDataFrame(pairs, "slot int, importance double")
+    return names.join(F.broadcast(table), "slot").orderBy(F.desc("importance"), "feature").limit(top).select("feature", "importance")
 
 
 def cluster_search(rows: DataFrame, ks: Sequence[int], features: str = "features", seed: int = SEED) -> DataFrame:

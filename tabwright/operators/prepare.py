@@ -1,7 +1,8 @@
 """Feature preparation fitted on a training table: imputers, scalers, category encoders, vector assembly.
 
 Column-level numbers (fills, means, scales) live on the driver; category tables stay distributed and are joined on. The
-prepared form of a table is its numeric columns scaled, its categorical columns as codes, and a sparse vector of both.
+prepared form of a table is its numeric columns scaled, its categorical columns as codes, and a sparse vector of both,
+made of pairs of slot and value. The scale of a category comes with its code.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, VectorAssembler
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,7 @@ from tabwright.session import cut_lineage
 STANDARD, MINMAX = "StandardScaler", "MinMaxScaler"
 ONEHOT, ORDINAL = "OneHotEncoder", "OrdinalEncoder"
 UNKNOWN_CODE = -1
+OTHER_CATEGORY = "Other"
 
 WIDEST_VECTOR = 2_000_000
 
@@ -56,12 +58,13 @@ class FittedPrep:
     n_rows: int
     categories: DataFrame | None = None  # column, value, n, code, std
     sizes: dict[str, int] = field(default_factory=dict)
+    others: dict[str, list] = field(default_factory=dict)  # grouped column -> code and scale of the category for rare values
 
     def save(self, path: str) -> None:
         spark = self.categories.sparkSession if self.categories is not None else SparkSession.active()
         state = dict(
             numeric=[asdict(n) for n in self.numeric], categorical=self.categorical, encoding=self.encoding,
-            scaling=self.scaling, n_rows=self.n_rows, sizes=self.sizes,
+            scaling=self.scaling, n_rows=self.n_rows, sizes=self.sizes, others=self.others,
         )
         spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").json(f"{path}/state")
         if self.categories is not None:
@@ -99,8 +102,12 @@ def fit(
     strategy: str = "median",
     scaling: str = STANDARD,
     encoding: str = ONEHOT,
+    grouped: Sequence[str] = (),
 ) -> FittedPrep:
-    """Learn fills, scales and category codes from ``train``."""
+    """Learn fills, scales and category codes from ``train``.
+
+    In ``grouped`` columns rare values have become one category; values that training lacks belong to it, too.
+    """
     train = nan_to_null(train)
     numeric, categorical = list(numeric), list(categorical)
     fills, top = fit_fills(train, numeric, categorical, strategy)
@@ -122,6 +129,8 @@ def fit(
     if categorical:
         prep.categories = cut_lineage(category_table(filled, categorical, n_rows))
         prep.sizes = {r["column"]: r["n"] for r in prep.categories.groupBy("column").agg(F.count("*").alias("n")).collect()}
+        rare = prep.categories.filter(F.col("column").isin(list(grouped)) & (F.col("value") == OTHER_CATEGORY))
+        prep.others = {r["column"]: [r["code"], r["scale"]] for r in rare.select("column", "code", scale_of().alias("scale")).collect()}
     return prep
 
 
@@ -148,13 +157,25 @@ def category_table(filled: DataFrame, categorical: Sequence[str], n_rows: int) -
     )
 
 
-def with_codes(prep: FittedPrep, df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Add ``code_<column>`` per categorical column; -1 for a category not seen in training."""
+def scale_of() -> Column:
+    """What a one-hot entry of a category is multiplied with: one over the deviation of its indicator, if it varies."""
+    return F.when(F.col("std") > 0, 1 / F.col("std")).otherwise(F.lit(1.0))
+
+
+def with_codes(prep: FittedPrep, df: DataFrame, columns: Sequence[str] | None = None, scales: bool = False) -> DataFrame:
+    """Add ``code_<column>`` per categorical column; -1 for a category not seen in training. With ``scales`` also
+    ``scale_<column>``."""
     for c in columns if columns is not None else prep.categorical:
-        table = prep.categories.filter(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"), "n")
+        table = prep.categories.filter(F.col("column") == c).select(
+            F.col("value").alias("_value"), F.col("code").alias("_code"), scale_of().alias("_scale"), "n"
+        )
         keyed = df.withColumn("_value", fill_category(c, prep.categorical[c]).cast("string"))
-        coded = lookup(keyed, table, ["_value"], "n")
-        df = coded.withColumn(f"code_{c}", F.coalesce("_code", F.lit(UNKNOWN_CODE))).drop("_value", "_code")
+        coded = lookup(keyed, table if scales else table.drop("_scale"), ["_value"], "n")
+        code, scale = prep.others.get(c, (UNKNOWN_CODE, 1.0))
+        df = coded.withColumn(f"code_{c}", F.coalesce("_code", F.lit(code)))
+        if scales:
+            df = df.withColumn(f"scale_{c}", F.coalesce("_scale", F.lit(float(scale)))).drop("_scale")
+        df = df.drop("_value", "_code")
     return df
 
 
@@ -167,7 +188,7 @@ def onehot_long(prep: FittedPrep, df: DataFrame, keys: Sequence[str], scaled: bo
     parts = None
     for c, fill in prep.categorical.items():
         table = prep.categories.filter(F.col("column") == c).select(
-            F.col("value").alias("_value"), "n", F.when(F.col("std") > 0, 1 / F.col("std")).otherwise(F.lit(1.0)).alias("_scaled")
+            F.col("value").alias("_value"), "n", scale_of().alias("_scaled")
         )
         keyed = df.select(*keys, fill_category(c, fill).cast("string").alias("_value"))
         hit = lookup(keyed, table, ["_value"], "n").filter("_scaled IS NOT NULL")
@@ -177,16 +198,30 @@ def onehot_long(prep: FittedPrep, df: DataFrame, keys: Sequence[str], scaled: bo
     return parts
 
 
+def starts(prep: FittedPrep) -> dict[str, int]:
+    """The first slot of each categorical column's one-hot block."""
+    out, at = {}, len(prep.numeric)
+    for c in prep.categorical:
+        out[c] = at
+        at += prep.sizes.get(c, 0)
+    return out
+
+
+def feature_table(spark: SparkSession, prep: FittedPrep) -> DataFrame:
+    """``slot, feature``: the names of the vector's slots (``column=category`` in one-hot blocks)."""
+    plain = [n.column for n in prep.numeric] + (list(prep.categorical) if prep.encoding == ORDINAL else [])
+    table = spark.createDataFrame(list(enumerate(plain)), "slot int, feature string")
+    if prep.encoding == ORDINAL or prep.categories is None:
+        return table
+    begins = F.broadcast(spark.createDataFrame(list(starts(prep).items()), "column string, start int"))  # a row per column
+    hot = prep.categories.join(begins, "column")
+    return table.union(hot.select(F.col("start") + F.col("code"), F.concat("column", F.lit("="), "value")))
+
+
 def feature_names(prep: FittedPrep) -> list[str]:
-    """Names of the vector's slots, in order."""
-    names = [n.column for n in prep.numeric]
-    if prep.encoding == ORDINAL:
-        return names + list(prep.categorical)
-    if prep.categories is not None:
-        rows = prep.categories.select("column", "value", "code").collect()
-        place = {c: i for i, c in enumerate(prep.categorical)}
-        names += [f"{r['column']}={r['value']}" for r in sorted(rows, key=lambda r: (place[r["column"]], r["code"]))]
-    return names
+    """Names of the vector's slots, in order, for vectors of the checked width."""
+    check_width(prep)
+    return [r["feature"] for r in feature_table(SparkSession.active(), prep).orderBy("slot").collect()]
 
 
 def check_width(prep: FittedPrep) -> int:
@@ -198,35 +233,31 @@ def check_width(prep: FittedPrep) -> int:
     return width
 
 
+def as_vector(size: int, slots: Column, values: Column) -> Column:
+    """A sparse vector of slots (ascending) and values. SQL has no cast to vectors, so the parts cross Arrow as they are."""
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), slots.alias("indices"), values.alias("values"))
+    return F.arrow_udf(lambda vectors: vectors, VectorUDT())(parts)
+
+
 def assemble(prep: FittedPrep, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """``features`` (numeric block, then categorical block) next to the columns in ``keep``."""
-    check_width(prep)
-    df = scaled_columns(prep, with_codes(prep, nan_to_null(df)))
-    inputs = [f"scaled_{n.column}" for n in prep.numeric]
-    columns = list(prep.categorical)
-    if prep.encoding == ORDINAL:
-        inputs += [f"code_{c}" for c in columns]
-    elif columns:
-        scales = {c: [1.0] * prep.sizes.get(c, 0) for c in columns}
-        for r in prep.categories.select("column", "code", "std").collect():
-            scales[r["column"]][r["code"]] = 1 / r["std"] if r["std"] > 0 else 1.0
-        for c in columns:
-            size = prep.sizes.get(c, 0)
-            code = F.when(F.col(f"code_{c}") >= 0, F.col(f"code_{c}")).otherwise(F.lit(size)).cast("double")
-            # The size is stated as metadata, so fitting the encoder reads no data; the extra slot for unknown
-            # categories is the one that is dropped.
-            meta = {"ml_attr": {"type": "nominal", "num_vals": size, "name": f"index_{c}"}}
-            df = df.withColumn(f"index_{c}", code.alias(f"index_{c}", metadata=meta))
-        encoder = OneHotEncoder(
-            inputCols=[f"index_{c}" for c in columns], outputCols=[f"hot_{c}" for c in columns], handleInvalid="keep", dropLast=True
-        )
-        df = encoder.fit(df.limit(1)).transform(df)
-        for c in columns:
-            product = ElementwiseProduct(scalingVec=Vectors.dense(scales[c]), inputCol=f"hot_{c}", outputCol=f"block_{c}")
-            df = product.transform(df)
-            inputs.append(f"block_{c}")
-    out = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error").transform(df)
-    return out.select(*keep, "features")
+    """``features`` (numeric block, then categorical block) next to the columns in ``keep``.
+
+    With one-hot blocks, a row has its numbers and one entry per categorical column; none for an unknown category.
+    """
+    width, onehot = check_width(prep), prep.encoding == ONEHOT
+    df = scaled_columns(prep, with_codes(prep, nan_to_null(df), scales=onehot))
+    if not onehot:
+        inputs = [f"scaled_{n.column}" for n in prep.numeric] + [f"code_{c}" for c in prep.categorical]
+        out = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error").transform(df)
+        return out.select(*[quoted(c) for c in keep], "features")
+    slots: list[Column] = [F.lit(i) for i in range(len(prep.numeric))]
+    values: list[Column] = [quoted(f"scaled_{n.column}") for n in prep.numeric]
+    for c, start in starts(prep).items():
+        known = quoted(f"code_{c}") >= 0
+        slots.append(F.when(known, F.lit(start) + quoted(f"code_{c}")))
+        values.append(F.when(known, quoted(f"scale_{c}")))
+    features = as_vector(width, F.array_compact(F.array(*slots)), F.array_compact(F.array(*values)))
+    return df.select(*[quoted(c) for c in keep], features.alias("features"))
 
 
 # ---- target --------------------------------------------------------------------------------------------------

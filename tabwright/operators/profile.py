@@ -28,6 +28,7 @@ from tabwright.functions.columns import (
     typed_key,
 )
 from tabwright.functions.quantiles import DIRECT_ROWS, exact_quantiles
+from tabwright.operators.states import ColumnState, column_states
 
 # Fixed values of the profile.
 HISTOGRAM_BINS = 30
@@ -157,21 +158,36 @@ def global_missing(df: DataFrame) -> DataFrame:
     )
 
 
-def basic_stats(df: DataFrame) -> DataFrame:
+def types_text(df: DataFrame) -> str:
+    """``name:type,...`` in column order."""
+    return ",".join(f"{name}:{dtype}" for name, dtype in df.dtypes)
+
+
+def basic_stats(df: DataFrame, states: dict[str, ColumnState] | None = None) -> DataFrame:
     """Shape of the table, with its column types as one text ``name:type,...``."""
-    shape = global_missing(df)
     n = len(df.columns)
+    if states is None:
+        shape = global_missing(df).withColumn("n_rows", F.try_divide("total_cells", F.lit(n)).cast("bigint"))
+    else:
+        cells, missing = sum(s.n for s in states.values()), sum(s.missing for s in states.values())
+        shape = df.sparkSession.createDataFrame([(cells // max(1, n), missing, cells)], "n_rows bigint, missing_cells bigint, total_cells bigint")
+        shape = shape.withColumn("missing_percent", percent(F.col("missing_cells"), F.col("total_cells"), 2))
     return shape.select(
-        F.try_divide("total_cells", F.lit(n)).cast("bigint").alias("n_rows"),
+        "n_rows",
         F.lit(n).alias("n_columns"),
         F.lit(len(numeric_columns(df))).alias("n_numeric"),
         F.lit(len(text_columns(df))).alias("n_categorical"),
         "missing_percent",
+        F.lit(types_text(df)).alias("column_types"),
     )
 
 
-def missing_by_column(df: DataFrame) -> DataFrame:
+def missing_by_column(df: DataFrame, states: dict[str, ColumnState] | None = None) -> DataFrame:
     """``column, missing, percent``, most missing first."""
+    if states is not None:
+        rows = [(c, s.missing, s.n) for c, s in states.items()]
+        table = df.sparkSession.createDataFrame(rows, "column string, missing bigint, n bigint")
+        return table.select("column", "missing", percent(F.col("missing"), F.col("n"), 2).alias("percent")).orderBy(F.desc("percent"), "column")
     df = nan_to_null(df)
     wide = df.agg(
         *[F.sum(quoted(c).isNull().cast("bigint")).alias(f"missing_{i}") for i, c in enumerate(df.columns)],
@@ -229,9 +245,14 @@ SUMMARY_SCHEMA = (
 )
 
 
-def summary_stats(df: DataFrame, digits: int = 3) -> DataFrame:
+def summary_stats(df: DataFrame, digits: int = 3, states: dict[str, ColumnState] | None = None) -> DataFrame:
     """Count, mean, sample std, min, quartiles and max per numeric column."""
-    stats = column_moments(df, numeric_columns(df))
+    numeric = numeric_columns(df)
+    if states is None:
+        stats = column_moments(df, numeric)
+    else:
+        stats = {c: dict(states[c].moments) for c in numeric}
+        add_quartiles(df, stats, numeric, max((states[c].n for c in numeric), default=0))
     names = ["count", "mean", "std", "min", "q1", "median", "q3", "max"]
     rows = [(c, *[s[n] for n in names]) for c, s in stats.items()]
     table = df.sparkSession.createDataFrame(rows, SUMMARY_SCHEMA)
@@ -326,7 +347,7 @@ def product_sums(rows: DataFrame) -> DataFrame:
     return found.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names[2:]])
 
 
-def correlation_matrix(df: DataFrame, digits: int = 4) -> DataFrame:
+def correlation_matrix(df: DataFrame, digits: int = 4, states: dict[str, ColumnState] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns over the rows where both are present.
 
     Long form ``a, b, correlation`` with both orders and the diagonal; NULL where a column does not vary. Values are
@@ -336,7 +357,10 @@ def correlation_matrix(df: DataFrame, digits: int = 4) -> DataFrame:
     columns = numeric_columns(df)
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, correlation double")
-    _, _, stats = table_moments(df.select(*[quoted(c) for c in columns]), columns)
+    if states is None:
+        _, _, stats = table_moments(df.select(*[quoted(c) for c in columns]), columns)
+    else:
+        stats = {c: states[c].moments for c in columns}
     columns = [c for c in columns if stats[c]["count"]]
     if not columns:
         return df.sparkSession.createDataFrame([], "a string, b string, correlation double")
@@ -442,17 +466,22 @@ def column_types(df: DataFrame) -> DataFrame:
 
 
 def profile_table(df: DataFrame, target: str | None = None) -> DataFrame:
-    """The whole profile as one long table ``section, name, metric, value``."""
+    """The whole profile as one long table ``section, name, metric, value``.
+
+    Shape, missing values and moments come from the column states, which are gathered once.
+    """
+    df = nan_to_null(df)
+    states = column_states(df)
 
     def melt(table: DataFrame, section: str, name: Column, metrics: Sequence[str]) -> DataFrame:
         cells = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
         return table.select(F.lit(section).alias("section"), name.alias("name"), F.inline(F.array(*cells)))
 
     parts = [
-        melt(basic_stats(df), "overview", F.lit("table"), ["n_rows", "n_columns", "n_numeric", "n_categorical", "missing_percent"]),
-        melt(summary_stats(df), "variables", F.col("column"), ["count", "mean", "std", "min", "q1", "median", "q3", "max"]),
-        melt(missing_by_column(df), "missing", F.col("column"), ["missing", "percent"]),
-        melt(correlation_matrix(df), "correlations", F.concat_ws("~", "a", "b"), ["correlation"]),
+        melt(basic_stats(df, states), "overview", F.lit("table"), ["n_rows", "n_columns", "n_numeric", "n_categorical", "missing_percent"]),
+        melt(summary_stats(df, states=states), "variables", F.col("column"), ["count", "mean", "std", "min", "q1", "median", "q3", "max"]),
+        melt(missing_by_column(df, states), "missing", F.col("column"), ["missing", "percent"]),
+        melt(correlation_matrix(df, states=states), "correlations", F.concat_ws("~", "a", "b"), ["correlation"]),
         melt(duplicate_rows(df), "duplicates", F.lit("table"), ["duplicates", "duplicate_percent"]),
         melt(top_categories(df, columns_of_kind(df, "text")), "categories", F.concat_ws("=", "column", "value"), ["n"]),
     ]

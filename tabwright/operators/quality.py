@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.functions.columns import nan_to_null, number, quoted
+from tabwright.functions.bounds import sides
+from tabwright.functions.columns import nan_to_null, quoted
 from tabwright.operators.feature_types import (
     CONTINUOUS,
     DISCRETE,
@@ -19,6 +20,7 @@ from tabwright.operators.feature_types import (
     of_type,
 )
 from tabwright.operators.profile import by_column, class_counts, column_moments, fences, modes
+from tabwright.operators.states import ColumnState, column_states, top_values
 
 # Issue names, options and thresholds.
 MISSING = "Missing Values"
@@ -142,7 +144,8 @@ def outlier_rows(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataF
     """Rows with a value outside its bounds in any of the given columns."""
     outside = F.lit(False)
     for c, (low, high) in bounds.items():
-        outside = outside | F.coalesce((number(c) < low) | (number(c) > high), F.lit(False))
+        below, above = sides(c, low, high, df.schema[c].dataType)
+        outside = outside | below | above
     return df.filter(outside)
 
 
@@ -153,8 +156,9 @@ def detect_constants(df: DataFrame, types: FeatureTypes, threshold: float = NEAR
         present = t.n_rows - t.n_missing
         if present and t.top_count / present >= threshold:
             flagged[c] = t.top_count / present
-    # Only columns with hardly any other value are counted again, to name their top value.
-    top = modes(df, list(flagged))
+    # One pass finds the values of known hashes; columns whose values were counted apart are counted once more.
+    top = top_values(df, {c: types[c].top_hash for c in flagged if types[c].top_hash is not None})
+    top |= modes(df, [c for c in flagged if c not in top])
     return [
         _issue(
             issue_id=f"constant_{c}", type=CONSTANT if share == 1.0 else NEAR_CONSTANT, column=c,
@@ -165,11 +169,14 @@ def detect_constants(df: DataFrame, types: FeatureTypes, threshold: float = NEAR
     ]
 
 
-def detect_imbalance(df: DataFrame, target: str | None) -> list[Issue]:
-    """Largest against smallest class of the target."""
+def detect_imbalance(df: DataFrame, target: str | None, state: ColumnState | None = None) -> list[Issue]:
+    """Largest against smallest class of the target; from its ``state`` if that has counts."""
     if target is None:
         return []
-    row = class_counts(df, target).agg(F.min("n"), F.max("n"), F.sum("n")).first()
+    if state is not None and state.exact:
+        row = (state.least_count, state.top_count, state.present)
+    else:
+        row = class_counts(df, target).agg(F.min("n"), F.max("n"), F.sum("n")).first()
     if not row[2] or row[1] / row[0] <= IMBALANCE_RATIO:
         return []
     ratio = row[1] / row[0]
@@ -201,15 +208,20 @@ def detect_cardinality(types: FeatureTypes) -> list[Issue]:
 def detect_all(df: DataFrame, target: str | None = None, types: FeatureTypes | None = None) -> list[Issue]:
     """Missing values, outliers, constants, imbalance, cardinality, in that order.
 
-    Looks at the table as given: text markers such as ``?`` count as values until they are normalised.
+    Looks at the table as given: text markers such as ``?`` count as values until they are normalised. Reads the table for
+    the column states, the quartiles, the outliers and the names of constant values; once more where a column has many
+    different values whose number matters.
     """
     df = nan_to_null(df)
-    types = types if types is not None else infer_types(df, target)
+    states = None
+    if types is None:
+        states = column_states(df)
+        types = infer_types(df, target, states=states)
     return (
         detect_missing(types)
         + detect_outliers(df, types)
         + detect_constants(df, types)
-        + detect_imbalance(df, target)
+        + detect_imbalance(df, target, states[target] if states and target else None)
         + detect_cardinality(types)
     )
 

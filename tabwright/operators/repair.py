@@ -6,20 +6,24 @@ of a stage together, and the log of what was done is a small table.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.functions.columns import INTEGRAL, kind_of, kinds, nan_to_null, number, quoted
+from tabwright.functions.bounds import clipped, sides
+from tabwright.functions.columns import grouping_key, kind_of, kinds, nan_to_null, number, quoted
 from tabwright.functions.lookup import lookup
 from tabwright.functions.quantiles import exact_quantiles
 from tabwright.operators.feature_types import CONTINUOUS, NUMERIC_TYPES, FeatureTypes, column_groups
+from tabwright.operators.prepare import OTHER_CATEGORY
 from tabwright.operators.profile import fences, modes
 from tabwright.operators.quality import (
     CAP,
+    CARDINALITY,
+    CARDINALITY_OPTIONS,
+    CARDINALITY_VALUES,
     CONSTANT,
     IMBALANCE,
     MISSING,
@@ -35,12 +39,16 @@ from tabwright.session import cut_lineage
 STAGE_IMPUTE = "missing_value_imputation"
 STAGE_OUTLIERS = "outlier_handling"
 STAGE_CONSTANTS = "constant_feature_removal"
+STAGE_CARDINALITY = "high_cardinality_handling"
 STAGE_IMBALANCE = "class_imbalance_handling"
 STAGE_GROUPS = "column_grouping"
 NO_MODE = "Unknown"
 DROP_ROWS = "drop_rows"
 DROP_FEATURE = "drop feature"
-OTHER_CATEGORY = "Other"
+GROUP_RARE, DROP_WIDE, KEEP_WIDE = CARDINALITY_OPTIONS[1]
+IGNORED = "ignored"
+# Categories that stay of a column with too many: with the one for all others it has too many no more.
+KEPT_CATEGORIES = CARDINALITY_VALUES - 1
 DEFAULT_CONSTANT = {"numeric": "0", "text": "Unknown"}
 
 LOG_SCHEMA = (
@@ -75,16 +83,26 @@ def default_choice(issue: Issue) -> str:
         return CAP
     if issue["type"] in (CONSTANT, NEAR_CONSTANT):
         return DROP_FEATURE
-    return "class_weights" if issue["type"] == IMBALANCE else "ignored"
+    return "class_weights" if issue["type"] == IMBALANCE else IGNORED
 
 
-def resolve_decisions(issues: Sequence[Issue], decisions: Mapping[str, str] | None = None) -> list[dict]:
-    """One row per issue with the action to take; cardinality issues are reported but never acted on."""
+def resolve_decisions(
+    issues: Sequence[Issue], decisions: Mapping[str, str] | None = None, cardinality: str | None = None
+) -> list[dict]:
+    """One row per issue with the action to take.
+
+    Cardinality issues are reported but not acted on, unless ``cardinality`` names what is done about those that nobody
+    decided on; then decisions about them count, too.
+    """
     decisions = decisions or {}
+    if cardinality not in (None, *CARDINALITY_OPTIONS[1]):
+        raise ValueError(f"no way to handle many categories: {cardinality}")
     out = []
     for issue in issues:
         default = default_choice(issue)
-        chosen = default if default == "ignored" else decisions.get(issue["issue_id"]) or default
+        if issue["type"] == CARDINALITY and cardinality is not None:
+            default = cardinality
+        chosen = default if default == IGNORED else decisions.get(issue["issue_id"]) or default
         lower, upper = issue["lower"], issue["upper"]
         out.append(
             dict(
@@ -223,22 +241,16 @@ def outlier_bounds(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[flo
     return {c: fences(*q) for c, q in found.items() if q[0] is not None}
 
 
-def cap(column: str, low: float, high: float, data_type: T.DataType) -> Column:
-    """The column within its bounds and of its type; whole numbers take the nearest whole number inside."""
-    x = quoted(column)
-    if isinstance(data_type, INTEGRAL):
-        low, high = math.ceil(low), math.floor(high)
-    low, high = (F.lit(bound).cast(data_type) for bound in (low, high))
-    return F.when(number(column) < low, low).when(number(column) > high, high).otherwise(x)
-
-
 def handle_outliers(
     df: DataFrame,
     config: Mapping[str, str],
     types: FeatureTypes,
     bounds: Mapping[str, tuple[float, float]] | None = None,
 ) -> tuple[DataFrame, list[dict]]:
-    """Cap or remove values outside their bounds; removal also removes rows where the value is missing."""
+    """Cap or remove values outside their bounds; removal also removes rows where the value is missing.
+
+    Values are compared and capped in the type of their column.
+    """
     df = nan_to_null(df)
     kind = kinds(df)
     active = {c: a for c, a in config.items() if kind.get(c) in ("int", "float") and a in (CAP, REMOVE)}
@@ -251,9 +263,9 @@ def handle_outliers(
     # One pass counts what each step does to the rows that the steps before it leave.
     alive, exprs = F.lit(True), [F.count("*")]
     for c, action in active.items():
-        low, high = bounds[c]
-        inside = F.coalesce(number(c).between(low, high), F.lit(False))
-        exprs += [F.count_if(alive & (number(c) < low)), F.count_if(alive & (number(c) > high)), F.count_if(alive & ~inside)]
+        below, above = sides(c, *bounds[c], df.schema[c].dataType)
+        inside = quoted(c).isNotNull() & ~below & ~above
+        exprs += [F.count_if(alive & below), F.count_if(alive & above), F.count_if(alive & ~inside)]
         if action == REMOVE:
             alive = alive & inside
     row = df.agg(*[e.alias(str(i)) for i, e in enumerate(exprs)]).first()
@@ -263,11 +275,13 @@ def handle_outliers(
         below, above, outside = row[3 * i + 1 : 3 * i + 4]
         common = dict(feature_type=_type(types, c), detail_action=action, lower=low, upper=high)
         if action == CAP:
-            capped[c] = cap(c, low, high, df.schema[c].dataType)
+            capped[c] = clipped(c, low, high, df.schema[c].dataType)
             log.append(log_entry(STAGE_OUTLIERS, c, **common, capped_below=below, capped_above=above))
         else:
             left -= outside
-            kept = kept & number(c).between(low, high)
+            kept = kept & quoted(c).isNotNull()
+            for beyond in sides(c, low, high, df.schema[c].dataType):
+                kept = kept & ~beyond
             log.append(log_entry(STAGE_OUTLIERS, c, **common, rows_removed=outside, rows_remaining=left))
     if REMOVE in active.values():
         df = df.filter(kept)
@@ -280,23 +294,53 @@ def drop_constants(df: DataFrame, config: Mapping[str, str], types: FeatureTypes
     return df.drop(*dropped), log
 
 
-def group_rare(
-    df: DataFrame, column: str, top: int | None = None, min_share: float | None = None, other: str = OTHER_CATEGORY
-) -> DataFrame:
-    """Text values outside the ``top`` most frequent, or below ``min_share`` of the rows, become ``other``.
+def kept_categories(df: DataFrame, column: str, top: int | None = None, min_share: float | None = None) -> DataFrame:
+    """``_key, _n, _kept`` of the ``top`` most frequent values, or of those with ``min_share`` of the rows.
 
-    The kept list is small by construction for ``top`` (a number) and for ``min_share`` (at most 1 / share values).
+    Small by construction: ``top`` values, or at most 1 / share. Long texts are counted by a digest; ties go to the
+    smallest key.
     """
     if (top is None) == (min_share is None):
         raise ValueError("give either top or min_share")
-    counted = df.filter(quoted(column).isNotNull()).groupBy(quoted(column).alias(column)).agg(F.count("*").alias("_n"))
+    keys = df.select(grouping_key(quoted(column).cast("string")).alias("_key")).filter("_key IS NOT NULL")
+    counted = keys.groupBy("_key").agg(F.count("*").alias("_n"))
     if top is not None:
-        kept = counted.orderBy(F.desc("_n"), F.col(column)).limit(top)
+        kept = counted.orderBy(F.desc("_n"), F.col("_key")).limit(top)
     else:
-        kept = counted.filter(F.col("_n") >= F.lit(df.filter(quoted(column).isNotNull()).count() * min_share))
-    marked = lookup(df, cut_lineage(kept.withColumn("_kept", F.lit(True))), [column], "_n")
-    value = F.when(quoted(column).isNull() | F.col("_kept"), quoted(column)).otherwise(F.lit(other))
-    return marked.withColumn(column, value).select(*df.columns)
+        kept = counted.filter(F.col("_n") >= F.lit(keys.count() * min_share))
+    return cut_lineage(kept.withColumn("_kept", F.lit(True)))
+
+
+def with_kept(df: DataFrame, column: str, kept: DataFrame, other: str = OTHER_CATEGORY) -> DataFrame:
+    """The column as text, with ``other`` for all values but those kept; missing values stay missing."""
+    marked = lookup(df.withColumn("_key", grouping_key(quoted(column).cast("string"))), kept, ["_key"], "_n")
+    value = F.when(quoted(column).isNull() | F.col("_kept"), quoted(column).cast("string")).otherwise(F.lit(other))
+    return marked.withColumn(column, value).select(*[quoted(c) for c in df.columns])
+
+
+def group_rare(
+    df: DataFrame, column: str, top: int | None = None, min_share: float | None = None, other: str = OTHER_CATEGORY
+) -> DataFrame:
+    """Values outside the ``top`` most frequent, or below ``min_share`` of the rows, become ``other``."""
+    return with_kept(df, column, kept_categories(df, column, top, min_share), other)
+
+
+def handle_cardinality(
+    df: DataFrame, config: Mapping[str, str], types: FeatureTypes, top: int = KEPT_CATEGORIES
+) -> tuple[DataFrame, list[dict]]:
+    """Columns with many categories keep the ``top`` most frequent ones, or go, as chosen for each."""
+    log: list[dict] = []
+    grouped = [c for c, action in config.items() if action == GROUP_RARE and c in df.columns]
+    if grouped:
+        kept = {c: kept_categories(df, c, top) for c in grouped}
+        held = {c: kept[c].agg(F.sum("_n")).first()[0] or 0 for c in grouped}  # one number each
+        present = df.agg(*[F.count(quoted(c)) for c in grouped]).first()
+        for i, c in enumerate(grouped):
+            df = with_kept(df, c, kept[c])
+            log.append(log_entry(STAGE_CARDINALITY, c, feature_type=_type(types, c), detail_action=GROUP_RARE, fill_value=OTHER_CATEGORY, values_imputed=present[i] - held[c]))
+    dropped = [c for c, action in config.items() if action == DROP_WIDE and c in df.columns]
+    log += [log_entry(STAGE_CARDINALITY, c, feature_type=_type(types, c), detail_action=DROP_WIDE) for c in dropped]
+    return df.drop(*dropped), log
 
 
 # ---- all repairs ---------------------------------------------------------------------------------------------
@@ -305,7 +349,7 @@ def group_rare(
 def repair(
     df: DataFrame, resolved: Sequence[dict], types: FeatureTypes
 ) -> tuple[DataFrame, list[dict]]:
-    """Impute, then outliers (continuous columns only, with the bounds of the issues), then constants."""
+    """Impute, then outliers (continuous columns only, with the bounds of the issues), constants, many categories."""
     log: list[dict] = []
     df, entries = impute(df, choices(resolved, MISSING), types)
     log += entries
@@ -314,6 +358,8 @@ def repair(
     df, entries = handle_outliers(df, config, types, bounds)
     log += entries
     df, entries = drop_constants(df, choices(resolved, CONSTANT, NEAR_CONSTANT), types)
+    log += entries
+    df, entries = handle_cardinality(df, choices(resolved, CARDINALITY), types)
     return df, log + entries
 
 

@@ -7,14 +7,15 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.functions.columns import nan_to_null, number, quoted
 from tabwright.operators import models, prepare
 from tabwright.operators.balance import balance, class_weights
 from tabwright.operators.cleaning import normalize_missing
 from tabwright.operators.feature_types import ColumnType, FeatureTypes, column_groups, drop_unusable, infer_types
-from tabwright.operators.quality import Issue, detect_all
-from tabwright.operators.repair import grouping_entries, imbalance_choice, log_entry, repair, resolve_decisions
+from tabwright.operators.quality import CARDINALITY, Issue, detect_all
+from tabwright.operators.repair import GROUP_RARE, choices, grouping_entries, imbalance_choice, log_entry, repair, resolve_decisions
 from tabwright.operators.split import TEST, TRAIN, random_split, stratified_split
 from tabwright.session import cut_lineage
 from tabwright.sources.tables import write_split
@@ -26,7 +27,11 @@ CLASSES, NUMBER, NO_TARGET = "classes", "number", "none"
 
 @dataclass
 class Config:
-    """Settings of the preparation. The defaults repair and resample before the split; ``split_first`` does not."""
+    """Settings of the preparation. The defaults repair and resample before the split; ``split_first`` does not.
+
+    ``cardinality`` says what becomes of columns with many categories that nobody decided on: ``group_rare_categories``,
+    ``drop_feature`` or ``keep_as_is``. Without it such columns are only reported.
+    """
 
     test_size: float = 0.2
     seed: int = 42
@@ -34,6 +39,7 @@ class Config:
     scaling: str = prepare.STANDARD
     encoding: str = prepare.ONEHOT
     imbalance_action: str | None = None
+    cardinality: str | None = None
     clean_first: bool = False
     split_first: bool = False
     keys: tuple[str, ...] | None = None
@@ -71,12 +77,17 @@ class Transformed:
         return prepare.assemble(self.prep, labelled, keep=["label", *self.plain_features])
 
     def save(self, path: str) -> None:
-        """What scoring new rows needs, and the log; the tables themselves are not part of it."""
+        """What scoring new rows needs, the class weights and the log; the tables themselves are not part of it.
+
+        A loaded preparation can be saved again, to another path.
+        """
         self.prep.save(f"{path}/prep")
-        if self.codes is not None:
-            self.codes.write.mode("overwrite").parquet(f"{path}/codes")
+        for name, table in (("codes", self.codes), ("weights", self.weights)):
+            if table is not None:
+                table.write.mode("overwrite").parquet(f"{path}/{name}")
         types = {c: asdict(t) for c, t in self.types.items()}
-        models.write_state(self.train.sparkSession, f"{path}/state", dict(target=self.target, task=self.task, types=types, log=self.log))
+        state = dict(target=self.target, task=self.task, types=types, log=self.log, weighted=self.weights is not None)
+        models.write_state(SparkSession.active(), f"{path}/state", state)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Transformed:
@@ -85,7 +96,8 @@ class Transformed:
         codes = spark.read.parquet(f"{path}/codes") if state["task"] == CLASSES else None
         types = {c: ColumnType(**t) for c, t in state["types"].items()}
         prep = prepare.FittedPrep.load(spark, f"{path}/prep")
-        return Transformed(None, None, state["target"], prep, codes, types, state["log"], None, state["task"])
+        weights = spark.read.parquet(f"{path}/weights") if state["weighted"] else None
+        return Transformed(None, None, state["target"], prep, codes, types, state["log"], weights, state["task"])
 
     @property
     def plain_features(self) -> list[str]:
@@ -123,7 +135,7 @@ def transform(
     types = infer_types(cleaned, target)
     usable = drop_unusable(cleaned, types)
     kept = {c: t for c, t in types.items() if c in usable.columns}
-    resolved = [r for r in resolve_decisions(issues, decisions) if r["column"] in usable.columns]
+    resolved = [r for r in resolve_decisions(issues, decisions, config.cardinality) if r["column"] in usable.columns]
     action = config.imbalance_action or imbalance_choice(resolved)
     # Rows are told apart by the keys only while no copies were drawn and the key columns are still there.
     keys = list(config.keys) if config.keys and set(config.keys) <= set(usable.columns) else None
@@ -133,7 +145,8 @@ def transform(
         train, entries = repair(train, resolved, kept)
         log += entries
         train, entries = balance(train, target, action, config.seed, keys)
-        test = test.select(*train.columns)
+        # Columns grouped in training are text there; values of the test part that it lacks are unknown categories.
+        test = test.select(*[quoted(f.name).cast(f.dataType) if isinstance(f.dataType, T.StringType) else quoted(f.name) for f in train.schema.fields])
     else:
         repaired, entries = repair(usable, resolved, kept)
         log += entries
@@ -146,7 +159,8 @@ def transform(
     groups = column_groups(kept)
     numeric = [c for c in groups["numeric"] if c in train.columns]
     categorical = [c for c in groups["categorical"] if c in train.columns]
-    prep = prepare.fit(train, numeric, categorical, config.imputation, config.scaling, config.encoding)
+    grouped = [c for c, choice in choices(resolved, CARDINALITY).items() if choice == GROUP_RARE]
+    prep = prepare.fit(train, numeric, categorical, config.imputation, config.scaling, config.encoding, grouped)
     log += empty_columns(numeric + categorical, prep)
     codes = prepare.target_codes(train, target)
     weights = None
@@ -207,6 +221,17 @@ def run(
     return result, train(result, how, names)
 
 
+def save_run(path: str, result: Transformed, report: models.TrainingReport) -> None:
+    """A whole run: the preparation and the report with all its models."""
+    result.save(f"{path}/preparation")
+    report.save(f"{path}/report")
+
+
+def load_run(spark: SparkSession, path: str) -> tuple[Transformed, models.TrainingReport]:
+    """A saved run, ready to score new rows, to show its tables and to be saved again."""
+    return Transformed.load(spark, f"{path}/preparation"), models.TrainingReport.load(spark, f"{path}/report")
+
+
 def score(result: Transformed, fitted: models.Fitted, df: DataFrame) -> DataFrame:
     """New rows (no target needed) with ``prediction`` and ``score``."""
     plain = result.plain_features

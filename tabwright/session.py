@@ -27,14 +27,11 @@ def local_session(cores: int | None = None, app: str = "tabwright") -> SparkSess
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return a frame that reads it back.
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that goes when the application ends.
 
-    Used where a later step must see the very same rows again (row numbers given by a sort) even if an executor is
-    lost; a later step reads only the columns it needs. The folder is the session's ``spark.checkpoint.dir``; only a
-    session in one JVM without that setting gets a temporary one. The files go when the application ends.
+    The folder is the session's ``spark.checkpoint.dir``; only a session in one JVM without that setting gets a temporary one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
@@ -42,11 +39,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tabwright-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     target = context._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return a frame that reads it back.
+
+    Used where a later step must see the very same rows again (row numbers given by a sort) even if an executor is
+    lost; a later step reads only the columns it needs.
+    """
+    path = own_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 SMALL_ROWS = 1_000_000

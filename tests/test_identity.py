@@ -154,3 +154,31 @@ def test_a_hot_row_is_copied_by_many_tasks(spark, monkeypatch):
         assert sum(sizes) == 1245 and max(sizes) < 700
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize(("dtype", "values", "low", "high", "expected"), [
+    ("tinyint", [-128, -1, 0, 120, 127, None], -138.5, 180.0, [-128, -1, 0, 120, 127, None]),
+    ("tinyint", [-128, 0, 11, 127, None], 10.5, 99.5, [11, 11, 11, 99, None]),
+    ("tinyint", [-128, 127], 300.0, 400.0, [127, 127]),
+    ("tinyint", [-128, 127], -400.0, -300.0, [-128, -128]),
+    ("int", [-(2**31), 2_000_000_000], -5e9, 5e9, [-(2**31), 2_000_000_000]),
+    ("int", [-(2**31), 7], float("-inf"), float("inf"), [-(2**31), 7]),
+    ("bigint", [2**53 - 1, 2**53, 2**53 + 1, 2**63 - 1], -1.0, 2.0**53, [2**53 - 1, 2**53, 2**53, 2**53]),
+    ("bigint", [2**53, 2**53 + 1, -(2**63)], 2.0**53, 1e30, [2**53, 2**53 + 1, 2**53]),
+    ("decimal(5,2)", ["1.00", "600.01", "999.99"], -1668.375, 1668.375, ["1.00", "600.01", "999.99"]),
+    ("decimal(5,2)", ["12.34", "12.35", "600.00", "600.01", None], 12.345, 600.008, ["12.35", "12.35", "600.00", "600.00", None]),
+    ("decimal(38,4)", ["9007199254740993.0001"], 0.0, 2.0**53, ["9007199254740992.0000"]),
+    ("double", [1.5, -3.25, None], -3.0, 1.25, [1.25, -3.0, None]),
+])
+def test_bounds_are_compared_in_the_type(spark, dtype, values, low, high, expected):
+    rows = spark.createDataFrame([(i, None if v is None else str(v)) for i, v in enumerate(values)], "i int, v string")
+    rows = rows.select("i", rows.v.cast(dtype).alias("v"))
+    capped, log = repair.handle_outliers(rows, {"v": repair.CAP}, {}, {"v": (low, high)})
+    assert capped.schema["v"].dataType == rows.schema["v"].dataType
+    got = [r.v for r in capped.orderBy("i").collect()]
+    assert [None if v is None else str(v) if isinstance(e, str) else v for v, e in zip(got, expected, strict=True)] == expected
+    beyond = [v is not None and not low <= Decimal(str(v)) <= high for v in values]
+    assert log[0]["capped_below"] + log[0]["capped_above"] == sum(beyond)
+    left, log = repair.handle_outliers(rows, {"v": repair.REMOVE}, {}, {"v": (low, high)})
+    assert [r.i for r in left.orderBy("i").collect()] == [i for i, v in enumerate(values) if v is not None and not beyond[i]]
+    assert log[0]["rows_removed"] == len(values) - left.count()

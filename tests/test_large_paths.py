@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabwright.functions.lookup import lookup
+from tabwright.functions.lookup import lookup, repeated, salted, split_keys
 from tabwright.functions.ordering import number_rows, replicate, running_sum
 from tabwright.functions.quantiles import exact_quantiles
 from tabwright.operators import balance, evaluate, knn, oner, split
@@ -67,6 +67,37 @@ def test_lookup_with_hot_keys(spark, limit):
     assert all(r.v == (None if r.k is None or r.k == 7 else r.k * 10) for r in out)
 
 
+@pytest.mark.parametrize("most", [10**6, 2])
+def test_no_task_gets_more_than_its_part_of_a_key(spark, most):
+    """One key holds 60 % of the rows, a hundred have 100 each, the rest one each; some rows have none. AQE is off."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        kind = F.when(F.col("id") % 10 < 6, F.lit("hot")).when(F.col("id") % 10 < 8, F.concat(F.lit("k"), F.col("id") % 100)).when(F.col("id") % 10 == 8, F.col("id").cast("string"))
+        rows = spark.range(0, 20_000, 1, 16).select(kind.alias("k"), "id")
+        table = rows.filter("k IS NOT NULL AND k <> 'k6'").groupBy("k").agg(F.count("*").alias("n"))
+        parts = split_keys(rows, ["k"], 100, most)
+        bound = 100 if most > 2 else 256  # 21 keys are over 100, one over 256: only that one may be split
+        tasks = salted(rows, ["k"], parts).groupBy("k", "_part").count().filter("k IS NOT NULL")
+        assert tasks.agg(F.max("count")).first()[0] <= 1.5 * bound
+        assert parts.count() <= max(most, 21)
+        joined = salted(rows, ["k"], parts).join(repeated(table, ["k"], parts), ["k", "_part"], "left")
+        assert joined.count() == 20_000
+        out = lookup(rows, table.withColumn("v", F.col("n") * 2), ["k"], "n", broadcast_bytes=0, key_rows=100)
+        counts = {r.k: r.n for r in table.collect()}
+        assert all(r.v == (2 * counts[r.k] if r.k in counts else None) for r in out.collect()) and out.count() == 20_000
+        in_task = out.filter("k = 'hot'").groupBy(F.spark_partition_id()).count()
+        assert in_task.agg(F.max("count")).first()[0] < 12_000 / 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_lookup_of_keys_of_another_type(spark):
+    rows = spark.range(2000).select((F.col("id") % 2).cast("double").alias("k"), "id")
+    table = spark.createDataFrame([(0, 5, "a"), (1, 5, "b")], "k int, n bigint, v string")
+    out = lookup(rows, table, ["k"], "n", broadcast_bytes=0, key_rows=100)
+    assert {(r.k, r.v) for r in out.collect()} == {(0.0, "a"), (1.0, "b")} and out.count() == 2000
+
+
 def test_split_with_copies_keeps_all_rows(spark):
     rows = spark.createDataFrame([("a", "same")] * 90 + [("a", f"x{i}") for i in range(10)] + [("b", "same")] * 5 + [("c", "one")], "t string, v string")
     out = split.stratified_split(rows, "t", 0.3)
@@ -154,3 +185,45 @@ def test_one_rule(spark):
     assert rule.feature == "f" and rule.default == 0.0
     new = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), (None,)], "f string")
     assert {r.f: r.prediction for r in rule.predict(new).collect()} == {"a": 0.0, "b": 1.0, "c": 0.0, "d": 0.0, None: 0.0}
+
+
+@pytest.mark.parametrize(("shell_rows", "block_rows", "k"), [(5, 3, 5), (20, 4096, 1), (1000, 4096, 90), (5, 4096, 200)])
+def test_pivot_index_against_brute_force(spark, shell_rows, block_rows, k):
+    draw = np.random.default_rng(k)
+    centres = draw.normal(scale=20, size=(6, 3))
+    points = np.round(centres[draw.integers(0, 6, 150)] + draw.normal(size=(150, 3)), 1)
+    points[:30] = points[0]
+    labels = draw.integers(0, 3, 150).astype(float)
+    queries = np.vstack([np.round(centres[draw.integers(0, 6, 30)] + draw.normal(size=(30, 3)), 1), points[0], [1e3, 1e3, 1e3]])
+    train = spark.createDataFrame([(p.tolist(), float(y)) for p, y in zip(points, labels, strict=True)], "features array<double>, label double")
+    test = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(queries)], "id int, features array<double>")
+    found = {r.id: (r.prediction, r.score) for r in knn.predict_knn(train, test, k=k, shell_rows=shell_rows, block_rows=block_rows).collect()}
+    for i, q in enumerate(queries):
+        votes = [y for _, y in sorted(zip(((points - q) ** 2).sum(1), labels, strict=True))[:k]]
+        assert found[i] == (min(set(votes), key=lambda y: (-votes.count(y), y)), pytest.approx(votes.count(1.0) / len(votes)))
+    assert len(found) == len(queries)
+
+
+def test_a_query_looks_into_few_shells(spark):
+    """Ten times the points, in ten times the shells: about as many shells and candidates per query."""
+    draw = np.random.default_rng(8)
+    centres = draw.normal(scale=50, size=(20, 2))
+
+    def made(n):
+        return centres[draw.integers(0, 20, n)] + draw.normal(size=(n, 2))
+
+    queries = made(200)
+    asked = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(queries)], "qid bigint, x array<double>").cache()
+    seen, candidates, shells = [], [], []
+    for n in (2_000, 20_000):
+        points = made(n)
+        table = spark.createDataFrame([(p.tolist(), 0.0, 1) for p in points], "x array<double>, label double, copies bigint").cache()
+        index, _ = knn.indexed(table, n, 40)
+        kth = np.sort(((queries[:, None] - points[None]) ** 2).sum(2), axis=1)[:, 4]
+        first = knn.visits_of(asked, index, 5).withColumn("within", F.element_at(F.array(*[F.lit(float(d)) for d in kth]), F.col("qid").cast("int") + 1))
+        seen.append(knn.further_visits(first, index).count() / len(queries))
+        candidates.append(knn.nearest_points(table, asked, 5, shell_rows=40).count() / len(queries))
+        shells.append(len(index.cell))
+    assert shells[1] > 7 * shells[0]
+    assert seen[1] < 2 * seen[0] + 2 and candidates[1] < 3 * candidates[0], (seen, candidates, shells)
+    assert seen[1] < 0.02 * shells[1]
