@@ -61,6 +61,8 @@ TREE_BATCH_MEMORY_MB = 1024
 #: A linear model that hasn't converged is fitted again with four times the iterations, up to this many.
 FIRST_ITERATIONS = {LOGISTIC: 500, SVM: 100}
 MOST_ITERATIONS = 200_000
+#: The loss of the SVM has kinks, and steps get small long before they stop: it has converged when the loss falls by less than this share.
+SVM_TOLERANCE = 1e-4
 
 LEADERBOARD_SCHEMA = (
     "model string, accuracy double, precision double, recall double, f1_score double, roc_auc double, training_time double"
@@ -177,7 +179,7 @@ def estimator(name: str, params: Mapping, table: TrainingTable, iterations: int
     if name == LOGISTIC:
         return LogisticRegression(regParam=penalty, elasticNetParam=0.0, maxIter=iterations, standardization=False, **weight)
     if name == SVM:
-        svm = LinearSVC(regParam=penalty, maxIter=iterations, standardization=False, **weight)
+        svm = LinearSVC(regParam=penalty, maxIter=iterations, tol=SVM_TOLERANCE, standardization=False, **weight)
         return svm if table.n_classes <= 2 else OneVsRest(classifier=svm, **weight)
     if name == BAYES:
         return NaiveBayes(modelType="gaussian")
