@@ -41,12 +41,16 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    removed_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a written folder when the application ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str, n_rows: int) -> DataFrame:
     """Add ``name``: a gapless rank from 0 within each group, in a fixed pseudo-random order of the ``order`` columns.
 
