@@ -2,7 +2,8 @@
 
 Each document is held to base rules and to stricter ones. Failures are counted per host; a host's failure rate is
 shrunk towards the rate of all hosts with a beta prior fitted to them, so that a small host isn't judged by a few
-documents. Documents of a host with a high shrunk rate must also pass the stricter rules.
+documents. A host is bad if its rate is, with the stated certainty, above that of all hosts by a margin; its documents
+must also pass the stricter rules. Where hosts don't differ, none is bad.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ SYMBOLS = "#*$%&|<>"
 MOST_SYMBOLS = 0.10
 MOST_DUP_LINES = 0.50
 MEAN_WORD = (2.0, 15.0)
-#: A host whose shrunk share of documents that fail any rule is above this is held to the stricter rules.
-BAD_HOST = 0.1
+#: A host is bad if its failure rate is this much above the rate of all hosts, with a posterior probability of 0.95.
+MARGIN = 0.1
+CERTAIN = 1.645
 #: Hosts with at least this share of the documents are joined by broadcast: at most 1 / HOT_HOST of them.
 HOT_HOST = 0.005
 BROADCAST_HOSTS = 200_000
@@ -94,11 +96,12 @@ def failures(counts: DataFrame) -> DataFrame:
 RULES = ("few_words", "repeats", "symbols", "dup_lines", "word_length")
 
 
-def host_verdicts(flagged: DataFrame, bad_host: float = BAD_HOST) -> DataFrame:
-    """Per host: documents, failures per rule, shrunk failure rate, ``host_bad``. The null host is a host.
+def host_verdicts(flagged: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """Per host: documents, failures per rule, shrunk failure rate and its lower bound, ``host_bad``. The null host is a host.
 
     The beta prior has the mean and the variance of the hosts' rates (weighted by documents), less what sampling adds
-    to the variance. Hosts that don't differ give a strong prior: all rates shrink to the mean.
+    to the variance. Hosts that don't differ give a strong prior: all rates shrink to the mean. The lower bound of a rate
+    is that of a normal distribution with the moments of its beta posterior.
     """
     failed = (F.col("base_failed") | F.col("strict_failed")).cast("long")
     counts = [F.sum(F.col(r).cast("long")).alias(f"failed_{r}") for r in RULES]
@@ -113,7 +116,10 @@ def host_verdicts(flagged: DataFrame, bad_host: float = BAD_HOST) -> DataFrame:
     between = max((m["squares"] or 0.0) / total - mean * mean - spread * m["hosts"] / total, spread * 1e-6, 1e-12)
     strength = max(spread / between - 1, 0.0)
     shrunk = (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
-    told = hosts.withColumn("rate", shrunk).withColumn("host_bad", F.col("rate") > bad_host)
+    told = hosts.withColumn("rate", shrunk)
+    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.lit(strength + 1)))
+    told = told.withColumn("least_rate", F.col("rate") - F.lit(CERTAIN) * deviation)
+    told = told.withColumn("host_bad", F.col("least_rate") > F.lit(mean + margin))
     return told.withColumn("_hot", F.col("n") >= F.lit(total * HOT_HOST))
 
 
@@ -135,17 +141,17 @@ def joined(flagged: DataFrame, hosts: DataFrame) -> DataFrame:
     return found.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & F.col("strict_failed")))
 
 
-def judged(docs: DataFrame, bad_host: float = BAD_HOST) -> DataFrame:
+def judged(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     """``doc_id, source``, counts, flags, ``host_bad`` and ``kept`` per row of ``docs``.
 
     A null text has no words and fails. The null host is a host. Repeated rows are separate documents with the same
     verdict. An empty table gives no rows.
     """
     flagged = failures(written(measured(docs).drop("_row")))
-    return joined(flagged, host_verdicts(flagged, bad_host))
+    return joined(flagged, host_verdicts(flagged, margin))
 
 
-def kept_documents(docs: DataFrame, bad_host: float = BAD_HOST) -> DataFrame:
+def kept_documents(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     """The rows of ``docs`` that `judged` keeps, with their columns. Texts aren't shuffled: they are read twice."""
-    hosts = host_verdicts(failures(measured(docs).drop("_row")), bad_host)
+    hosts = host_verdicts(failures(measured(docs).drop("_row")), margin)
     return joined(failures(measured(docs)), hosts).filter("kept").select("_row.*")

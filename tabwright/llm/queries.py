@@ -122,8 +122,10 @@ WITH d AS (
 ), prior AS (
   SELECT mean, greatest(mean * (1 - mean) / greatest(square - mean * mean - mean * (1 - mean) * sampling, mean * (1 - mean) * 1e-6, 1e-12) - 1, 0) AS strength
   FROM moments
+), rates AS (
+  SELECT source, n, mean, strength, (f + mean * strength) / (n + strength) AS rate FROM hosts, prior
 ), judged AS (
-  SELECT source, (f + mean * strength) / (n + strength) > 0.1 AS host_bad FROM hosts, prior
+  SELECT source, rate - 1.645::DOUBLE * sqrt(rate * (1 - rate) / (n + strength + 1)) > mean + 0.1::DOUBLE AS host_bad FROM rates
 )
 SELECT flagged.*, host_bad, NOT base_failed AND NOT (host_bad AND strict_failed) AS kept
 FROM flagged JOIN judged ON flagged.source IS NOT DISTINCT FROM judged.source
