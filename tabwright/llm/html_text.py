@@ -52,8 +52,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLES = frozenset(("article", "main"))
 NO_MARKS: frozenset[str] = frozenset()
 #: What an opening tag closes when it is open: paragraphs by any block, items by the next item.
+PARAGRAPHS = ("p", "h1", "h2", "h3", "h4", "h5", "h6")
+BARS = BLOCKS.difference(PARAGRAPHS)
+LISTS = frozenset(("ul", "ol", "dl", "table", "select", "menu"))
 ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SPACE = re.compile(r"\s+")
+UNENDED = re.compile(r"</?[A-Za-z]")
 PARTS = re.compile(r"[a-z]+")
 
 
@@ -81,6 +85,10 @@ class Lines(HTMLParser):
         self.lines: list[tuple[list[tuple[str, int, bool]], int]] = []
         self.tag, self.parent, self.marks, self.beside = [""], [0], [NO_MARKS], [False]
         self.stack: list[tuple[str, bool, bool, bool, int]] = [("", False, False, False, 0)]
+        #: Places in the stack by tag, and of the elements past which paragraphs and items are not closed.
+        self.places: dict[str, list[int]] = {}
+        self.bars: list[int] = []
+        self.lists: list[int] = []
         self.parts: list[tuple[str, int, bool]] = []
         self.tags = 1
 
@@ -95,18 +103,34 @@ class Lines(HTMLParser):
         if not skipped:
             self.parts.append((text, node, linked))
 
+    def push(self, element: tuple[str, bool, bool, bool, int]) -> None:
+        tag = element[0]
+        for places in self.held(tag):
+            places.append(len(self.stack))
+        self.stack.append(element)
+
+    def held(self, tag: str) -> list[list[int]]:
+        found = [self.places.setdefault(tag, [])]
+        if tag in BARS:
+            found.append(self.bars)
+        if tag in LISTS:
+            found.append(self.lists)
+        return found
+
     def close_to(self, at: int) -> None:
-        if any(tag in BLOCKS for tag, *_ in self.stack[at:]):
+        block = False
+        for tag, *_ in self.stack[at:]:
+            block = block or tag in BLOCKS
+            for places in self.held(tag):
+                places.pop()
+        if block:
             self.end_line()
         del self.stack[at:]
 
-    def opened(self, names: tuple[str, ...], until: frozenset) -> int | None:
-        for at in range(len(self.stack) - 1, 0, -1):
-            if self.stack[at][0] in names:
-                return at
-            if self.stack[at][0] in until:
-                return None
-        return None
+    def opened(self, names: tuple[str, ...], bars: list[int]) -> int | None:
+        """The place of the innermost open element of these names, if it is not outside of one in ``bars``."""
+        at = max((self.places[name][-1] for name in names if self.places.get(name)), default=0)
+        return at if at and not (bars and bars[-1] > at) else None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -118,9 +142,9 @@ class Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self.end_line()
-            if (at := self.opened(("p", "h1", "h2", "h3", "h4", "h5", "h6"), BLOCKS - {"p", "h1", "h2", "h3", "h4", "h5", "h6"})) is not None and tag != "hgroup":
+            if (at := self.opened(PARAGRAPHS, self.bars)) is not None and tag != "hgroup":
                 self.close_to(at)
-            if tag in ITEMS and (at := self.opened(ITEMS[tag], frozenset(("ul", "ol", "dl", "table", "select", "menu")))) is not None:
+            if tag in ITEMS and (at := self.opened(ITEMS[tag], self.lists)) is not None:
                 self.close_to(at)
         _, skipped, article, linked, node = self.stack[-1]
         found = marks(tag, attrs) if attrs or tag in MARKED_TAGS else NO_MARKS
@@ -130,7 +154,7 @@ class Lines(HTMLParser):
             self.marks.append(found)
             self.beside.append(tag in BESIDE and not (tag == "header" and article))
             node = len(self.tag) - 1
-        self.stack.append((tag, skipped or tag in NEVER, article or tag in ARTICLES, linked or tag == "a", node))
+        self.push((tag, skipped or tag in NEVER, article or tag in ARTICLES, linked or tag == "a", node))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -139,7 +163,7 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in ("p", "br"):  # </br> and a stray </p> part lines as browsers have it
             self.end_line() if tag == "p" else self.add(" ")
-        if (at := self.opened((tag,), frozenset())) is not None:
+        if (at := self.opened((tag,), [])) is not None:
             self.close_to(at)
 
     def handle_data(self, data: str) -> None:
@@ -181,7 +205,7 @@ def left_out(page: Lines) -> list[bool]:
     in_named = page.down([bool(m) for m in named], lambda a, b: a or b)
     clear = [False] * len(out)
     for at in {s for n, s, m in zip(own, scope, in_named, strict=True) if n and s and not m}:
-        while at:
+        while at and not clear[scope[page.parent[at]]]:
             at = scope[page.parent[at]]
             clear[at] = True
     major = [MAJOR[clear[s]] * held[s] for s in scope]
@@ -238,8 +262,8 @@ def main_text(html: str | None) -> str:
     page = Lines()
     for at in range(0, len(html or ""), FEED_CHARS):
         page.feed(html[at : at + FEED_CHARS])
-    if page.rawdata.startswith("<!--"):  # a comment that is never closed
-        page.rawdata = ""
+    if page.rawdata.startswith("<!--") or (UNENDED.match(page.rawdata) and ">" not in page.rawdata):
+        page.rawdata = ""  # a comment or tag that the page ends in; the parser would look for its end at each "<" again
     page.close()
     page.end_line()
     out = left_out(page)
@@ -275,7 +299,11 @@ def main_text(html: str | None) -> str:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars`` per row of ``pages``. A null or empty page has an empty text; rows stay apart."""
+    """``page_id, url, text, n_chars`` per row of ``pages``. A null or empty page has an empty text; rows stay apart.
+
+    An empty table gives no rows. A page takes time in proportion to its length, also one with elements that are never
+    closed or never opened, and memory for its own text and elements.
+    """
 
     def extract(pages: pd.Series) -> pd.Series:
         return pd.Series([main_text(html) for html in pages], dtype=object)
