@@ -11,13 +11,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwright.llm.common import written
+
 #: Labelled texts taken per label at most, half of them for the dictionaries and half for the curve, in hash order.
 SAMPLE_PER_LABEL = 3_000
-#: A sampled text counts up to this many characters; scored texts are always whole.
-SAMPLE_CHARS = 20_000
+#: Bytes of labelled text per label that the dictionaries are trained on at most: pieces from all over each text.
+TRAINING_BYTES = 16 << 20
 DICTIONARY_BYTES = 1 << 18
 LEVEL = 3
 PIECE = 500
@@ -62,8 +64,16 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def dictionary(texts: list[str]) -> bytes:
-    samples = [p for t in texts for p in pieces(t.encode("utf-8", "surrogatepass"), 2 * PIECE)]
+def spread(text: str, most: int) -> list[bytes]:
+    """Pieces of a text, evenly spaced over all of it, of at most about ``most`` bytes together."""
+    parts = pieces(text.encode("utf-8", "surrogatepass"), 2 * PIECE)
+    taken = max(1, most // (2 * PIECE))
+    if len(parts) <= taken:
+        return parts
+    return [parts[int(at)] for at in np.linspace(0, len(parts) - 1, taken)]
+
+
+def dictionary(samples: list[bytes]) -> bytes:
     total = sum(map(len, samples))
     while total:
         try:  # a small sample can't fill a large dictionary
@@ -92,27 +102,41 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:
-    """Fit on a bounded sample of the labelled rows that are not held out.
+    """Fit on a bounded sample of the labelled rows that are not held out: whole texts for the curve, pieces from all over
+    them for the dictionaries.
 
-    Labels other than 0 and 1 and null ids are left out. With fewer than two texts of a label there is nothing to tell
+    Labels other than 0 and 1 and null ids are left out; of an id's labels the larger counts, of its texts the smallest. A
+    null text is empty. With fewer than two texts of a label there is nothing to tell
     apart: every score is the share of label 1 then, 0.5 without any label.
     """
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [known.filter(F.col("quality") == q).orderBy(*order).limit(per_label) for q in (0, 1)]
-    # At most 2 * per_label ids are broadcast and as many texts come back.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
-    text = F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, SAMPLE_CHARS)
-    rows = sorted(sample.select(F.xxhash64("doc_id").alias("h"), "doc_id", "quality", text.alias("text")).collect())
+    taken = [known.filter(F.col("quality") == q).orderBy(*order).limit(per_label) for q in (0, 1)]
+    # At most 2 * per_label ids: numbered, and broadcast.
+    place = F.row_number().over(Window.partitionBy("quality").orderBy(*order))
+    chosen = written(taken[0].union(taken[1]).withColumn("place", place))
+    sample = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = written(sample.groupBy("doc_id", "quality", "place").agg(F.min("text").alias("text")))
     share = known.agg(F.avg("quality")).first()[0]
-    by_label = [[r.text for r in rows if r.quality == q] for q in (0, 1)]
-    if min(map(len, by_label)) < 2:
+    held = {r["quality"]: r["n"] for r in sample.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    if min(held.get(0, 0), held.get(1, 0)) < 2:
         share = min(max(0.5 if share is None else share, 0.01), 0.99)
         return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
-    bad, good = (dictionary(texts[::2]) for texts in by_label)
-    likeness = measure(good, bad)
-    x = [np.array([likeness(t) for t in texts[1::2]]) for texts in by_label]
+    # Places alternate between the dictionaries and the curve.
+    halves = sample.withColumn("_half", F.row_number().over(Window.partitionBy("quality").orderBy("place")) % 2)
+    most = TRAINING_BYTES // max(held.values())
+    cut = F.pandas_udf(lambda texts: pd.Series([spread(t, most) for t in texts], dtype=object), "array<binary>")
+    training = halves.filter("_half = 1").select("quality", "place", cut("text").alias("parts")).collect()  # TRAINING_BYTES per label at most
+    bad, good = (dictionary([p for r in sorted(training) if r["quality"] == q for p in r["parts"]]) for q in (0, 1))
+
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        likeness = measure(good, bad)
+        for texts in batches:
+            yield pd.Series([likeness(t) for t in texts], dtype="float64")
+
+    points = halves.filter("_half = 0").select("quality", "place", F.pandas_udf(measured, "double")("text").alias("x")).collect()  # per_label numbers
+    x = [np.array([r["x"] for r in sorted(points) if r["quality"] == q]) for q in (0, 1)]
     y = np.concatenate([np.zeros(len(x[0])), np.ones(len(x[1]))])
     slope, intercept = curve(np.concatenate(x), y)
     # The sample may hold the labels in other shares than the labelled rows.
