@@ -537,3 +537,97 @@ def test_mix_of_odd_documents(docs, no_docs):
     assert counts == {i: c for i, c in copies.items() if c[0]}
     assert mixing.entropy_balance(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
     assert mixing.entropy_balance(docs.union(docs)).count() == 2 * len(ROWS)
+
+
+def test_a_page_fetched_again_is_a_record_of_its_own(spark):
+    rng = random.Random(2)
+    first, again = prose(rng, 300), prose(rng, 900)
+    rows = [(1, "u", first), (1, "u", again), (1, "u", again), (2, "u", "short"), (2, "u", "short"), (None, None, again), (3, "v", None), (3, "v", None)]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, sha1 string, number int")
+    path = warc.write_archives(pages.repartition(2), chunk_bytes=1000)
+    found = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type) for r in warc.read_archives(spark, path).collect()), key=str)
+    digest = [(page, len((html or "").encode()), hashlib.sha1((html or "").encode()).hexdigest()) for page, _, html in rows]
+    assert found == sorted(((*d, "response") for d in digest), key=str)
+    chunks = spark.read.parquet(path)
+    assert chunks.select("record_id").distinct().count() == len(rows)
+    assert chunks.filter("whole").count() == 4 and chunks.filter("whole").agg(F.max("chunk_no")).first()[0] == 0
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_given_hosts_do_not_differ_until_one_gathers_the_failures(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = quality_rules.judged(given).collect()
+    assert not any(r.host_bad for r in found) and all(r.kept == (not r.base_failed) for r in found)
+    strict = [r.doc_id for r in found if r.strict_failed and not r.base_failed]
+    assert strict
+    loud = F.col("doc_id").isin(strict[::2]) | (F.col("doc_id") % 40 == 0)
+    moved = quality_rules.judged(given.withColumn("source", F.when(loud, "loud").otherwise(F.col("source")))).collect()
+    assert {r.source for r in moved if r.host_bad} == {"loud"}
+    kept = {r.doc_id: r.kept for r in moved}
+    assert not any(kept[i] for i in strict[::2]) and all(kept[i] for i in strict[1::2] if i % 40)
+
+
+@pytest.mark.parametrize("html", [
+    "<b>" * 30_000 + "</i>" * 30_000, "<ul><li><ul>" + "<b>" * 20_000 + "<li></li>" * 20_000, "<article>x" * 20_000, "<div>x" * 30_000, "<a " * 60_000, "</a " * 60_000,
+    "<p class=ad>x" * 20_000, "<!--" * 50_000,
+], ids=range(8))
+def test_malformed_pages_take_time_in_proportion(html):
+    import time
+
+    def seconds(page):
+        started = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - started
+
+    part = min(seconds(html[: len(html) // 4]) for _ in range(2))
+    assert seconds(html) < 8 * part + 0.5
+
+
+def test_a_page_that_ends_in_a_tag_has_no_markup_in_its_text():
+    assert html_text.main_text("<p>Some words here.</p><a href='x") == "Some words here."
+    assert html_text.main_text("<p>1 < 2 and 3 > 2</p>") == "1 < 2 and 3 > 2"
+
+
+def test_sources_that_start_alike_are_told_apart(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 20), "en", f"https://www.example.org/{i % 9}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    placed = sharding.points(docs, {"source": lambda: F.col("source")}).collect()
+    assert {r._d0 for r in placed} == set(range(9))
+    only = sharding.kd_shards(docs, shards=3, dimensions={"source": lambda: F.col("source")}).collect()
+    shard = {r.doc_id: r.shard for r in only}
+    held = [{shard[i] for i, *_, source in rows if source.endswith(f"/{s}")} for s in range(9)]
+    # Sources follow each other over the shards: only those at the two cuts lie in two.
+    assert sum(len(h) > 1 for h in held) <= 2 and [min(h) for h in held] == sorted(min(h) for h in held)
+
+
+def test_shards_against_plain_medians(spark):
+    """One numeric dimension, different texts: a cut is the weighted median of its node within the tolerance."""
+    rng = random.Random(5)
+    rows = [(i, f"{i} " + "x" * rng.randrange(400), None, None, rng.randrange(10_000)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, at int")
+    placed = sharding.kd_shards(docs, shards=5, dimensions={"at": lambda: F.col("at")}).collect()
+    at, size = {r[0]: r[4] for r in rows}, {r.doc_id: r.size for r in placed}
+    shard = {r.doc_id: r.shard for r in placed}
+    ordered = sorted(at, key=lambda i: (shard[i], at[i]))
+    spans = {s: (min(at[i] for i in at if shard[i] == s), max(at[i] for i in at if shard[i] == s)) for s in range(5)}
+    assert all(spans[s][1] <= spans[s + 1][0] for s in range(4)) and len(ordered) == 3000
+    total = [sum(size[i] for i in at if shard[i] == s) for s in range(5)]
+    assert max(total) - min(total) <= 0.01 * sum(total)
+
+
+def test_dictionaries_see_all_of_a_long_text():
+    parts = classifier.spread("".join(f"{i:09d} " for i in range(100_000)), 20_000)
+    assert len(parts) == 20 and parts[0].startswith(b"000000000") and parts[-1].endswith(b"000099999 ")
+    assert b"".join(classifier.spread("short text", 20_000)) == b"short text" and classifier.spread("", 10) == []
+
+
+def test_rows_that_repeat_a_labelled_id_count_once(spark):
+    rng = random.Random(6)
+    good = [(i, prose(rng, 40)) for i in range(40)]
+    bad = [(100 + i, "!!! $$$ " * 20) for i in range(40)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad], "doc_id long, quality int")
+    once = classifier.fit(docs, labels)
+    again = classifier.fit(docs.union(docs).union(docs), labels)
+    assert (once.good, once.bad, round(once.slope, 6)) == (again.good, again.bad, round(again.slope, 6))
