@@ -9,7 +9,7 @@ from tabwright.catalog import all_oracles, all_queries
 
 FOLDER = "/root/testdata/sf0.001"
 # Full training runs; covered by the workflow test and the driver.
-SLOW = {"champion", "confusion_by_model", "model_params", "model_svc_multi", "search_lr", "model_svc", "leaderboard"}
+SLOW = {"champion", "confusion_by_model", "model_params", "model_svc_multi", "search_lr", "leaderboard"}
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 
