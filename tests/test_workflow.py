@@ -1,12 +1,14 @@
 """End-to-end runs on a small table made by rule, and the written forms of tables and fits."""
 
 import random
+import time
 
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tabwright.operators import models, prepare
+from tabwright.operators.cleaning import MISSING_MARKERS, normalize_missing, stripped
 from tabwright.operators.repair import log_frame
 from tabwright.plans import workflow
 from tabwright.sources import tables
@@ -137,3 +139,38 @@ def test_search_is_repeatable(spark, result):
     best, tried = models.search(models.TREE, table, grid, "random")
     assert best["maxDepth"] in (1, 3) and len(tried) == 2
     assert models.search(models.TREE, table, grid, "random")[1] == tried
+
+
+def test_a_text_column_is_cleaned_and_grouped_a_few_times_only(spark):
+    """Balancing, splitting and fitting read what was written; cleaning goes by the ends of a text."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(text):
+        seen.add(1)
+        return text
+
+    rows = 400
+    df = spark.range(rows).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("target"), F.concat(F.lit(" text "), F.col("id") % 120).alias("raw"))
+    df = df.withColumn("text", F.udf(noted, "string")("raw")).drop("raw")
+    result = workflow.transform(df, "target", config=workflow.Config(keys=("id",), cardinality="group_rare_categories"))
+    assert result.train.count() + result.test.count() == rows
+    assert result.train.unionByName(result.test).filter("text = 'Other'").count() > 0
+    assert seen.value <= 8 * rows
+
+
+def test_white_space_inside_a_text_is_not_tried_as_its_end(spark):
+    started = time.monotonic()
+    text = "a" + " " * 200_000 + "b"
+    row = normalize_missing(spark.createDataFrame([(text + " \n",)], "x string")).first()
+    assert row["x"] == text
+    assert time.monotonic() - started < 15
+
+
+def test_texts_are_stripped_as_by_the_expression(spark):
+    edges = ["", " ", "\t\n", "\x0b\f\r ", "\u00a0", "\x85", " \x85", "\u2028", "\r\n\u2029", " \u2028 "]
+    texts = [a + x + b for a in edges for b in edges for x in ("", "x", "N/A", "x \u00e9\n y", "\u212a" * 7)] + [None, "MISSING ", "missing" * 5]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    by_expression = F.regexp_replace("x", r"^\s+|\s+$", "")
+    assert df.filter(~F.expr("x").isNull() & (stripped(F.col("x")) != by_expression)).count() == 0
+    wanted = df.select(F.when(~F.lower(by_expression).isin(*MISSING_MARKERS), by_expression).alias("x"))
+    assert [r.x for r in normalize_missing(df).collect()] == [r.x for r in wanted.collect()]
