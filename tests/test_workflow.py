@@ -64,6 +64,19 @@ def test_svm_of_three_classes(spark):
     assert fitted.predict(table).filter("label = prediction").count() == 90
 
 
+def test_classes_of_an_svm_are_fitted_at_a_time_with_the_same_result(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = [(float(i % 3), [float(i % 3 == j) + (i % 7) / 50 for j in range(3)]) for i in range(90)]
+    frame = spark.createDataFrame(rows, "label double, x array<double>").select("label", array_to_vector("x").alias("features"))
+    table = models.training_table(frame)
+    together = models.estimator(models.SVM, {"C": 1.0}, table)
+    assert together.getParallelism() >= 3
+    alone = together.copy().setParallelism(1)
+    for a, b in zip(together.fit(table.rows).models, alone.fit(table.rows).models, strict=True):
+        assert a.coefficients.toArray() == pytest.approx(b.coefficients.toArray(), rel=1e-6)
+
+
 def test_score_new_rows(people, result):
     table = models.training_table(result.prepared(result.train), result.plain_features)
     fitted = models.train(models.TREE, table)
