@@ -7,19 +7,30 @@ from pyspark.sql import DataFrame, SparkSession
 from tabwright.llm import mixing, near_dup, packing, quality_rules, repeats
 from tabwright.llm.common import table, written
 
+#: Bytes of an Arrow batch. Each task that hands texts to Python holds a batch a few times over, in the JVM and in Python;
+#: at Spark's own 64 MB that is several hundred MB an executor.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
+    small_batches(spark)
     return quality_rules.kept_documents(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words a shingle, a similarity of 0.8 or more."""
+    small_batches(spark)
     return near_dup.one_of_each(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one, or an earlier place, has."""
+    small_batches(spark)
     return repeats.without_repeats(docs)
 
 
@@ -30,6 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

@@ -43,12 +43,18 @@ MASKS = _RANDOM.integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2)
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+#: Hashes of so many words are kept: most words are rare, and looking them up again costs more than hashing them.
+KEPT_WORDS = 1 << 16
+#: Texts that are Python strings at a time.
+TEXTS_AT_A_TIME = 256
+
+
 class WordHashes(dict):
     """Hashes of words; the common ones are kept."""
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1 << 19:
+        if len(self) < KEPT_WORDS:
             self[word] = value
         return value
 
@@ -102,19 +108,26 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.nda
     return grid[np.arange(len(a)), best]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``TEXTS_AT_A_TIME`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_A_TIME):
+            yield batch.slice(at, TEXTS_AT_A_TIME)
+
+
 def sketched(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, n_shingles, digest, sketch`` per row; no digest for a text without words."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for part in slices(batches):
             counts, digests, sketches = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in part.column("text").to_pylist():
                 members = shingle_set(text, size, hashes)
                 counts.append(len(members))
                 digests.append(xxhash.xxh3_128_digest(members.tobytes()) if len(members) else None)
                 sketches.append(registers(members).tobytes() if len(members) else None)
-            arrays = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())]
+            arrays = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())]
             yield pa.record_batch(arrays, ["doc_id", "n_shingles", "digest", "sketch"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -154,9 +167,11 @@ def rare_members(sets: DataFrame) -> DataFrame:
             ids = np.repeat(np.array([i for i, _ in parts], np.int64), [len(m) // 8 for _, m in parts])
             order = np.argsort(members, kind="stable")
             members, ids = members[order], ids[order]
-            _, first, counts = np.unique(members, return_index=True, return_counts=True)
+            first = np.flatnonzero(np.append(True, members[1:] != members[:-1])[: len(members)])  # in order already: no second sort
+            counts = np.diff(np.append(first, len(members)))
             held = np.repeat(counts, counts)
-            sent = (held <= RARE) | np.isin(np.arange(len(members)), first)
+            sent = held <= RARE
+            sent[first] = True
             n = np.where(held <= RARE, 1, held)
             return pa.record_batch([pa.array(members[sent].view(np.int64)), pa.array(ids[sent], mask=(held > RARE)[sent]), pa.array(n[sent])], ["member", "id", "n"])
 
@@ -317,11 +332,9 @@ def shingled(docs: DataFrame, size: int) -> DataFrame:
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingle_set(text, size, hashes).tobytes() for text in part.column("text").to_pylist()]
-                yield pa.record_batch([part.column("doc_id"), pa.array(sets, pa.binary())], ["id", "members"])
+        for part in slices(batches):
+            sets = [shingle_set(text, size, hashes).tobytes() for text in part.column("text").to_pylist()]
+            yield pa.record_batch([part.column("doc_id"), pa.array(sets, pa.binary())], ["id", "members"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(members, "id long, members binary").dropDuplicates(["id"])

@@ -34,12 +34,16 @@ SPAN = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
 U = np.uint64
 
 
+#: Hashes of so many words are kept: most words are rare, and looking them up again costs more than hashing them.
+KEPT_WORDS = 1 << 16
+
+
 class WordHashes(dict):
     """Hashes of words; the common ones are kept."""
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1 << 19:
+        if len(self) < KEPT_WORDS:
             self[word] = value
         return value
 
@@ -95,9 +99,9 @@ class Block:
         """Place of the document, position, hashes, and which occurrences are the first of their hashes, later ones, and
         first ones with a later one; in the order of the text. Empties the block."""
         at, position, *hashes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        ids = np.array([r[0] for r in self.rows], np.int64)[at]
-        found = (at, position, hashes, *first_and_later(hashes, ids, position), self.rows)
-        self.parts, self.rows, self.size = [], [], 0
+        rows, self.parts, self.rows, self.size = self.rows, [], [], 0  # the parts go before the arrays are sorted
+        ids = np.array([r[0] for r in rows], np.int64)[at]
+        found = (at, position, hashes, *first_and_later(hashes, ids, position), rows)
         return found
 
 

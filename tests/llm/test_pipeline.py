@@ -17,6 +17,7 @@ import compare  # noqa: E402
 from test_operators import ROWS  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
+from tabwright.llm import near_dup, repeats  # noqa: E402
 from tabwright.llm.packing import encoder  # noqa: E402
 from tabwright.llm.queries import ORACLES, QUERIES  # noqa: E402
 
@@ -173,3 +174,24 @@ def test_queries_without_oracle_give_their_columns(spark):
 
     model = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_model())
     assert all(r.n_tokens == len(model.encode(documents[r.doc_id])) and r.over_limit == (r.n_tokens > 4096) for r in rows["op13_token_counts"])
+
+
+@pytest.mark.parametrize("module", [near_dup, repeats])
+def test_hashes_of_rare_words_are_not_kept(module):
+    hashes = module.WordHashes()
+    words = [b"w%d" % i for i in range(200_000)]
+    first = [hashes[w] for w in words]
+    assert [hashes[w] for w in words] == first and len(hashes) <= 1 << 16
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """2,000 texts of 10,000 characters: what a stage of the pipeline holds at a time does not grow with them."""
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 1500) AS text")
+    corpus_pipeline.near_copies(spark, docs, "")
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["n"])
+
+    assert docs.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] < 5 << 20
