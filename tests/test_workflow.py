@@ -44,6 +44,28 @@ def test_transform(spark, people, result):
     assert ready.first().features.size == len(prepare.feature_names(result.prep))
 
 
+def test_only_changed_columns_are_typed_again(spark, monkeypatch):
+    rows = [(i, float(i % 97), ["red", "blue"][i % 2], [" ? ", "x ", "y"][i % 3], ["no", "yes"][i % 4 == 0]) for i in range(300)]
+    table = spark.createDataFrame(rows, "id bigint, size double, _Mark_0 string, code string, churn string")
+    typed, infer = [], workflow.infer_types
+
+    def noted(df, *args, **named):
+        typed.append(df.columns)
+        return infer(df, *args, **named)
+
+    monkeypatch.setattr(workflow, "infer_types", noted)
+    found = workflow.transform(table, "churn")
+    assert typed == [table.columns, ["code"]]
+    expected = infer(normalize_missing(table), "churn")
+    assert list(found.types) == list(expected) and found.types == expected
+    assert found.types["code"].n_missing == 100
+    typed.clear()
+    gaps = table.withColumn("churn", F.expr("CASE WHEN id % 10 = 0 THEN ' N/A' ELSE churn END"))
+    found = workflow.transform(gaps, "churn")
+    assert typed == [table.columns, table.columns] and found.types["size"].n_rows == 270
+    assert workflow.transform(table, "churn", config=workflow.Config(clean_first=True)).types == expected
+
+
 def test_models_beat_the_majority(spark, result):
     report = workflow.train(result, names=[n for n in models.MODEL_ORDER if n != models.SVM])
     board = report.leaderboard(spark).collect()
