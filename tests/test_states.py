@@ -109,3 +109,17 @@ def test_the_profile_is_the_same_from_states(spark):
     assert profile.missing_by_column(rows, known).collect() == profile.missing_by_column(rows).collect()
     assert profile.summary_stats(rows, states=known).collect() == profile.summary_stats(rows).collect()
     assert sorted(profile.correlation_matrix(rows, states=known).collect()) == sorted(profile.correlation_matrix(rows).collect())
+
+
+def test_long_texts_are_spread_as_digests(spark, monkeypatch):
+    seen = []
+    spread = ft.spread_small
+    monkeypatch.setattr(ft, "spread_small", lambda df, n_rows: seen.append(df) or spread(df, n_rows))
+    monkeypatch.setattr(states, "EXACT_VALUES", 50)
+    texts = [(None if i % 10 == 0 else "é" * 3000 + str(i % 100) if i % 2 else str(i % 30),) for i in range(400)]
+    rows = spark.createDataFrame(texts, "note string")
+    note = ft.infer_types(rows, exact=True)["note"]
+    present = [t for (t,) in texts if t is not None]
+    assert (note.type, note.n_unique, note.n_missing) == (ft.TEXT, len(set(present)), 40)
+    assert note.top_count == max(present.count(t) for t in present)
+    assert max(r.n or 0 for r in seen[0].select(F.octet_length("note").alias("n")).collect()) < 100
