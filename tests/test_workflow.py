@@ -209,3 +209,101 @@ def test_texts_are_stripped_as_by_the_expression(spark):
     assert df.filter(~F.expr("x").isNull() & (stripped(F.col("x")) != by_expression)).count() == 0
     wanted = df.select(F.when(~F.lower(by_expression).isin(*MISSING_MARKERS), by_expression).alias("x"))
     assert [r.x for r in normalize_missing(df).collect()] == [r.x for r in wanted.collect()]
+
+
+# ---- the search of a run -----------------------------------------------------------------------------------------
+
+
+def vectors(spark, rows, *names):
+    """``label``, ``features`` of two numbers and further plain columns."""
+    from pyspark.ml.functions import array_to_vector
+
+    kinds = ", ".join(f"{n} double" for n in names)
+    frame = spark.createDataFrame(rows, f"label double, x array<double>{', ' if kinds else ''}{kinds}")
+    return frame.withColumn("features", array_to_vector("x")).drop("x")
+
+
+def noisy(n, *more):
+    draw = random.Random(3)
+    points = [(draw.gauss(0, 1), draw.gauss(0, 1)) for _ in range(n)]
+    return [(float(a - b + draw.gauss(0, 0.7) > 0), [a, b], *more) for a, b in points]
+
+
+def test_a_run_scores_every_grid_on_its_folds_before_the_fit(spark, monkeypatch):
+    """Also grids of one setting, as all that are given: the step was skipped for them."""
+    fits, plain = [], models.fit
+    monkeypatch.setattr(models, "fit", lambda name, *more: fits.append(name) or plain(name, *more))
+    names = [n for n in models.MODEL_ORDER if n not in (models.FOREST, models.SVM)]
+    rows = vectors(spark, [(*r, float(i % 3)) for i, r in enumerate(noisy(150))], "c")
+    table = models.training_table(rows, ["c"])
+    report = models.train_all(table, rows, names=names)
+    for name in names:
+        grid = models.SEARCH_GRIDS[name]
+        tried = report.fitted[name].tried
+        assert [p for p, _ in tried] == (models.combinations(grid) if grid else [])
+        assert fits.count(name) == (6 if grid else 1)
+        assert all(0.6 < score <= 1.0 for _, score in tried)
+    assert report.champion_frame(spark).first().n_models == 5
+    assert all(not f.tried for f in models.train_all(table, rows, "none", (models.TREE,)).fitted.values())
+
+
+def test_scores_of_a_search_are_those_of_the_cross_validator(spark):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator
+
+    table = models.training_table(vectors(spark, noisy(200)))
+    grids = {models.TREE: {"maxDepth": [1, 5]}, models.LOGISTIC: {"C": [0.001, 1.0]}}
+    folds = models.search_folds(table)
+    assert folds.numbers == [0, 1, 2, 3, 4] and folds.rows.count() == 200
+    part = models.replace(table, n_rows=160)
+    for name, grid in grids.items():
+        best, tried = models.search(name, table, grid, folds=folds)
+        for params, score in tried:
+            cv = CrossValidator(
+                estimator=models.estimator(name, params, part, 5000), estimatorParamMaps=[{}],
+                evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=5, foldCol="_fold",
+            )
+            assert score == pytest.approx(cv.fit(folds.rows).avgMetrics[0])
+        assert best == max(tried, key=lambda t: t[1])[0]
+
+
+def test_linear_models_of_a_search_converge_too(spark, monkeypatch):
+    table = models.training_table(vectors(spark, noisy(200)))
+    seen, plain = [], models.converged
+    monkeypatch.setattr(models, "converged", lambda model: seen.append(plain(model)) or seen[-1])
+    wanted = models.search(models.LOGISTIC, table, {"C": [1.0]})
+    monkeypatch.setitem(models.FIRST_ITERATIONS, models.LOGISTIC, 1)
+    assert models.search(models.LOGISTIC, table, {"C": [1.0]}) == wanted
+    assert seen == [True] * 10
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_a_search_where_a_class_has_one_row(spark, classes):
+    """One of the two folds is fitted without that class."""
+    rows = [(float(i % (classes - 1)), [i % (classes - 1) + i / 100, 1.0 * (i % 5)]) for i in range(40)]
+    table = models.training_table(vectors(spark, [*rows, (classes - 1.0, [9.0, 9.0])]))
+    folds = models.search_folds(table)
+    assert len(folds.numbers) == 2
+    for name in (models.TREE, models.LOGISTIC, models.SVM):
+        _, tried = models.search(name, table, models.SEARCH_GRIDS[name], folds=folds)
+        assert 0.5 < tried[0][1] < 1.0, name
+
+
+def test_a_table_of_one_row_per_class_is_fitted_without_scores(spark):
+    table = models.training_table(vectors(spark, [(0.0, [0.0, 1.0]), (1.0, [1.0, 0.0])]))
+    fitted = models.train(models.TREE, table)
+    assert fitted.params == {"impurity": "gini", "maxDepth": 5} and fitted.tried[0][1] != fitted.tried[0][1]
+
+
+def test_features_named_like_the_columns_of_the_folding(spark):
+    names = ("fold", "part", "Fold2")
+    table = models.training_table(vectors(spark, noisy(60, 7.0, 8.0, 9.0), *names), names)
+    folds = models.search_folds(table)
+    assert folds.rows.filter("fold = 7 AND part = 8 AND Fold2 = 9").count() == 60
+    assert models.search(models.TREE, table, {"maxDepth": [2]}, folds=folds)[1][0][1] > 0.6
+
+
+def test_scores_of_a_search_are_saved_with_the_model(spark, tmp_path):
+    fitted = models.train(models.TREE, models.training_table(vectors(spark, noisy(60))))
+    fitted.save(f"{tmp_path}/tree")
+    assert fitted.tried and models.Fitted.load(spark, f"{tmp_path}/tree").tried == fitted.tried
